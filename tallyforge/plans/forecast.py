@@ -6,10 +6,12 @@ day before any window or Python code runs, so the work per slice is bounded by t
 
 from __future__ import annotations
 
+import sys
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,9 @@ from tallyforge.operators.series import (
     sales_slices,
 )
 
+# the per-slice functions travel to the executors whole, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLICE = ["channel", "category"]
 
 # The model's inputs in order, and the sizes below which a slice is skipped.

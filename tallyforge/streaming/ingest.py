@@ -152,3 +152,8 @@ def current_state(
 ) -> DataFrame:
     """Base plus all stored changes, in sequence order however they were batched."""
     return apply_changes(base, changes, keys, sequence)
+
+
+def compact(lake, contract: Contract, path: str, keys: Sequence[str] = ("event_id",)) -> str:
+    """Writes the current silver rows as a new version of the silver table."""
+    return lake.write(streamed_silver(lake.spark, contract, path, keys), "silver", contract.table)
