@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.plans import staging
+from tallyforge.sources.layers import spread
 
 AS_OF = "2026-01-01 00:00:00"
 
@@ -22,9 +23,13 @@ class Retail:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # opening a file costs a job for its schema, so each is opened once per query
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def stream(self, name: str) -> DataFrame:
         schema = self.table(name).schema
@@ -317,6 +322,7 @@ class Retail:
             .when(priority == "5-LOW", "KIOSK")
             .otherwise("MOBILE_APP")
         )
+        lineitem = spread(self.table("lineitem")) if lineitem is None else lineitem
         return self.lines(lineitem).select(
             F.col("line_id").alias("id"),
             F.col("l_orderkey").cast("string").alias("transaction_id"),

@@ -79,9 +79,12 @@ def event_time(payload: Column | str, fallback: Column, candidates: Sequence[str
     """First non-empty candidate field of a JSON payload, parsed once; else ``fallback``."""
     payload = F.col(payload) if isinstance(payload, str) else payload
     fields = T.StructType([T.StructField(c, T.StringType()) for c in candidates])
-    parsed = F.from_json(payload, fields)
-    found = [F.nullif(parsed.getField(c), F.lit("")) for c in candidates]
-    return F.coalesce(*found, to_second_text(fallback))
+    # the lambda binds the parsed struct, so the JSON is read once and not once per field
+    found = F.transform(
+        F.array(F.from_json(payload, fields)),
+        lambda row: F.coalesce(*[F.nullif(row.getField(c), F.lit("")) for c in candidates]),
+    )
+    return F.coalesce(found.getItem(0), to_second_text(fallback))
 
 
 def _column_time(df: DataFrame, fallback: Column, candidates: Sequence[str]) -> Column:
@@ -123,13 +126,16 @@ def to_bronze(
 
 
 def parse_bronze(bronze: DataFrame, contract: Contract) -> DataFrame:
-    """Payload columns of the contract next to the envelope columns; a field that does not fit is NULL."""
-    parsed = bronze.withColumn("_data", F.from_json("raw_payload", contract_schema(contract)))
-    return parsed.select(
+    """Payload columns of the contract next to the envelope columns; a field that does not fit is NULL.
+
+    The struct is unpacked by a generator: as plain field references Catalyst would copy the parse
+    into every column and into every rule that is pushed down as a filter.
+    """
+    return bronze.select(
         "event_id",
         "operation_type",
         "event_timestamp",
         F.col("ingestion_timestamp").alias("bronze_ingestion_time"),
         F.col("pipeline_run_id").alias("bronze_run_id"),
-        *[F.col(f"_data.{c}").alias(c) for c in contract.names],
+        F.inline_outer(F.array(F.from_json("raw_payload", contract_schema(contract)))),
     )

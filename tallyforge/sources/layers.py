@@ -83,6 +83,13 @@ class Lakehouse:
         return latest_by(entries, ["table_name"], ["timestamp", "run_id"]).drop("run_id")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalances a scan that has fewer splits than the cluster has cores, such as a file with a
+    single row group; larger scans pass through untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_source(
     spark: SparkSession,
     location: str,
