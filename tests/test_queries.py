@@ -1,0 +1,47 @@
+"""Every registered query against its SQL counterpart on the smallest test tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from __spark_entry__ import entry, oracle_sql, queries
+
+SF_DIR = "/root/testdata/sf0.001"
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages"
+    " benchmark labels conversations"
+).split()
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
+    return con
+
+
+def canonical(columns, data):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple("NULL" if r[i] is None else str(r[i]) for i in order) for r in data)
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_matches_sql(spark, duck, name):
+    df = queries()[name](spark, SF_DIR)
+    result = duck.execute(oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert canonical(df.columns, df.collect()) == canonical(columns, result.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+def test_runs_without_sql(spark, name):
+    assert queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_entry(spark):
+    assert entry(spark).columns == ["channel_name", "month", "revenue", "gross_margin", "lines"]
