@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyforge.functions.keys import surrogate_key, version_key
 from tallyforge.functions.measures import promotion_name, promotion_rate, promotion_tier
 from tallyforge.functions.temporal import iso_day_of_week
 from tallyforge.operators.series import date_series
-from tallyforge.operators.timeline import scd2
+from tallyforge.operators.timeline import neighbour_time, scd2
 
 # Validity bounds of open versions.
 FOREVER = "9999-12-31 23:59:59"
@@ -65,9 +64,10 @@ def dim_campaign(stg: DataFrame) -> DataFrame:
     attributes = ["campaign_id", "campaign_name", "channel", "campaign_date"]
     counted = stg.groupBy(*attributes).agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("_n"))
     laid_out = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    order = [F.col(c).asc_nulls_last() for c in ("campaign_date", "campaign_name", "channel", "_copy")]
-    following = F.lead("campaign_date").over(Window.partitionBy("campaign_id").orderBy(*order))
-    versions = laid_out.withColumn("_next", following).drop("_copy", "_n").distinct()
+    following = neighbour_time(
+        laid_out, "campaign_id", "campaign_date", "_next", ties=["campaign_name", "channel", "_copy"]
+    )
+    versions = following.drop("_copy", "_n").distinct()
     return versions.select(
         version_key("campaign_id", "campaign_date").alias("campaign_key"),
         "campaign_id",

@@ -186,17 +186,11 @@ def fact_inventory_daily_snapshot(
 def returns_with_customer(returns: DataFrame, tx: DataFrame) -> DataFrame:
     """Return rows with the customer of their transaction, one per transaction line.
 
-    Lines are counted per (transaction, customer) before the join and laid out after it.
+    Only the two key columns of the lines travel. A transaction that dominates either side is
+    split by AQE, which may split both sides of an inner join.
     """
-    lines = (
-        tx.where(F.col("customer_id").isNotNull())
-        .groupBy("transaction_id", "customer_id")
-        .agg(F.count(F.lit(1)).cast("int").alias("_lines"))
-    )
-    joined = returns.join(lines, "transaction_id").withColumn(
-        "_line", F.explode(F.sequence(F.lit(1), F.col("_lines")))
-    )
-    return joined.drop("_lines", "_line")
+    lines = tx.where(F.col("customer_id").isNotNull()).select("transaction_id", "customer_id")
+    return returns.join(lines, "transaction_id")
 
 
 def activity_union(tx: DataFrame, returns: DataFrame, tickets: DataFrame) -> DataFrame:

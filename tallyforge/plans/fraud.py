@@ -103,12 +103,11 @@ def score_fraud(
     now = (as_of if as_of is not None else F.current_timestamp()).cast("timestamp_ntz")
     ts = "transaction_timestamp"
 
-    ratios = return_ratio(sales, returns)
     profiles = first_profile(customers).withColumn("_known", F.lit(True))
+    about = return_ratio(sales, returns).join(profiles, "customer_id", "left")
     context = (
         trailing_counts(sales, "customer_id", ts, rules.window_seconds, "_velocity")
-        .join(ratios, "customer_id", "left")
-        .join(profiles, "customer_id", "left")
+        .join(about, "customer_id", "left")
         .select("customer_id", ts, "_velocity", "line_count", "return_ratio", "email", "gender", "_known")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.contracts import CONTRACTS, Contract
 from tallyforge.operators.bronze import SOURCES, SourceSpec, to_bronze
 from tallyforge.plans import dims, facts, forecast, fraud
-from tallyforge.plans.silver import DEDUP_KEYS, VERSION_KEYS, audit_row, deduplicate, split, tag
+from tallyforge.plans.silver import DEDUP_KEYS, VERSION_KEYS, audit_row, current_rows, deduplicate, split, tag
 from tallyforge.plans.staging import STAGING
 from tallyforge.sources.layers import Lakehouse
 
@@ -102,6 +102,12 @@ def clean_all(
     return {name: clean_table(lake, c, run_id, as_of=as_of) for name, c in contracts.items()}
 
 
+def current_silver(lake: Lakehouse, name: str) -> DataFrame | None:
+    """Silver rows for serving: one per member, also where silver keeps the history."""
+    silver = lake.read("silver", name)
+    return current_rows(silver) if silver is not None and name in VERSIONED else silver
+
+
 def staged_tables(lake: Lakehouse) -> dict[str, DataFrame]:
     """Staging projections of every silver table that exists."""
     silver = {name: lake.read("silver", name) for name in STAGING}
@@ -114,13 +120,15 @@ def build_star(
     """Dimensions, then facts over the stored dimensions, each written to the gold layer.
 
     Writing dimensions first keeps their windows from being planned again inside every fact.
+    Facts lie in one folder per day, so a query over some days reads those days only.
     """
     stg = staged_tables(lake)
     today = as_of if as_of is not None else F.current_date()
     star: dict[str, DataFrame] = {}
 
     def store(name: str, df: DataFrame) -> DataFrame:
-        path = lake.write(df, "gold", name)
+        daily = ("date_day",) if name.startswith("fact_") else ()
+        path = lake.write(df, "gold", name, partition_by=daily, cluster=bool(daily))
         star[name] = lake.spark.read.format(lake.fmt).load(path)
         return star[name]
 

@@ -63,6 +63,11 @@ def deduplicate(
     return latest_by(valid, keys, order)
 
 
+def current_rows(silver: DataFrame) -> DataFrame:
+    """The newest version of every member of a table that keeps versions."""
+    return latest_by(silver, DEDUP_KEYS, RECENCY)
+
+
 def reconcile(
     tagged: DataFrame, table: str, *, keys: Sequence[str] = DEDUP_KEYS, as_of: Column | None = None
 ) -> DataFrame:

@@ -40,10 +40,17 @@ class Lakehouse:
             found.append(int(version[2:]))
         return sorted(found)
 
-    def write(self, df: DataFrame, layer: str, name: str, partition_by: tuple[str, ...] = ()) -> str:
-        """Replaces a table. Returns the folder of the new version."""
+    def write(
+        self, df: DataFrame, layer: str, name: str, partition_by: tuple[str, ...] = (), cluster: bool = False
+    ) -> str:
+        """Replaces a table, optionally in one folder per ``partition_by`` value. Returns the
+        folder of the new version."""
         taken = self._versions(layer, name, complete_only=False)
         target = f"{self.path(layer, name)}/v={(taken[-1] if taken else 0) + 1:06d}"
+        if cluster:
+            # one shuffle on the folder columns: few files per folder, and a folder that is much
+            # larger than the others is still written by several tasks
+            df = df.hint("rebalance", *partition_by)
         writer = df.write.format(self.fmt).mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)

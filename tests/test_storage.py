@@ -252,10 +252,10 @@ def test_batch_run_end_to_end(spark, lake):
     unknown = spark.sql("select md5('CUST-UNKNOWN') k").first()["k"]
     assert star["fact_sales_line"].where(F.col("customer_key") == unknown).count() == 24
 
-    products = lake.read("silver", "products").withColumnRenamed("id", "product_id")
-    medallion.refresh_analytics(
-        lake, lake.read("silver", "transactions"), products, lake.read("silver", "returns"), lake.read("silver", "customers"), as_of()
-    )
+    assert medallion.current_silver(lake, "customers").count() == 3
+    silver = {n: medallion.current_silver(lake, n) for n in ("transactions", "products", "returns", "customers")}
+    products = silver["products"].withColumnRenamed("id", "product_id")
+    medallion.refresh_analytics(lake, silver["transactions"], products, silver["returns"], silver["customers"], as_of())
     assert lake.read("gold", "fact_fraud_queue").count() == 120
     assert lake.read("gold", "fact_sales_forecast").count() == 7 * 4
 
