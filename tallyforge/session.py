@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a join that feeds an aggregation on the same key may still be split when one key dominates
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # where every partition of one side turns out small, hash it instead of sorting both sides
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
