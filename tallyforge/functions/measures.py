@@ -48,9 +48,9 @@ def net_sales(quantity: str = "quantity", price: str = "unit_price", discount: s
 
 def lenient_net_sales() -> Column:
     """Net sales with unreadable or missing quantity as 1, price and discount as 0."""
-    quantity = F.coalesce(F.col("quantity").cast("string").try_cast(MONEY), F.lit(1))
-    price = F.coalesce(F.col("unit_price").cast("string").try_cast(MONEY), F.lit(0))
-    discount = F.coalesce(F.col("discount").cast("string").try_cast(MONEY), F.lit(0))
+    quantity = F.coalesce(F.col("quantity").try_cast(MONEY), F.lit(1))
+    price = F.coalesce(F.col("unit_price").try_cast(MONEY), F.lit(0))
+    discount = F.coalesce(F.col("discount").try_cast(MONEY), F.lit(0))
     return (quantity * price - discount).cast(MONEY)
 
 

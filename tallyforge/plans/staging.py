@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.functions.measures import MONEY
 
 
-def _time(name: str) -> Column:
-    # envelope times are text; staging makes them comparable
-    return F.col(name).cast("string").try_cast("timestamp_ntz")
+def _time(silver: DataFrame, name: str) -> Column:
+    # envelope times are text and get parsed; real timestamps pass without a detour through text
+    text = isinstance(silver.schema[name].dataType, T.StringType)
+    column = F.col(name)
+    return column.try_cast("timestamp_ntz") if text else column.cast("timestamp_ntz")
 
 
 def stg_customers(silver: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def stg_customers(silver: DataFrame) -> DataFrame:
         "gender",
         "state",
         "birth_date",
-        _time("event_timestamp").alias("updated_at"),
+        _time(silver, "event_timestamp").alias("updated_at"),
     )
 
 
@@ -37,7 +40,7 @@ def stg_products(silver: DataFrame) -> DataFrame:
         "category",
         F.col("price").cast(MONEY).alias("price"),
         F.col("cost").cast(MONEY).alias("cost"),
-        _time("event_timestamp").alias("updated_at"),
+        _time(silver, "event_timestamp").alias("updated_at"),
     )
 
 
@@ -58,7 +61,7 @@ def stg_transactions(silver: DataFrame) -> DataFrame:
         F.col("quantity").cast("int").alias("quantity"),
         F.col("unit_price").cast(MONEY).alias("unit_price"),
         F.col("discount").cast(MONEY).alias("discount"),
-        _time("transaction_timestamp").alias("transaction_timestamp"),
+        _time(silver, "transaction_timestamp").alias("transaction_timestamp"),
     )
 
 
@@ -70,7 +73,7 @@ def stg_returns(silver: DataFrame) -> DataFrame:
         F.col("quantity").cast("int").alias("quantity"),
         F.col("refund_amount").cast(MONEY).alias("refund_amount"),
         "return_reason",
-        _time("return_timestamp").alias("return_timestamp"),
+        _time(silver, "return_timestamp").alias("return_timestamp"),
     )
 
 
@@ -81,7 +84,7 @@ def stg_inventory_movements(silver: DataFrame) -> DataFrame:
         "store_id",
         "movement_type",
         F.col("quantity").cast("int").alias("quantity"),
-        _time("movement_timestamp").alias("movement_timestamp"),
+        _time(silver, "movement_timestamp").alias("movement_timestamp"),
     )
 
 
@@ -93,7 +96,7 @@ def stg_marketing_campaigns(silver: DataFrame) -> DataFrame:
         "channel",
         F.col("cost").cast(MONEY).alias("cost"),
         *counts,
-        F.col("campaign_date").cast("string").try_cast("date").alias("campaign_date"),
+        F.col("campaign_date").try_cast("date").alias("campaign_date"),
     )
 
 
@@ -104,8 +107,8 @@ def stg_support_tickets(silver: DataFrame) -> DataFrame:
         "issue_category",
         "status",
         "priority",
-        _time("ticket_timestamp").alias("ticket_timestamp"),
-        _time("resolution_timestamp").alias("resolution_timestamp"),
+        _time(silver, "ticket_timestamp").alias("ticket_timestamp"),
+        _time(silver, "resolution_timestamp").alias("resolution_timestamp"),
     )
 
 
