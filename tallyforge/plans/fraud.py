@@ -105,10 +105,20 @@ def score_fraud(
 
     profiles = first_profile(customers).withColumn("_known", F.lit(True))
     about = return_ratio(sales, returns).join(profiles, "customer_id", "left")
+    undated = (
+        sales.where(F.col("customer_id").isNotNull() & F.col(ts).isNull())
+        .select("customer_id", ts, F.lit(None).cast("bigint").alias("_velocity"))
+        .distinct()
+    )
     context = (
         trailing_counts(sales, "customer_id", ts, rules.window_seconds, "_velocity")
+        .unionByName(undated)
         .join(about, "customer_id", "left")
-        .select("customer_id", ts, "_velocity", "line_count", "return_ratio", "email", "gender", "_known")
+        .select(
+            F.col("customer_id").alias("_customer"),
+            F.col(ts).alias("_at"),
+            *["_velocity", "line_count", "return_ratio", "email", "gender", "_known"],
+        )
     )
 
     price = F.coalesce(F.col("unit_price"), F.lit(0))
@@ -116,7 +126,11 @@ def score_fraud(
     value = (price * quantity - F.coalesce(F.col("discount"), F.lit(0))).cast(MONEY)
     lines = sales.select(
         F.col("id").alias("transaction_line_id"), "transaction_id", "customer_id", ts, value.alias("net_sales")
-    ).join(context, ["customer_id", ts], "left")
+    ).join(
+        context,
+        (F.col("customer_id") == F.col("_customer")) & F.col(ts).eqNullSafe(F.col("_at")),
+        "left",
+    )
 
     amount = F.format_string("%.2f", F.col("net_sales").cast("double"))
     count = F.col("_velocity").cast("string")

@@ -260,6 +260,13 @@ def test_profile_and_return_rules(spark):
     assert got["c1"].fraud_score == 0
 
 
+def test_a_line_without_a_time_still_has_a_customer(spark):
+    line = list(sale("a", "C1", "2026-05-01 10:00:00"))
+    line[-1] = None
+    got = score(spark, [tuple(line), sale("b", "C1", "2026-05-01 10:00:00")], (), [("C1", "malformed", "F")])
+    assert {i: r.fraud_score for i, r in got.items()} == {"a": 15, "b": 15}
+
+
 def test_tiers_and_cap(spark):
     data = [sale(f"a{i}", "C1", f"2026-05-01 10:0{i}:00", price="9000.00") for i in range(6)]
     back = [(f"Ta{i}", 1) for i in range(6)]
