@@ -112,7 +112,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     rated = cells.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).drop("g")
     rated = rated.join(tilts, F.col("source").eqNullSafe(F.col("k")), "left").drop("k")
     # empty documents count for nothing and are taken once; a source without words keeps its documents
-    rated = rated.withColumn("rate", F.expr(f"CASE WHEN size = 0 OR tilt IS NULL THEN 1D WHEN target >= {most}D * source_size THEN {most}D ELSE least({most}D, exp(least(700D, tilt * size))) END"))
+    rated = rated.withColumn("rate", F.expr(f"CASE WHEN size = 0 THEN 1D WHEN target >= {most}D * source_size THEN {most}D WHEN tilt IS NULL THEN 1D ELSE least({most}D, exp(least(700D, tilt * size))) END"))
     rated = rated.withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
     run = "OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     rated = stored(rated.withColumn("carried", F.expr(f"coalesce(sum(n * part) {run}, 0D)")), "mixing-rates")
