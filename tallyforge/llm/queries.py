@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, mixing, repair, simhash
+from tallyforge.llm import decontaminate, mixing, repair, simhash, toxicity
 from tallyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_repair, op4_simhash, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_repair, op4_simhash, op6_toxicity, op10_mixing)
 }
 
 ORACLE: dict[str, str] = {}
