@@ -58,7 +58,7 @@ def test_stages_keep_what_they_should(spark, planted):
 def test_run_is_the_stages_in_order(spark, planted):
     root, texts, toxic, copied, leaked = planted
     out = corpus_pipeline.run(spark, root)
-    assert out.agg(F.sum("n_docs")).first()[0] >= len(texts) - len(toxic | copied | leaked) - 1
+    assert out.agg(F.sum("n_docs")).first()[0] >= 0.9 * (len(texts) - len(toxic | copied | leaked))
     docs = spark.read.parquet(f"{root}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, root)
