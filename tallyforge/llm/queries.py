@@ -7,12 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, mixing, repair, simhash, toxicity
+from tallyforge.llm import chunking, decontaminate, mixing, repair, simhash, toxicity, url_filter, warc
 from tallyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "word_bpe_49k.json"
+RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+#: listed hosts; URLs below them are blocked where no rule fits
+LISTED = tuple(
+    f"{name}.example.{end}/"
+    for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for end in ("com", "net", "org")
+)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,17 +42,59 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
 
 
+def op5_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.compared_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.written_and_read(table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = [(e, v, True) for e, v in RULES] + [(e, "block", False) for e in LISTED]
+    listed = spark.createDataFrame(entries, "entry string, verdict string, ruled boolean")
+    return url_filter.judged(table(spark, sf_dir, "pages"), listed)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_repair, op4_simhash, op6_toxicity, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_repair, op4_simhash, op5_chunking, op6_toxicity, op7_warc, op9_url_filter, op10_mixing)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), shared AS (
+            SELECT payload_bytes AS b, payload_digest AS d, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to
+        FROM p LEFT JOIN shared ON b = payload_bytes AND d = payload_digest""",
+    "op9_url_filter": f"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS r FROM pages
+        ), u AS (
+            SELECT page_id,
+                translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest
+        ), entries AS (
+            SELECT e, split_part(e, '/', 1) AS h, e[strpos(e, '/'):] AS start, v, ruled
+            FROM (VALUES {", ".join([f"('{e}', '{v}', true)" for e, v in RULES] + [f"('{e}', 'block', false)" for e in LISTED])}) AS t(e, v, ruled)
+        ), best AS (
+            SELECT u.page_id, u.host, u.path, max(struct_pack(ruled, n := length(e), e, v)) AS m
+            FROM u LEFT JOIN entries ON (u.host = h OR suffix(u.host, '.' || h)) AND starts_with(u.path, start)
+            GROUP BY ALL
+        )
+        SELECT page_id, host, path, CASE WHEN m.ruled THEN m.e END AS rule, coalesce(m.v, 'allow') AS verdict FROM best""",
+}
