@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import chunking, decontaminate, mixing, repair, simhash, toxicity, url_filter, warc
+from tallyforge.llm import chunking, decontaminate, line_dedup, mixing, repair, simhash, toxicity, url_filter, warc
 from tallyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.written_and_read(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = [(e, v, True) for e, v in RULES] + [(e, "block", False) for e in LISTED]
     listed = spark.createDataFrame(entries, "entry string, verdict string, ruled boolean")
@@ -66,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_repair, op4_simhash, op5_chunking, op6_toxicity, op7_warc, op9_url_filter, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_repair, op4_simhash, op5_chunking, op6_toxicity, op7_warc, op8_line_dedup, op9_url_filter, op10_mixing)
 }
 
 ORACLE: dict[str, str] = {
