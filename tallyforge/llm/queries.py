@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import chunking, decontaminate, line_dedup, mixing, repair, simhash, toxicity, url_filter, warc
+from tallyforge.llm import chunking, decontaminate, line_dedup, mixing, pseudo_likelihood, repair, simhash, toxicity, url_filter, warc
 from tallyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.scored(docs, pseudo_likelihood.train(docs))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.fingerprint_components(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
@@ -70,7 +75,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_repair, op4_simhash, op5_chunking, op6_toxicity, op7_warc, op8_line_dedup, op9_url_filter, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_repair,
+        op3_pseudo_likelihood,
+        op4_simhash,
+        op5_chunking,
+        op6_toxicity,
+        op7_warc,
+        op8_line_dedup,
+        op9_url_filter,
+        op10_mixing,
+    )
 }
 
 ORACLE: dict[str, str] = {
