@@ -40,7 +40,7 @@ LEAST_USES = 32
 ROUND_SHARE = 0.2
 END_ID = 1
 #: encoded words that a worker remembers
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 SHARD = (
     "shard long, n_docs int, n_tokens long, n_symbols int, n_terminals int, bits int, doc_ids binary, doc_null binary,"
     " doc_tokens binary, doc_symbols binary, rules binary, lengths binary, symbols binary"

@@ -31,6 +31,8 @@ PROBE_COST = 4.0
 #: fingerprints searched, and 64-bit words of the code that estimates similarity, in ``near_duplicates``
 SEARCHES, CODE_WORDS = 12, 8
 FEW_ROWS = 255
+#: words whose hashes a task remembers
+REMEMBERED = 200_000
 
 
 # --- fingerprints ---
@@ -291,7 +293,7 @@ def code_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
         for i in range(len(texts)):
             words = words_of(texts[i].as_py())
             keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-            if len(known) > 500_000:
+            if len(known) > REMEMBERED:
                 known.clear()
             for w in words:
                 if w not in known:

@@ -46,6 +46,8 @@ INSULTS = (
 DISGUISES = str.maketrans("013457@$!", "oieastasi")
 WORDS = re.compile(r"\w+")
 STYLE = 4
+#: words whose beginnings a task remembers
+REMEMBERED = 200_000
 
 
 @dataclass
@@ -200,7 +202,7 @@ class Counted:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > 500_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         for w in words:
             if w not in self.known:
