@@ -8,7 +8,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -76,19 +75,22 @@ def main() -> None:
     batch.add_argument("--source", required=True)
     batch.add_argument("--format", default="parquet")
     batch.add_argument("--contracts")
-    batch.add_argument("--start", default="2026-01-01")
-    batch.add_argument("--end", default="2026-12-31")
+    batch.add_argument("--start", help="first day of the calendar; the first day of the facts by default")
+    batch.add_argument("--end", help="last day of the calendar; the last day of the facts by default")
 
     load = commands.add_parser("upload", parents=[common])
     load.add_argument("--file", required=True)
     load.add_argument("--kind", choices=("csv", "json"), default="csv")
     load.add_argument("--table", required=True)
+    load.add_argument("--upload-id", help="repeat the printed id to retry an upload; a new one by default")
+    load.add_argument("--split", action="store_true", help="read a large file in parallel; no line breaks inside values")
 
     show = commands.add_parser("report", parents=[common])
     show.add_argument("--name", choices=("overview", "trend", "segments", "inventory", "fraud", "health"), required=True)
     show.add_argument("--channel")
     show.add_argument("--category")
     show.add_argument("--tier")
+    show.add_argument("--limit", type=int, help="print the first rows only")
     show.add_argument("--csv", help="folder to export to instead of printing")
 
     args = parser.parse_args()
@@ -96,13 +98,19 @@ def main() -> None:
     if args.command == "run":
         run(lake, args)
     elif args.command == "upload":
-        upload.ingest_upload(lake, args.file, args.kind, args.table, os.path.basename(args.file))
+        upload_id = args.upload_id or str(uuid.uuid4())
+        print(f"upload {upload_id}")
+        upload.ingest_upload(lake, args.file, args.kind, args.table, upload_id, multi_line=not args.split)
     else:
         result = report(lake, args)
         if args.csv:
             export_csv(result, args.csv)
         else:
-            result.show(50, truncate=False)
+            # everything, a partition at a time; --limit or --csv for large reports
+            shown = result.limit(args.limit) if args.limit is not None else result
+            print("\t".join(shown.columns))
+            for row in shown.toLocalIterator():
+                print("\t".join("" if v is None else str(v) for v in row))
 
 
 if __name__ == "__main__":

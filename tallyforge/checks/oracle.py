@@ -512,6 +512,9 @@ oracle(
 )
 
 
+BOUNDS = "(SELECT min(date_day) AS first, max(date_day) AS last FROM regmov)"
+
+
 def _snapshot(start: str, end: str, opening: bool = False) -> str:
     moved = "greatest(date_day, a)" if opening else "date_day"
     return f"""
@@ -521,14 +524,14 @@ def _snapshot(start: str, end: str, opening: bool = False) -> str:
                 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stock_on_hand
     FROM (SELECT product_key, store_key, CAST(d AS DATE) AS date_day
           FROM (SELECT DISTINCT product_key, store_key FROM regmov),
-               (SELECT unnest(generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS d))
+               (SELECT unnest(generate_series({start}, {end}, INTERVAL 1 DAY)) AS d FROM {BOUNDS}))
     LEFT JOIN (SELECT product_key, store_key, {moved} AS date_day, sum(quantity) AS net
-               FROM (SELECT *, DATE '{start}' AS a FROM regmov) GROUP BY ALL)
+               FROM (SELECT *, CAST({start} AS DATE) AS a FROM regmov, {BOUNDS}) GROUP BY ALL)
     USING (product_key, store_key, date_day)"""
 
 
-oracle("fact_inventory_daily_snapshot", _snapshot("1996-01-01", "2001-06-30"))
-oracle("inventory_snapshot_opening", _snapshot("2000-01-01", "2000-12-31", opening=True))
+oracle("fact_inventory_daily_snapshot", _snapshot("first", "last"))
+oracle("inventory_snapshot_opening", _snapshot("last - 365", "last", opening=True))
 DAILY = """
     SELECT CAST(movement_timestamp AS DATE) AS date_day, product_id AS product_key, store_id AS store_key,
            CAST(sum(quantity) AS BIGINT) AS net_movement FROM mov GROUP BY ALL"""
@@ -541,11 +544,11 @@ oracle(
 )
 oracle(
     "calendar_fill",
-    """
+    f"""
     SELECT product_key, store_key, date_day, CAST(coalesce(net, 0) AS BIGINT) AS net_movement
     FROM (SELECT product_key, store_key, CAST(d AS DATE) AS date_day
           FROM (SELECT DISTINCT product_key, store_key FROM regmov),
-               (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS d))
+               (SELECT unnest(generate_series(first, last, INTERVAL 1 DAY)) AS d FROM {BOUNDS}))
     LEFT JOIN (SELECT product_key, store_key, date_day, sum(quantity) AS net FROM regmov GROUP BY ALL)
     USING (product_key, store_key, date_day)""",
 )
@@ -588,14 +591,14 @@ oracle(
 oracle(
     "upsert_by_key",
     """
-    SELECT product_id AS id, name, price FROM catalog WHERE product_id NOT IN (SELECT product_id FROM prod)
-    UNION ALL SELECT product_id, name, price FROM prod""",
+    SELECT product_id AS id, name, price FROM catalog WHERE product_id NOT IN (SELECT product_id FROM prod WHERE updated_at >= '2001-01-01')
+    UNION ALL SELECT product_id, name, price FROM prod WHERE updated_at >= '2001-01-01'""",
 )
 oracle(
     "delete_keys",
     """
     SELECT product_id AS id, name, price FROM catalog
-    WHERE product_id NOT IN (SELECT product_id FROM prod)""",
+    WHERE product_id NOT IN (SELECT product_id FROM prod WHERE updated_at >= '2001-01-01')""",
 )
 oracle(
     "latest_by_key",
@@ -720,9 +723,9 @@ oracle(
 )
 oracle(
     "current_stock",
-    f"""
-    SELECT date_day, store_key, CAST(sum(stock_on_hand) AS BIGINT) AS current_stock
-    FROM ({_snapshot("1996-01-01", "2001-06-30")}) WHERE date_day = DATE '2001-06-30' GROUP BY ALL""",
+    """
+    SELECT (SELECT max(date_day) FROM regmov) AS date_day, store_key, CAST(sum(quantity) AS BIGINT) AS current_stock
+    FROM regmov GROUP BY ALL""",
 )
 oracle(
     "revenue_by_channel",
@@ -795,7 +798,7 @@ oracle(
     "forecast_gram",
     "\nUNION ALL\n".join(
         f"SELECT channel, category, '{a}' AS left_column, '{b}' AS right_column,"
-        f" CAST(printf('%.6e', sum({a} * {b})) AS DOUBLE) AS total FROM feat GROUP BY channel, category"
+        f" sum(CAST({a} AS DECIMAL(19,4)) * CAST({b} AS DECIMAL(19,4))) AS total FROM feat GROUP BY channel, category"
         for a, b in combinations_with_replacement([*FEATURES, "net_sales"], 2)
     ),
 )
@@ -872,6 +875,26 @@ oracle(
 
 # -- streaming ------------------------------------------------------------------------------
 
+oracle(
+    "upload_merge",
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id,
+           CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS customer_id,
+           CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_custkey AS VARCHAR) END AS store_id,
+           CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority ELSE 'WEBSITE' END AS channel,
+           CAST(NULL AS VARCHAR) AS product_id,
+           CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderstatus = 'P' THEN NULL ELSE 3 END AS quantity,
+           CAST(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 100 END AS DECIMAL(18,2)) AS unit_price,
+           CAST(0 AS DECIMAL(18,2)) AS discount, CAST(o_orderdate AS TIMESTAMP) AS transaction_timestamp
+    FROM orders""",
+)
+oracle(
+    "cdc_envelope",
+    """
+    SELECT event_id AS kafka_offset, CAST(user_id AS VARCHAR) AS business_key,
+           CASE event_type WHEN 'signup' THEN 'C' WHEN 'error' THEN 'D' ELSE 'U' END AS operation_type,
+           md5('CORE-accounts-' || user_id) AS event_id FROM events""",
+)
 oracle("stream_dedup", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 oracle("stream_silver", "SELECT * FROM tx_silver")
 oracle(

@@ -11,9 +11,10 @@ from tallyforge.checks.adapters import Retail, as_of
 from tallyforge.contracts import CONTRACTS
 from tallyforge.functions.temporal import to_second_text
 from tallyforge.operators import latest, series, timeline
-from tallyforge.operators.bronze import SOURCES, to_bronze
+from tallyforge.operators.bronze import SOURCES, SourceSpec, to_bronze
 from tallyforge.operators.pit import pit_join
 from tallyforge.plans import dims, facts, forecast, fraud, kpis, privacy, silver
+from tallyforge.plans.upload import merge_upload
 from tallyforge.session import scratch_dir
 from tallyforge.sources import exports, uploads
 from tallyforge.streaming import ingest
@@ -242,20 +243,18 @@ def fact_inventory_movement(r: Retail) -> DataFrame:
 
 @query
 def fact_inventory_daily_snapshot(r: Retail) -> DataFrame:
-    return facts.fact_inventory_daily_snapshot(
-        r.regional_movements(), _date("1996-01-01"), _date("2001-12-31"), _date("2001-06-30")
-    )
+    """Every (brand, region) on every day from the first movement to the last; all movements count."""
+    moved = r.regional_movements()
+    first, last = series.day_bounds(moved)
+    return facts.fact_inventory_daily_snapshot(moved, first, last, last, opening_balance=True)
 
 
 @query
 def inventory_snapshot_opening(r: Retail) -> DataFrame:
-    return facts.fact_inventory_daily_snapshot(
-        r.regional_movements(),
-        _date("2000-01-01"),
-        _date("2000-12-31"),
-        _date("2001-06-30"),
-        opening_balance=True,
-    )
+    """The last 366 days alone, on what came before."""
+    moved = r.regional_movements()
+    _, last = series.day_bounds(moved)
+    return facts.fact_inventory_daily_snapshot(moved, F.date_sub(last, 365), last, last, opening_balance=True)
 
 
 def _inventory(r: Retail) -> DataFrame:
@@ -279,10 +278,11 @@ def stock_changes(r: Retail) -> DataFrame:
 
 @query
 def calendar_fill(r: Retail) -> DataFrame:
-    """Daily movements of every (brand, region) on every day of a year, zeros included."""
-    daily = facts.daily_movements(r.regional_movements())
+    """Daily movements of every (brand, region) on every day between the first and the last, zeros included."""
+    moved = r.regional_movements()
+    daily = facts.daily_movements(moved)
     pairs = daily.select(*facts.PAIR).distinct()
-    grid = series.calendar_grid(pairs, _date("2000-01-01"), _date("2000-12-31"))
+    grid = series.calendar_grid(pairs, *series.day_bounds(moved))
     return series.fill_grid(grid, daily, [*facts.PAIR, "date_day"], "net_movement")
 
 
@@ -333,7 +333,8 @@ def pit_join_versions(r: Retail) -> DataFrame:
 
 def _prices(r: Retail) -> tuple[DataFrame, DataFrame]:
     current = r.catalog().select(F.col("product_id").alias("id"), "name", "price")
-    restocked = r.products().select("id", "name", "price")
+    # the newest deliveries only, so that most products keep their row
+    restocked = r.products().where("event_timestamp >= '2001-01-01'").select("id", "name", "price")
     return current, restocked
 
 
@@ -442,7 +443,7 @@ def bi_measures(r: Retail) -> DataFrame:
 
 @query
 def current_stock(r: Retail) -> DataFrame:
-    return kpis.current_stock(fact_inventory_daily_snapshot(r), ["store_key"])
+    return kpis.current_stock(facts.stock_changes(r.regional_movements()), ["store_key"])
 
 
 @query
@@ -545,7 +546,7 @@ def forecast_holdout(r: Retail) -> DataFrame:
 
 @query
 def forecast_gram(r: Retail) -> DataFrame:
-    return forecast.forecast_gram(_features(r)).withColumn("total", _significant("total"))
+    return forecast.forecast_gram(_features(r))
 
 
 @query
@@ -600,6 +601,24 @@ def harmonize_upload(r: Retail) -> DataFrame:
     return rows.drop("id")
 
 
+@query
+def upload_merge(r: Retail) -> DataFrame:
+    """Two uploads of one file name with different columns: every order of both must be there."""
+    orders = r.table("orders")
+    common = [F.col("o_orderkey").cast("string").alias("Order ID"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Date")]
+    first = orders.where("o_orderkey % 2 = 0").select(
+        *common, F.col("o_custkey").cast("string").alias("Customer ID"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Sales")
+    )
+    quantity = F.when(F.col("o_orderstatus") == "P", "2.5").otherwise("3")
+    second = orders.where("o_orderkey % 2 = 1").select(
+        *common, F.col("o_custkey").cast("string").alias("Store ID"), quantity.alias("Qty"), F.col("o_orderpriority").alias("Ship Mode")
+    )
+    table = None
+    for upload_id, part in (("first", first), ("second", second)):
+        table = merge_upload(table, uploads.adapt_upload(part, "transactions", upload_id, as_of()), "transactions")
+    return table.drop("id", "created_at")
+
+
 @query
 def upload_ids(r: Retail) -> DataFrame:
     """Lines carry repeated ids, so every row must get a new one; orders keep theirs."""
@@ -647,12 +666,12 @@ def birth_month(r: Retail) -> DataFrame:
 
 @query
 def stream_dedup(r: Retail) -> DataFrame:
-    """Line ids of the lineitem stream, once each, with a delay that spans the table's dates."""
+    """Line ids of the lineitem stream, once each, however late they come."""
     base = scratch_dir(r.spark, "stream-dedup")
     keyed = r.stream("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp"))
-    unique = ingest.stream_dedup(keyed, ["l_orderkey", "l_linenumber"], "l_shipdate", "10000 days")
-    ingest.stream_bronze(unique, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
-    return r.spark.read.parquet(f"{base}/rows").select("l_orderkey", "l_linenumber")
+    keys = ["l_orderkey", "l_linenumber"]
+    ingest.stream_unique(keyed, keys, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    return ingest.unique_rows(r.spark, f"{base}/rows", keys).select(*keys)
 
 
 def _streamed(r: Retail) -> str:
@@ -703,6 +722,22 @@ def cdc_apply(r: Retail) -> DataFrame:
     return latest.apply_changes(_accounts(r), _change_log(r.table("events")), ["id"], ["ts", "event_id"])
 
 
+@query
+def cdc_envelope(r: Retail) -> DataFrame:
+    """Events wrapped as change-capture messages, unwrapped again."""
+    events = r.table("events")
+    row = F.struct(F.col("user_id").alias("id"), "value")
+    kind = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")
+    before, after = F.when(kind != "c", row), F.when(kind != "d", row)
+    raw = events.select(
+        F.to_json(F.struct(kind.alias("op"), before.alias("before"), after.alias("after"))).alias("raw_payload"),
+        F.lit(0).alias("kafka_partition"),
+        F.col("event_id").alias("kafka_offset"),
+    )
+    unwrapped = ingest.payload_envelope(raw, SourceSpec("accounts", "CORE"), RUN, as_of())
+    return unwrapped.select("kafka_offset", "business_key", "operation_type", "event_id")
+
+
 @query
 def cdc_stream(r: Retail) -> DataFrame:
     base = scratch_dir(r.spark, "stream-changes")

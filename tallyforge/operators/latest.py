@@ -42,14 +42,14 @@ def apply_changes(
     sequence: Sequence[str],
     operation: str = "operation_type",
 ) -> DataFrame:
-    """State after a change log with operations C, U and D.
+    """State after a change log with operations C, U and D, in either case.
 
     Per key the change that is last in ``sequence`` decides: D removes the row, C and U replace
     it. Late changes lose to newer ones already in the log, so replays are harmless.
     """
     last = latest_by(changes, keys, sequence)
     kept = delete_keys(base, last, keys)
-    return append(kept, last.where(F.col(operation) != "D"))
+    return append(kept, last.where(F.coalesce(F.upper(operation), F.lit("U")) != "D"))
 
 
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

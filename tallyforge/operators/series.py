@@ -15,6 +15,12 @@ def date_series(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(days).alias("date_day"))
 
 
+def day_bounds(df: DataFrame, date: str = "date_day") -> tuple[Column, Column]:
+    """First and last day of the data, read once: two values."""
+    first, last = df.agg(F.min(date), F.max(date)).first()
+    return F.lit(first).cast("date"), F.lit(last).cast("date")
+
+
 def calendar_grid(keys: DataFrame, start: Column, end: Column, date: str = "date_day") -> DataFrame:
     """Every key on every day of the range, unrolled in place instead of cross joined."""
     return keys.withColumn(date, F.explode(F.when(start <= end, F.sequence(start, end))))

@@ -28,7 +28,7 @@ def neighbour_time(
     """Adds the ``ts`` of the next (``step=1``) or previous (``step=-1``) row of the same key.
 
     Rows of equal time are ordered by ``ties``; rows without a time come last. A NULL key is no
-    key: such rows have no neighbour.
+    key: such rows have no neighbour, and spread over the window's tasks by their content.
     """
     if step not in (1, -1):
         raise ValueError("step is 1 or -1")
@@ -45,7 +45,8 @@ def neighbour_time(
         shift("_edge").over(over_chunks).alias("_beyond"),
     ).where(F.col("_beyond").isNotNull())
 
-    inside = Window.partitionBy(key, "_chunk").orderBy(*order)
+    alone = F.when(F.col(key).isNull(), F.xxhash64(*df.columns))
+    inside = Window.partitionBy(key, "_chunk", alone).orderBy(*order)
     local = chunked.withColumn("_inside", F.when(F.col(key).isNotNull(), shift(ts).over(inside)))
     joined = local.join(
         edges,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -193,7 +195,9 @@ def returns_with_customer(returns: DataFrame, tx: DataFrame) -> DataFrame:
     return returns.join(lines, "transaction_id")
 
 
-def activity_union(tx: DataFrame, returns: DataFrame, tickets: DataFrame) -> DataFrame:
+def activity_union(tx: DataFrame, returns: DataFrame | None, tickets: DataFrame | None) -> DataFrame:
+    """Purchases, and returns and tickets where there are such tables."""
+
     def part(df: DataFrame, ts: str, kind: str, details: Column) -> DataFrame:
         return df.select(
             "customer_id",
@@ -203,31 +207,39 @@ def activity_union(tx: DataFrame, returns: DataFrame, tickets: DataFrame) -> Dat
         )
 
     known = F.col("customer_id").isNotNull()
-    purchases = part(
-        tx.where(known),
-        "transaction_timestamp",
-        "PURCHASE",
-        F.concat(F.lit("Completed a transaction: "), F.col("transaction_id")),
-    )
-    returned = part(
-        returns_with_customer(returns, tx),
-        "return_timestamp",
-        "RETURN",
-        F.concat(F.lit("Returned product in transaction: "), F.col("transaction_id")),
-    )
-    support = part(
-        tickets.where(known),
-        "ticket_timestamp",
-        "SUPPORT",
-        F.concat(
-            F.lit("Opened support ticket: "), F.col("ticket_id"), F.lit(" - "), F.col("issue_category")
-        ),
-    )
-    return purchases.unionByName(returned).unionByName(support)
+    parts = [
+        part(
+            tx.where(known),
+            "transaction_timestamp",
+            "PURCHASE",
+            F.concat(F.lit("Completed a transaction: "), F.col("transaction_id")),
+        )
+    ]
+    if returns is not None:
+        parts.append(
+            part(
+                returns_with_customer(returns, tx),
+                "return_timestamp",
+                "RETURN",
+                F.concat(F.lit("Returned product in transaction: "), F.col("transaction_id")),
+            )
+        )
+    if tickets is not None:
+        parts.append(
+            part(
+                tickets.where(known),
+                "ticket_timestamp",
+                "SUPPORT",
+                F.concat(
+                    F.lit("Opened support ticket: "), F.col("ticket_id"), F.lit(" - "), F.col("issue_category")
+                ),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fact_customer_activity(
-    tx: DataFrame, returns: DataFrame, tickets: DataFrame, customers: DataFrame
+    tx: DataFrame, returns: DataFrame | None, tickets: DataFrame | None, customers: DataFrame
 ) -> DataFrame:
     ts = "activity_timestamp"
     activities = activity_union(tx, returns, tickets)

@@ -121,10 +121,14 @@ def forecast_features(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def forecast_gram(features: DataFrame) -> DataFrame:
-    """Sums behind the normal equations: one row per slice and pair of columns (target included)."""
+    """Sums behind the normal equations: one row per slice and pair of columns (target included).
+
+    Values are taken to four decimals and summed exactly, so the order of rows does not matter.
+    """
     columns = [*FEATURES, "net_sales"]
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    sums = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"_s{i}_{j}") for i, j in pairs]
+    exact = [F.col(c).cast("decimal(18,4)") for c in columns]
+    sums = [F.sum(exact[i] * exact[j]).cast("decimal(38,8)").alias(f"_s{i}_{j}") for i, j in pairs]
     wide = features.groupBy(*SLICE).agg(*sums)
     cells = [
         F.struct(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.measures import MONEY, lenient_net_sales
 from tallyforge.functions.temporal import whole_days_between
 from tallyforge.operators.series import last_n
+from tallyforge.plans.facts import PAIR
 
 # Score shown while no audit exists, and the score of an empty system.
 DEFAULT_QUALITY = 98.4
@@ -314,11 +315,13 @@ def bi_measures(
     )
 
 
-def current_stock(snapshot: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Stock on the last date of the context; stock does not add up over time."""
-    last_day = snapshot.agg(F.max("date_day").alias("d")).scalar()
-    picked = snapshot.where(F.col("date_day") == last_day)
-    return picked.groupBy("date_day", *by).agg(F.sum("stock_on_hand").alias("current_stock"))
+def current_stock(levels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stock on the last date of the context: the last level of every pair, from the stock changes or any snapshot. Stock
+    does not add up over time, and no calendar has to be unrolled for one day."""
+    last_day = levels.agg(F.max("date_day").alias("d")).scalar()
+    newest = levels.groupBy(*PAIR).agg(F.max_by("stock_on_hand", "date_day").alias("stock_on_hand"))
+    summed = newest.groupBy(*by).agg(F.sum("stock_on_hand").alias("current_stock"))
+    return summed.select(last_day.alias("date_day"), *by, "current_stock")
 
 
 def revenue_by(sales: DataFrame, dim: DataFrame, key: str, label: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,10 +116,13 @@ def staged_tables(lake: Lakehouse) -> dict[str, DataFrame]:
 
 
 def build_star(
-    lake: Lakehouse, start: str, end: str, as_of: Column | None = None
+    lake: Lakehouse, start: str | None = None, end: str | None = None, as_of: Column | None = None
 ) -> dict[str, DataFrame]:
     """Dimensions, then facts over the stored dimensions, each written to the gold layer.
 
+    The calendar runs from ``start`` to ``end``, by default from the first to the last day that sales or movements have.
+    Stock counts all movements, those before the calendar as its opening balance.
+
     Writing dimensions first keeps their windows from being planned again inside every fact.
     Facts lie in one folder per day, so a query over some days reads those days only.
     """
@@ -132,6 +136,12 @@ def build_star(
         star[name] = lake.spark.read.format(lake.fmt).load(path)
         return star[name]
 
+    if start is None or end is None:
+        dated = [stg["transactions"].select(F.to_date("transaction_timestamp").alias("date_day"))]
+        if "inventory_movements" in stg:
+            dated.append(stg["inventory_movements"].select(F.to_date("movement_timestamp").alias("date_day")))
+        low, high = reduce(DataFrame.unionByName, dated).agg(F.min("date_day"), F.max("date_day")).first()
+        start, end = start or str(low), end or str(high)
     store("dim_date", dims.dim_date(lake.spark, start, end))
     customer = store("dim_customer", dims.dim_customer(stg["customers"]))
     product = store("dim_product", dims.dim_product(stg["products"]))
@@ -155,13 +165,10 @@ def build_star(
         first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
         store(
             "fact_inventory_daily_snapshot",
-            facts.fact_inventory_daily_snapshot(moves, first, last, today),
-        )
-    if "returns" in stg and "support_tickets" in stg:
-        store(
-            "fact_customer_activity",
-            facts.fact_customer_activity(tx, stg["returns"], stg["support_tickets"], customer),
+            facts.fact_inventory_daily_snapshot(moves, first, last, today, opening_balance=True),
         )
+    activity = facts.fact_customer_activity(tx, stg.get("returns"), stg.get("support_tickets"), customer)
+    store("fact_customer_activity", activity)
     return star
 
 

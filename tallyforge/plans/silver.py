@@ -131,17 +131,21 @@ def light_silver(name: str, df: DataFrame) -> DataFrame:
     """Shortcut from a source table to silver without envelopes."""
     # Columns kept per table.
     columns = {
-        "transactions": "id transaction_id customer_id store_id channel product_id quantity unit_price"
-        " discount transaction_timestamp",
-        "products": "id sku name category price cost",
-        "customers": "id first_name last_name email phone gender state birth_date",
-        "stores": "id name city state country square_footage open_date",
-        "returns": "id transaction_id product_id quantity refund_amount return_reason return_timestamp",
-    }
+        "transactions": (
+            "id", "transaction_id", "customer_id", "store_id", "channel", "product_id", "quantity", "unit_price", "discount",
+            "transaction_timestamp",
+        ),
+        "products": ("id", "sku", "name", "category", "price", "cost"),
+        "customers": ("id", "first_name", "last_name", "email", "phone", "gender", "state", "birth_date"),
+        "stores": ("id", "name", "city", "state", "country", "square_footage", "open_date"),
+        "returns": (
+            "id", "transaction_id", "product_id", "quantity", "refund_amount", "return_reason", "return_timestamp",
+        ),
+    }
     if name not in columns:
         raise ValueError(f"no shortcut for table {name}")
     if name == "transactions":
-        df = df.where((F.col("quantity") > 0) & (F.col("unit_price") > 0))
+        df = df.where((F.col("quantity").try_cast("double") > 0) & (F.col("unit_price").try_cast("double") > 0))
     elif name == "customers":
         df = df.where(F.col("email").like("%@%"))
-    return df.select(*[c for c in columns[name].split() if c in df.columns])
+    return df.select(*[c for c in columns[name] if c in df.columns])

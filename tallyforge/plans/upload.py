@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge.operators.latest import upsert_by_key
 from tallyforge.plans.medallion import refresh_analytics
 from tallyforge.plans.silver import light_silver
 from tallyforge.sources.layers import Lakehouse
-from tallyforge.sources.uploads import TABLE_COLUMNS, adapt_upload, read_upload
+from tallyforge.sources.uploads import TABLE_COLUMNS, adapt_upload, read_upload, target_schema
 
 LIGHT_TABLES = ("transactions", "products", "customers", "stores", "returns")
 
 
-def merge_upload(target: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """The source table with the uploaded rows in place of their earlier versions."""
+def merge_upload(target: DataFrame | None, rows: DataFrame, table: str) -> DataFrame:
+    """The source table with the uploaded rows in place of their earlier versions.
+
+    The table has every column of its definition from its first upload on, in the contract's types, so files of different
+    shapes meet. Columns that the table has already keep their type. Values that do not fit their type become NULL and are
+    left to the contract's checks.
+    """
+    wanted = {f.name: f.dataType for f in target_schema(table)}
+    have = {f.name: f.dataType for f in target.schema} if target is not None else {}
+    types = {**have, **{c: t for c, t in wanted.items() if c not in have}}
+
+    def shaped(df: DataFrame, cast: bool) -> DataFrame:
+        return df.select(
+            *[
+                (df[c].try_cast(t) if cast else df[c]).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c)
+                for c, t in types.items()
+            ]
+        )
+
     if target is None:
-        return rows
-    typed = rows.select(
-        *[rows[c].try_cast(target.schema[c].dataType).alias(c) for c in rows.columns if c in target.columns]
-    )
-    return upsert_by_key(target, typed, ["id"])
+        return shaped(rows, cast=True)
+    return upsert_by_key(shaped(target, cast=False), shaped(rows, cast=True), ["id"])
 
 
 def ingest_upload(
-    lake: Lakehouse, path: str, kind: str, table: str, upload: str, as_of: Column | None = None
+    lake: Lakehouse,
+    path: str,
+    kind: str,
+    table: str,
+    upload: str | None = None,
+    as_of: Column | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Runs the upload and returns the new source table."""
+    """Runs the upload and returns the new source table.
+
+    ``upload`` identifies the upload, not the file: repeat it to retry, leave it out for a new one.
+    """
+    upload = upload or str(uuid.uuid4())
     if table not in TABLE_COLUMNS:
         raise ValueError(f"unknown table {table}")
-    raw = read_upload(lake.spark, path, kind)
+    raw = read_upload(lake.spark, path, kind, multi_line)
     if raw.isEmpty():
         raise ValueError("uploaded file contains no rows")
     rows = adapt_upload(raw, table, upload, as_of)
-    merged = merge_upload(lake.read("source", table), rows)
+    merged = merge_upload(lake.read("source", table), rows, table)
     lake.write(merged, "source", table)
 
     if table in LIGHT_TABLES:

@@ -90,13 +90,6 @@ class Lakehouse:
         return latest_by(entries, ["table_name"], ["timestamp", "run_id"]).drop("run_id")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalances a scan that has fewer splits than the cluster has cores, such as a file with a
-    single row group; larger scans pass through untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_source(
     spark: SparkSession,
     location: str,
@@ -105,17 +98,20 @@ def read_source(
     partition_column: str | None = None,
     bounds: tuple[str, str] | None = None,
     partitions: int = 200,
+    one_connection: bool = False,
     **options: str,
 ) -> DataFrame | None:
     """A source table from files, or over JDBC with ``location`` as the table name.
 
     JDBC reads are split on ``partition_column`` between ``bounds`` so that no single connection
-    carries the whole table. None stands for an empty source.
+    carries the whole table; a small table may ask for ``one_connection``. None stands for an empty source.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "jdbc":
         reader = reader.option("dbtable", location)
-        if partition_column and bounds:
+        if not one_connection:
+            if not (partition_column and bounds):
+                raise ValueError("a JDBC read needs partition_column and bounds, or one_connection")
             reader = reader.options(
                 partitionColumn=partition_column,
                 lowerBound=bounds[0],

@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyforge.contracts import CONTRACTS, TIMESTAMP_COLUMNS
 from tallyforge.functions.temporal import parse_any, to_second_text
 
 # Accepted header spellings per canonical column.
@@ -32,17 +34,26 @@ _SPELLINGS = {
 
 # Columns of the target tables.
 TABLE_COLUMNS = {
-    "customers": "id first_name last_name email phone gender state birth_date created_at updated_at",
-    "products": "id sku name category price cost created_at updated_at",
-    "stores": "id name city state country square_footage open_date",
-    "transactions": "id transaction_id customer_id store_id channel product_id quantity unit_price"
-    " discount transaction_timestamp created_at",
-    "returns": "id transaction_id product_id quantity refund_amount return_reason return_timestamp",
-    "inventory_movements": "id product_id store_id movement_type quantity movement_timestamp",
-    "marketing_campaigns": "id campaign_name channel cost impressions clicks conversions campaign_date",
-    "support_tickets": "id customer_id issue_category status priority ticket_timestamp"
-    " resolution_timestamp",
-}
+    "customers": (
+        "id", "first_name", "last_name", "email", "phone", "gender", "state", "birth_date", "created_at", "updated_at",
+    ),
+    "products": ("id", "sku", "name", "category", "price", "cost", "created_at", "updated_at"),
+    "stores": ("id", "name", "city", "state", "country", "square_footage", "open_date"),
+    "transactions": (
+        "id", "transaction_id", "customer_id", "store_id", "channel", "product_id", "quantity", "unit_price", "discount",
+        "transaction_timestamp", "created_at",
+    ),
+    "returns": ("id", "transaction_id", "product_id", "quantity", "refund_amount", "return_reason", "return_timestamp"),
+    "inventory_movements": ("id", "product_id", "store_id", "movement_type", "quantity", "movement_timestamp"),
+    "marketing_campaigns": (
+        "id", "campaign_name", "channel", "cost", "impressions", "clicks", "conversions", "campaign_date",
+    ),
+    "support_tickets": (
+        "id", "customer_id", "issue_category", "status", "priority", "ticket_timestamp", "resolution_timestamp",
+    ),
+}
+
+TYPES = {"integer": T.IntegerType(), "decimal": T.DecimalType(18, 2), "double": T.DoubleType(), "date": T.DateType()}
 
 # Headers that name the row id of these tables.
 _OWN_ID = {
@@ -58,18 +69,32 @@ def synonyms(table: str) -> dict[str, str]:
     A header that is a column of the table itself keeps its name (``price`` of products is not a
     ``unit_price``), and a customers or products file's own id column becomes ``id``.
     """
-    own = set(TABLE_COLUMNS.get(table, "").split())
+    own = set(TABLE_COLUMNS.get(table, ()))
     mapping = {s: c for c, spellings in _SPELLINGS.items() for s in spellings}
     mapping.update({s: "id" for s in _OWN_ID.get(table, [])})
     return {s: c for s, c in mapping.items() if s not in own or s == c}
 
 
-def read_upload(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """CSV with a header (columns as text) or JSON records; bad bytes are replaced."""
+def target_schema(table: str) -> T.StructType:
+    """Column names and types of a source table: the contract's, timestamps read, everything else text."""
+    contract = CONTRACTS[table]
+    types = {r.name: TYPES.get(r.type, T.StringType()) for r in contract.columns}
+    types.update({c: T.TimestampNTZType() for c in TIMESTAMP_COLUMNS if c != "birth_date"})
+    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in TABLE_COLUMNS[table]])
+
+
+def read_upload(spark: SparkSession, path: str, kind: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header (columns as text) or JSON records; bad bytes are replaced.
+
+    With ``multi_line`` quoted values may hold line breaks, and a JSON file may be one array; such a file is one task.
+    Without it files are split and read in parallel, JSON has a record a line, and a CSV row that does not
+    have the header's number of values fails the upload rather than shifting columns.
+    """
     if kind == "csv":
-        return spark.read.options(header=True, mode="PERMISSIVE", encoding="UTF-8", escape='"').csv(path)
+        mode = "PERMISSIVE" if multi_line else "FAILFAST"
+        return spark.read.options(header=True, mode=mode, encoding="UTF-8", escape='"', multiLine=multi_line).csv(path)
     if kind == "json":
-        return spark.read.option("multiLine", True).json(path)
+        return spark.read.option("multiLine", multi_line).json(path)
     raise ValueError(f"unsupported upload kind {kind}")
 
 
@@ -107,8 +132,8 @@ def apply_defaults(df: DataFrame, as_of: Column | None = None) -> DataFrame:
 def ensure_id(df: DataFrame, upload: str) -> DataFrame:
     """Keeps the ids when every row has its own, else gives all rows new ones.
 
-    New ids hash the upload name with the row's place in the file split, so a retried task
-    repeats them. NULL ids count as equal to each other.
+    New ids hash the upload's id with the row's place in the file split, so a retried task or a repeated
+    upload under the same id repeats them, and no two uploads share one. NULL ids count as equal to each other.
     """
     fresh = F.md5(F.concat_ws("-", F.lit(upload), F.monotonically_increasing_id().cast("string")))
     if "id" not in df.columns:
@@ -130,4 +155,4 @@ def adapt_upload(df: DataFrame, table: str, upload: str, as_of: Column | None =
     shaped = harmonize_columns(df, synonyms(table))
     if table == "transactions":
         shaped = apply_defaults(shaped, as_of)
-    return project_to(ensure_id(shaped, upload), TABLE_COLUMNS[table].split())
+    return project_to(ensure_id(shaped, upload), TABLE_COLUMNS[table])

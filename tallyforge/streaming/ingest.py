@@ -14,9 +14,6 @@ from tallyforge.operators.bronze import ENVELOPE, SourceSpec, event_time, to_bro
 from tallyforge.operators.latest import apply_changes, latest_by
 from tallyforge.plans.silver import RECENCY, tag
 
-# Late sales arrive up to a week back-dated.
-DEFAULT_DELAY = "7 days"
-
 
 def file_source(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options: str
@@ -39,16 +36,28 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, **options: str)
 def payload_envelope(
     raw: DataFrame, spec: SourceSpec, run_id: str, as_of: Column | None = None
 ) -> DataFrame:
-    """Envelopes of payloads that arrive as JSON text, with the operation in field ``op`` (default C)."""
+    """Envelopes of payloads that arrive as JSON text, with the operation in field ``op`` (default C).
+
+    Change-capture events are unwrapped: the row is ``after``, or ``before`` of a deletion, below ``payload`` if there is
+    one; operations c, r, u and d count as C, C, U and D. An event without a key is identified by its payload.
+    """
     now = (as_of if as_of is not None else F.current_timestamp()).cast("timestamp_ntz")
-    key = F.get_json_object("raw_payload", f"$.{spec.business_key}")
+    root = F.coalesce(F.get_json_object("raw_payload", "$.payload"), F.col("raw_payload"))
+    raw = raw.withColumn("_root", root)
+    code = F.upper(F.substring(F.get_json_object("_root", "$.op"), 1, 1))
+    images = [F.get_json_object("_root", f"$.{name}") for name in ("after", "before")]
+    row = F.coalesce(*images, F.col("_root"))
+    raw = raw.withColumn("_op", F.coalesce(F.when(code == "R", "C").otherwise(code), F.lit("C")))
+    raw = raw.withColumn("_row", F.when(F.col("_op") == "D", F.coalesce(images[1], row)).otherwise(row))
+    key = F.get_json_object("_row", f"$.{spec.business_key}")
+    raw = raw.withColumn("_identity", F.coalesce(key, F.md5("raw_payload"))).withColumn("raw_payload", F.col("_row"))
     return raw.select(
-        F.md5(F.concat_ws("-", F.lit(spec.system), F.lit(spec.table), key)).alias("event_id"),
+        F.md5(F.concat_ws("-", F.lit(spec.system), F.lit(spec.table), F.col("_identity"))).alias("event_id"),
         key.alias("business_key"),
         "raw_payload",
         F.lit(spec.system).alias("source_system"),
         F.lit(spec.table).alias("topic_table"),
-        F.coalesce(F.get_json_object("raw_payload", "$.op"), F.lit("C")).alias("operation_type"),
+        F.col("_op").alias("operation_type"),
         event_time("raw_payload", now).alias("event_timestamp"),
         now.alias("ingestion_timestamp"),
         F.lit("1.0").alias("schema_version"),
@@ -84,9 +93,28 @@ def stream_rows_to_bronze(
     return stream_bronze(to_bronze(rows, spec, run_id, as_of=as_of, operation=operation), path, checkpoint)
 
 
-def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """First arrival per key; state of a key is dropped ``delay`` after its event time."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+def stream_unique(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Stores one row per key of every micro-batch; ``unique_rows`` settles repeats between batches.
+
+    A watermark would discard first arrivals that come late, and state without one grows for ever. A batch owns the folder
+    of its number, so a replay overwrites its own rows, and a batch costs what it brought.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        df.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def unique_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The first arrival of every key over all batches, however late it came."""
+    stored = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
+    return latest_by(stored.withColumn("_age", -F.col("batch_id")), keys, ["_age"]).drop("_age", "batch_id")
 
 
 def stream_silver(

@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tallyforge.checks.oracle import ORACLE
+from tallyforge.checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -29,18 +31,18 @@ def canonical(columns, data):
     return sorted(tuple("NULL" if r[i] is None else str(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, duck, name):
-    df = queries()[name](spark, SF_DIR)
-    result = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    result = duck.execute(ORACLE[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert canonical(df.columns, df.collect()) == canonical(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(spark, name):
-    assert queries()[name](spark, SF_DIR).count() > 0
+    assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
 def test_entry(spark):

@@ -11,7 +11,7 @@ from tallyforge.operators.latest import apply_changes, upsert_by_key
 from tallyforge.plans import medallion, upload
 from tallyforge.plans.silver import upsert_audit
 from tallyforge.sources import exports, uploads
-from tallyforge.sources.layers import Lakehouse, materialize, publish, read_source, spread
+from tallyforge.sources.layers import Lakehouse, materialize, publish, read_source
 
 
 def csv_file(tmp_path, name, *lines):
@@ -33,22 +33,22 @@ def test_foreign_sales_file(spark, tmp_path):
         tmp_path,
         "s.csv",
         "Row ID,Order ID,Order Date,Ship Mode,Customer ID,Segment,Category,Sub-Category,Product Name,Sales",
-        '1,CA-1,05/08/2026,Standard Class,C1,Consumer,Furniture,Chairs,"Chair, red",261.96',
-        "2,CA-2,13/08/2026,POS,C2,Consumer,Office,Labels,Labels,14.62",
-        "3,CA-3,whenever,POS,C2,Consumer,Office,Labels,Labels,1.00",
+        '1,N-71,03/11/2026,Bicycle,C1,Club,Garden,Pots,"Pot, blue",48.25',
+        "2,N-72,27/02/2026,POS,C2,Club,Kitchen,Knives,Paring knife,7.40",
+        "3,N-73,whenever,POS,C2,Club,Kitchen,Knives,Bread knife,1.00",
     )
     raw = uploads.read_upload(spark, path, "csv")
     shaped = uploads.harmonize_columns(raw, uploads.synonyms("transactions"))
     assert "category" in shaped.columns and "sub-category" in shaped.columns
     got = uploads.adapt_upload(raw, "transactions", "u1", as_of()).orderBy("transaction_id").collect()
     assert [r.transaction_timestamp for r in got] == [
-        "2026-05-08 00:00:00",
-        "2026-08-13 00:00:00",
+        "2026-03-11 00:00:00",
+        "2026-02-27 00:00:00",
         "2026-07-01 00:00:00",
     ]
-    assert (got[0].unit_price, got[0].channel, got[0].quantity, got[0].discount) == ("261.96", "Standard Class", 1, 0.0)
+    assert (got[0].unit_price, got[0].channel, got[0].quantity, got[0].discount) == ("48.25", "Bicycle", 1, 0.0)
     assert len({r.id for r in got}) == 3
-    assert set(got[0].asDict()) <= set(uploads.TABLE_COLUMNS["transactions"].split())
+    assert set(got[0].asDict()) <= set(uploads.TABLE_COLUMNS["transactions"])
 
 
 def test_missing_columns_get_defaults(spark):
@@ -90,6 +90,28 @@ def test_ids_are_all_kept_or_all_replaced(spark):
     assert {r.id for r in uploads.ensure_id(repeated, "u").collect()} == fresh
 
 
+def test_uploads_of_one_file_name_keep_each_other(spark, lake, tmp_path):
+    """Two folders, one file name, different columns; then the second upload again under its own id."""
+    first = csv_file(tmp_path, "orders.csv", "Order ID,Customer ID,Sales", "T1,C1,5.00", "T2,C2,6.00")
+    (tmp_path / "b").mkdir()
+    second = csv_file(tmp_path / "b", "orders.csv", "Order ID,Store ID,Qty", "T8,S1,2.5", "T9,S1,4")
+    upload.ingest_upload(lake, first, "csv", "transactions", as_of=as_of())
+    for _ in range(2):
+        upload.ingest_upload(lake, second, "csv", "transactions", "again", as_of())
+    got = lake.read("source", "transactions").orderBy("transaction_id").collect()
+    assert [(r.transaction_id, r.customer_id, r.store_id, r.quantity) for r in got] == [
+        ("T1", "C1", None, 1), ("T2", "C2", None, 1), ("T8", None, "S1", None), ("T9", None, "S1", 4),
+    ]
+    assert [r.transaction_id for r in lake.read("light", "transactions").orderBy("transaction_id").collect()] == ["T1", "T2", "T9"]
+
+
+def test_csv_line_breaks_and_short_rows(spark, tmp_path):
+    path = csv_file(tmp_path, "q.csv", "order id,description", 'T1,"two', 'lines"', "T2,plain")
+    assert rows(uploads.read_upload(spark, path, "csv"), "order id") == [("T1", "two\nlines"), ("T2", "plain")]
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        uploads.read_upload(spark, path, "csv", multi_line=False).collect()
+
+
 def test_json_upload(spark, tmp_path):
     path = tmp_path / "x.json"
     path.write_text(json.dumps([{"id": "1", "qty": 3}, {"id": "2", "qty": 4}]))
@@ -161,12 +183,11 @@ def test_publish_and_materialize(spark):
     assert "Exchange hashpartitioning" not in plan
 
 
-def test_read_source_and_spread(spark, tmp_path):
+def test_read_source(spark, tmp_path):
     spark.range(10).coalesce(1).write.parquet(str(tmp_path / "p"))
-    df = read_source(spark, str(tmp_path / "p"))
-    assert df.count() == 10 and spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 10, 1, 64)
-    assert spread(wide) is wide
+    assert read_source(spark, str(tmp_path / "p")).count() == 10
+    with pytest.raises(ValueError, match="bounds"):
+        read_source(spark, "t", "jdbc", url="jdbc:none")
     spark.range(0).write.parquet(str(tmp_path / "none"))
     assert read_source(spark, str(tmp_path / "none")) is None
 

@@ -76,9 +76,40 @@ def test_stream_dedup_keeps_one_arrival(spark, tmp_path):
     )
     df.repartition(4).write.parquet(str(tmp_path / "in"))
     source = ingest.file_source(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger="1")
-    unique = ingest.stream_dedup(source, ["event_id"], "at")
-    ingest.stream_bronze(unique, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out")).select("event_id"), "event_id") == [(f"k{i}",) for i in range(5)]
+    ingest.stream_unique(source, ["event_id"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = ingest.unique_rows(spark, str(tmp_path / "out"), ["event_id"])
+    assert got.columns == ["event_id", "at"]
+    assert rows(got.select("event_id"), "event_id") == [(f"k{i}",) for i in range(5)]
+
+
+def test_stream_dedup_keeps_late_first_arrivals(spark, tmp_path):
+    """Three files, the newest first; every id is far older than the watermark of the one before would allow."""
+    for i, month in enumerate(("09", "06", "03")):
+        day = spark.sql(f"select 'm{month}-' || id event_id, timestamp'2026-{month}-01 00:00:00' at from range(10)")
+        day.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = ingest.file_source(spark, str(tmp_path / "in"), day.schema, maxFilesPerTrigger="1", latestFirst="true")
+    ingest.stream_unique(source, ["event_id"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert ingest.unique_rows(spark, str(tmp_path / "out"), ["event_id"]).count() == 30
+
+
+def test_change_events_are_unwrapped(spark):
+    payloads = [
+        '{"op": "c", "before": null, "after": {"id": "1", "v": 1}}',
+        '{"payload": {"op": "u", "before": {"id": "1", "v": 1}, "after": {"id": "1", "v": 2}}}',
+        '{"op": "d", "before": {"id": "1", "v": 2}, "after": null}',
+        '{"op": "r", "after": {"id": "2"}}',
+        '{"id": "3", "op": "D"}',
+        '{"id": "4"}',
+        '{"nothing": 1}',
+        '{"nothing": 2}',
+    ]
+    raw = spark.createDataFrame([(p, 0, i) for i, p in enumerate(payloads)], "raw_payload string, kafka_partition int, kafka_offset long")
+    got = ingest.payload_envelope(raw, SPEC["transactions"], "run", as_of()).orderBy("kafka_offset").collect()
+    assert [(r.business_key, r.operation_type) for r in got] == [
+        ("1", "C"), ("1", "U"), ("1", "D"), ("2", "C"), ("3", "D"), ("4", "C"), (None, "C"), (None, "C"),
+    ]
+    assert got[1].raw_payload == '{"id":"1","v":2}' and got[2].raw_payload == '{"id":"1","v":2}'
+    assert got[0].event_id == got[2].event_id and got[6].event_id != got[7].event_id
 
 
 @pytest.mark.parametrize("files", [1, 6])
