@@ -6,10 +6,13 @@ steps). ``checks.oracle`` states the same mapping independently in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.plans import staging
+from tallyforge.session import scratch_dir
 
 AS_OF = "2026-01-01 00:00:00"
 
@@ -30,6 +33,15 @@ class Retail:
             self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame written once per query and read back, as the batch run stores its dimensions before the facts."""
+        if name not in self._tables:
+            path = scratch_dir(self.spark, name)
+            df = build()
+            df.write.parquet(path)
+            self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self._tables[name]
+
     def stream(self, name: str) -> DataFrame:
         schema = self.table(name).schema
         reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")

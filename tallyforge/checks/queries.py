@@ -206,38 +206,50 @@ def dim_promotion(r: Retail) -> DataFrame:
 # -- facts ----------------------------------------------------------------------------------
 
 
+def _customers(r: Retail) -> DataFrame:
+    return r.stored("dim_customer", lambda: dims.dim_customer(r.stg("customers")))
+
+
+def _products(r: Retail) -> DataFrame:
+    return r.stored("dim_product", lambda: dims.dim_product(r.stg("products")))
+
+
+def _stores(r: Retail) -> DataFrame:
+    return r.stored("dim_store", lambda: dims.dim_store(r.stg("stores")))
+
+
 @query
 def fact_sales_line(r: Retail) -> DataFrame:
     return facts.fact_sales_line(
         r.stg("transactions"),
-        dims.dim_customer(r.stg("customers")),
-        dims.dim_product(r.stg("products")),
-        dims.dim_store(r.stg("stores")),
+        _customers(r),
+        _products(r),
+        _stores(r),
     )
 
 
 @query
 def fact_return_line(r: Retail) -> DataFrame:
-    return facts.fact_return_line(r.stg("returns"), dims.dim_product(r.stg("products")))
+    return facts.fact_return_line(r.stg("returns"), _products(r))
 
 
 @query
 def fact_support_ticket(r: Retail) -> DataFrame:
-    return facts.fact_support_ticket(r.stg("support_tickets"), dims.dim_customer(r.stg_members()))
+    return facts.fact_support_ticket(r.stg("support_tickets"), r.stored("dim_member", lambda: dims.dim_customer(r.stg_members())))
 
 
 @query
 def fact_marketing_daily(r: Retail) -> DataFrame:
     marketing = r.stg("marketing_campaigns")
-    return facts.fact_marketing_daily(marketing, dims.dim_campaign(marketing))
+    return facts.fact_marketing_daily(marketing, r.stored("dim_campaign", lambda: dims.dim_campaign(marketing)))
 
 
 @query
 def fact_inventory_movement(r: Retail) -> DataFrame:
     return facts.fact_inventory_movement(
         r.stg("inventory_movements"),
-        dims.dim_product(r.stg("products")),
-        dims.dim_store(r.stg("stores")),
+        _products(r),
+        _stores(r),
     )
 
 
@@ -292,7 +304,7 @@ def fact_customer_activity(r: Retail) -> DataFrame:
         r.stg("transactions"),
         r.stg("returns"),
         r.stg("support_tickets"),
-        dims.dim_customer(r.stg("customers")),
+        _customers(r),
     )
 
 
@@ -317,7 +329,7 @@ def pit_join_revenue(r: Retail) -> DataFrame:
 def pit_join_versions(r: Retail) -> DataFrame:
     """Purchases of the events feed against the member version of their moment."""
     purchases = r.events().where(F.col("event_type") == "purchase").select("event_id", "user", "ts")
-    versions = dims.dim_customer(r.stg_members())
+    versions = r.stored("dim_member", lambda: dims.dim_customer(r.stg_members()))
     return pit_join(
         purchases,
         versions,
