@@ -17,6 +17,7 @@ from tallyforge.plans import dims, facts, forecast, fraud, kpis, privacy, silver
 from tallyforge.plans.upload import merge_upload
 from tallyforge.session import scratch_dir
 from tallyforge.sources import exports, uploads
+from tallyforge.sources.layers import Lakehouse
 from tallyforge.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,6 +648,52 @@ def upload_ids(r: Retail) -> DataFrame:
     return summary("regenerated", lines).unionByName(summary("kept", unchanged))
 
 
+# -- storage: written, read back and compared whole --------------------------------------------
+
+
+def _lake(r: Retail) -> Lakehouse:
+    return Lakehouse(r.spark, scratch_dir(r.spark, "lake"))
+
+
+@query
+def layer_versions(r: Retail) -> DataFrame:
+    """A table written twice; the reader must see the second version, and nothing for a table never written."""
+    lake, lines = _lake(r), r.transactions()
+    lake.write(lines.where("channel = 'POS'"), "silver", "transactions")
+    lake.write(lines, "silver", "transactions")
+    assert lake.read("silver", "returns") is None
+    return lake.read("silver", "transactions").select("id", "customer_id", "quantity", "unit_price", "transaction_timestamp")
+
+
+@query
+def quarantine_runs(r: Retail) -> DataFrame:
+    """Rows appended by two runs, the first of them repeated: a repeated run replaces its own rows."""
+    lake, orders = _lake(r), r.table("orders").select("o_orderkey", "o_orderstatus")
+    for run, status in (("first", "F"), ("second", "O"), ("first", "F")):
+        lake.append_run(orders.where(F.col("o_orderstatus") == status), "quarantine", "orders", run)
+    return lake.read_runs("quarantine", "orders")
+
+
+def _upload_rows(r: Retail) -> DataFrame:
+    note = F.concat(F.col("o_orderpriority"), F.lit(",\n"), F.col("o_orderstatus"))
+    return r.table("orders").select(F.col("o_orderkey").cast("string"), note.alias("note"), F.col("o_custkey").cast("string"))
+
+
+@query
+def csv_upload(r: Retail) -> DataFrame:
+    """Exported as CSV, commas and line breaks inside values, and read as an upload."""
+    path = scratch_dir(r.spark, "csv")
+    exports.export_csv(_upload_rows(r), path)
+    return uploads.read_upload(r.spark, path, "csv")
+
+
+@query
+def json_upload(r: Retail) -> DataFrame:
+    path = scratch_dir(r.spark, "json")
+    _upload_rows(r).write.json(path)
+    return uploads.read_upload(r.spark, path, "json", multi_line=False)
+
+
 # -- privacy --------------------------------------------------------------------------------
 
 
