@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,6 +14,7 @@ from tallyforge.llm import repair as R
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     "The cat's hat sat; the cat's hat sat.", "", None, " \n\t", "naïve Café café İI ſ ß", "a b c\x1cd\x85e", "<|endoftext|> don't 1234",
+    "ΣΑΣ ΑΣ ΑΣ. ς σ Éé é é.. ŒUVRE, ß! x's 'tis it's, can't. don'T a-b a_b a1b ªº ʰa Ⅷ ²",
     "日本語 テキスト 🎉🎉 x", "the the the the the the the", "Word " * 40_000, "́start ́ end",
 ]
 
@@ -35,30 +37,43 @@ def test_read_back_equals_the_tokenizer(spark, size):
     assert got == want
 
 
+def test_words_of_all_tables_are_encoded_as_the_tokenizer_does():
+    import duckdb
+
+    texts = [r[0] for r in duckdb.execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    assert [ids.tolist() + [1] for ids in R.encoded(PATH, pa.array(texts))] == plain(texts)
+
+
 def test_random_access_and_rules(spark):
     df = spark.createDataFrame([(i, (t or "") + " over and over and over again") for i, t in enumerate(TEXTS)], "doc_id long, text string")
     rows = [r.asDict() for r in R.shards(df.coalesce(1), PATH, least=2).collect()]
     want = dict(enumerate(plain([(t or "") + " over and over and over again" for t in TEXTS])))
     for row in rows:
-        rules, lengths, terminals = R.grammar(row)
-        assert (rules < terminals + np.arange(len(rules))[:, None]).all()  # a rule uses what was made before
-        assert all(len(R.expanded(np.array([terminals + r]), rules, lengths, terminals)) == n for r, n in enumerate(lengths[:50]))
+        alphabet, rules, lengths = R.grammar(row)
+        assert (rules < len(alphabet) + np.arange(len(rules))[:, None]).all()  # a rule uses what was made before
+        assert all(len(R.expanded(np.array([len(alphabet) + r]), alphabet, rules, lengths)) == n for r, n in enumerate(lengths[:50]))
         for k, doc_id in enumerate(np.frombuffer(row["doc_ids"], "<i8").tolist()):
             assert R.document_ids(row, k).tolist() == want[doc_id]
     assert sum(r["n_symbols"] for r in rows) < sum(r["n_tokens"] for r in rows) / 4
 
 
-def test_no_pair_is_left_or_crosses_a_document():
+@pytest.mark.parametrize("terminals", [6, 70_000])
+def test_no_frequent_pair_is_left_and_none_crosses_a_document(terminals):
     rng = np.random.default_rng(2)
-    ids = rng.choice(6, 5000, p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05]).astype(np.uint32)
+    ids = rng.choice(6, 5000, p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05]) + terminals - 6
     ends = np.zeros(len(ids), bool)
     ends[99::100] = True
-    symbols, rules, counts = R.compressed(ids, ends, 6, 4, 0.3)
-    out = R.expanded(symbols, rules.astype(np.int64), R.rule_lengths(rules, 6), 6)
-    assert (out == ids).all()
+    symbols, rules, counts = R.compressed(ids, ends, terminals, 4, 0.3)
+    grammar = np.arange(terminals, dtype=np.uint32), rules, R.rule_lengths(rules, terminals)
+    assert (R.expanded(symbols, *grammar) == ids).all()
     assert counts.sum() == len(symbols) and len(counts) == 50
-    stops = np.cumsum(counts)
-    assert all(len(R.expanded(s, rules.astype(np.int64), R.rule_lengths(rules, 6), 6)) == 100 for s in np.split(symbols, stops[:-1]))
+    documents = np.split(symbols, np.cumsum(counts)[:-1])
+    assert all(len(R.expanded(s, *grammar)) == 100 for s in documents)
+    pairs = {}
+    for s in documents:
+        for pair in zip(s[:-1].tolist(), s[1:].tolist()):
+            pairs[pair] = pairs.get(pair, 0) + 1
+    assert max(pairs.values()) < 4
 
 
 def test_odd_tables(spark):
