@@ -2,6 +2,8 @@
 
     python -m tallyforge run    --lake PATH --source PATH [--contracts FILE] [--start D --end D]
     python -m tallyforge upload --lake PATH --file PATH --kind csv|json --table NAME
+    python -m tallyforge review --lake PATH --transaction ID --status Approved|Dismissed|Pending
+    python -m tallyforge erase  --lake PATH --customers FILE
     python -m tallyforge report --lake PATH --name overview|trend|segments|inventory|fraud|health
 """
 
@@ -11,9 +13,10 @@ import argparse
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge.contracts import CONTRACTS, load_contracts
-from tallyforge.plans import fraud, kpis, medallion, staging, upload
+from tallyforge.plans import fraud, kpis, medallion, privacy, staging, upload
 from tallyforge.session import build_session
 from tallyforge.sources.exports import export_csv
 from tallyforge.sources.layers import Lakehouse, read_source
@@ -29,6 +32,8 @@ def run(lake: Lakehouse, args: argparse.Namespace) -> None:
     for table, outcome in medallion.ingest_all(lake, read, run_id).items():
         print(f"{table}: {outcome}")
     medallion.clean_all(lake, run_id, contracts)
+    if args.publish or args.publish_url:
+        print("published", *medallion.publish_silver(lake, **({"url": args.publish_url} if args.publish_url else {})))
     medallion.build_star(lake, args.start, args.end)
     names = ("transactions", "products", "returns", "customers")
     silver = {name: medallion.current_silver(lake, name) for name in names}
@@ -78,6 +83,16 @@ def main() -> None:
     batch.add_argument("--start", help="first day of the calendar; the first day of the facts by default")
     batch.add_argument("--end", help="last day of the calendar; the last day of the facts by default")
 
+    batch.add_argument("--publish", action="store_true", help="also write silver tables to the session's catalog")
+    batch.add_argument("--publish-url", help="also write silver tables over JDBC")
+
+    review = commands.add_parser("review", parents=[common])
+    review.add_argument("--transaction", required=True)
+    review.add_argument("--status", required=True)
+
+    erase = commands.add_parser("erase", parents=[common])
+    erase.add_argument("--customers", required=True, help="CSV file with a customer_id column")
+
     load = commands.add_parser("upload", parents=[common])
     load.add_argument("--file", required=True)
     load.add_argument("--kind", choices=("csv", "json"), default="csv")
@@ -97,6 +112,11 @@ def main() -> None:
     lake = Lakehouse(build_session(master=args.master), args.lake)
     if args.command == "run":
         run(lake, args)
+    elif args.command == "review":
+        decision = lake.spark.createDataFrame([(args.transaction, args.status)], "transaction_id string, status string")
+        medallion.record_review(lake, decision.withColumn("decided_at", F.current_timestamp()))
+    elif args.command == "erase":
+        privacy.erase_customers(lake, lake.spark.read.option("header", True).csv(args.customers))
     elif args.command == "upload":
         upload_id = args.upload_id or str(uuid.uuid4())
         print(f"upload {upload_id}")

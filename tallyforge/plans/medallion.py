@@ -14,7 +14,7 @@ from tallyforge.operators.bronze import SOURCES, SourceSpec, to_bronze
 from tallyforge.plans import dims, facts, forecast, fraud
 from tallyforge.plans.silver import DEDUP_KEYS, VERSION_KEYS, audit_row, current_rows, deduplicate, split, tag
 from tallyforge.plans.staging import STAGING
-from tallyforge.sources.layers import Lakehouse
+from tallyforge.sources.layers import Lakehouse, publish
 
 log = logging.getLogger(__name__)
 
@@ -109,6 +109,20 @@ def current_silver(lake: Lakehouse, name: str) -> DataFrame | None:
     return current_rows(silver) if silver is not None and name in VERSIONED else silver
 
 
+def publish_silver(lake: Lakehouse, **jdbc: str) -> list[str]:
+    """Publishes the current rows of every silver table; returns the warehouse tables."""
+    tables = {name: current_silver(lake, name) for name in STAGING}
+    return [publish(df, name, **jdbc) for name, df in tables.items() if df is not None]
+
+
+def record_review(lake: Lakehouse, decisions: DataFrame) -> None:
+    """Stores the fraud queue with the reviewers' decisions."""
+    queue = lake.read("gold", "fact_fraud_queue")
+    if queue is None:
+        raise ValueError("there is no fraud queue to review")
+    lake.write(fraud.apply_review(queue, decisions), "gold", "fact_fraud_queue")
+
+
 def staged_tables(lake: Lakehouse) -> dict[str, DataFrame]:
     """Staging projections of every silver table that exists."""
     silver = {name: lake.read("silver", name) for name in STAGING}

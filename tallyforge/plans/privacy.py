@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.contracts import Contract
+from tallyforge.sources.layers import Lakehouse
 
 # Replacements for an erased customer.
 ERASED_NAME = "DELETED_USER"
 ERASED_EMAIL = "forgotten@compliance.com"
 ERASED_PHONE = ""
+ERASED = {"first_name": ERASED_NAME, "last_name": ERASED_NAME, "email": ERASED_EMAIL, "phone": ERASED_PHONE}
 
 
 def mask_tail(text: Column) -> Column:
@@ -58,6 +60,49 @@ def mask_pii(df: DataFrame, contract: Contract) -> DataFrame:
     return df.withColumns({c: maskers.get(c, mask_tail)(F.col(c)) for c in flagged})
 
 
+# Versioned tables that hold customers, with the column that names them.
+CUSTOMER_TABLES = (
+    ("source", "customers", "id"),
+    ("staged", "customers", "id"),
+    ("silver", "customers", "id"),
+    ("light", "customers", "id"),
+    ("gold", "dim_customer", "customer_id"),
+)
+
+
+def erase_customers(lake: Lakehouse, requests: DataFrame, key: str = "customer_id") -> None:
+    """Anonymises the listed customers in every layer, in raw payloads and in quarantine too, and removes the older versions
+    that still name them."""
+    listed = requests.select(F.col(key).cast("string").alias("_id"))
+
+    def named(column: str) -> DataFrame:
+        return listed.withColumnRenamed("_id", column)
+
+    for layer, name, column in CUSTOMER_TABLES:
+        df = lake.read(layer, name)
+        if df is not None:
+            lake.write(forget(df, named(column), column), layer, name)
+            lake.prune(layer, name)
+    bronze = lake.read("bronze", "customers")
+    if bronze is not None:
+        lake.write(forget_payload(bronze, named("business_key")), "bronze", "customers")
+        lake.prune("bronze", "customers")
+    held = lake.read_runs("quarantine", "customers")
+    if held is not None:
+        lake.rewrite_runs(forget(held, named("id"), "id"), "quarantine", "customers")
+
+
+def forget_payload(bronze: DataFrame, requests: DataFrame) -> DataFrame:
+    """Envelopes with the personal fields of the listed business keys replaced inside the JSON text."""
+    listed = requests.select(F.col("business_key").alias("_erase")).where(F.col("_erase").isNotNull()).distinct()
+    joined = bronze.join(listed, F.col("business_key") == F.col("_erase"), "left")
+    fields = F.from_json("raw_payload", "map<string,string>")
+    values = F.create_map(*[F.lit(x) for pair in ERASED.items() for x in pair])
+    replaced = F.to_json(F.transform_values(fields, lambda k, v: F.coalesce(F.when(v.isNotNull(), values[k]), v)))
+    payload = F.when(F.col("_erase").isNotNull(), replaced).otherwise(F.col("raw_payload"))
+    return joined.withColumn("raw_payload", payload).select(*bronze.columns)
+
+
 def forget(df: DataFrame, requests: DataFrame, key: str = "customer_id") -> DataFrame:
     """Anonymises the listed customers; every row and every other column stays.
 
@@ -66,13 +111,7 @@ def forget(df: DataFrame, requests: DataFrame, key: str = "customer_id") -> Data
     listed = requests.select(F.col(key).alias("_erase")).where(F.col("_erase").isNotNull()).distinct()
     joined = df.join(listed, F.col(key) == F.col("_erase"), "left")
     hit = F.col("_erase").isNotNull()
-    values = {
-        "first_name": ERASED_NAME,
-        "last_name": ERASED_NAME,
-        "email": ERASED_EMAIL,
-        "phone": ERASED_PHONE,
-    }
     erased = {
-        c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in values.items() if c in df.columns
+        c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in ERASED.items() if c in df.columns
     }
     return joined.withColumns(erased).select(*df.columns)

@@ -6,6 +6,7 @@ read a table it replaces, a lost job leaves the last version in place, and a rer
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,29 @@ class Lakehouse:
         df = self.spark.read.format(self.fmt).load(f"{self.path(layer, name)}/v={versions[-1]:06d}")
         return None if df.isEmpty() else df
 
+    def prune(self, layer: str, name: str, keep: int = 1) -> list[int]:
+        """Deletes all but the newest ``keep`` complete versions, and returns them. Jobs that still read an older version
+        fail, so prune when none runs."""
+        if keep < 1:
+            raise ValueError("the newest version stays")
+        jvm = self.spark.sparkContext._jvm
+        old = self._versions(layer, name)[:-keep]
+        for version in old:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(layer, name)}/v={version:06d}")
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return old
+
+    def rewrite_runs(self, df: DataFrame, layer: str, name: str) -> None:
+        """Replaces the runs that occur in ``df``, which may come from them: the rows are stored apart first."""
+        copy = f"{self.path('staged', f'{layer}_{name}')}/{uuid.uuid4().hex}"
+        df.write.format(self.fmt).save(copy)
+        rows = self.spark.read.format(self.fmt).load(copy)
+        writer = rows.write.format(self.fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("run_id").save(self.path(layer, name))
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(copy)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
     def append_run(self, df: DataFrame, layer: str, name: str, run_id: str) -> None:
         """Adds the rows of one run; repeating the run replaces its own rows only."""
         df.write.format(self.fmt).mode("overwrite").save(f"{self.path(layer, name)}/run_id={run_id}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.contracts import CONTRACTS
 from tallyforge.operators.latest import apply_changes, upsert_by_key
-from tallyforge.plans import medallion, upload
+from tallyforge.plans import medallion, privacy, upload
 from tallyforge.plans.silver import upsert_audit
 from tallyforge.sources import exports, uploads
 from tallyforge.sources.layers import Lakehouse, materialize, publish, read_source
@@ -281,6 +281,44 @@ def test_batch_run_end_to_end(spark, lake):
     assert lake.read("gold", "fact_sales_forecast").count() == 7 * 4
 
 
+def test_erasure_leaves_no_name_in_any_layer(spark, lake, tmp_path):
+    tables = source_tables(spark)
+    for name, df in tables.items():
+        lake.write(df, "source", name)
+    medallion.ingest_all(lake, lambda t: tables.get(t), "r1", as_of=as_of())
+    medallion.clean_all(lake, "r1", as_of=as_of())
+    lake.write(upload.light_silver("customers", lake.read("source", "customers")), "light", "customers")
+    medallion.build_star(lake, as_of=F.lit("2026-05-20").cast("date"))
+    person = lake.read("source", "customers").where("id = 'C1'").first()
+    held = lake.read("silver", "customers").select("id", "first_name", "last_name", "email", "phone").limit(1)
+    lake.append_run(held.withColumn("id", F.lit("C1")).withColumn("first_name", F.lit(person.first_name)), "quarantine", "customers", "r0")
+    spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    privacy.erase_customers(lake, spark.createDataFrame([("C1",), (None,)], "customer_id string"))
+    for layer, name, key in privacy.CUSTOMER_TABLES:
+        rows_of = lake.read(layer, name).where(F.col(key) == "C1").collect()
+        assert rows_of and all(r.first_name == privacy.ERASED_NAME and r.email == privacy.ERASED_EMAIL for r in rows_of), (layer, name)
+        assert len(lake._versions(layer, name)) == 1
+    raw = lake.read("bronze", "customers").where("business_key = 'C1'").collect()
+    assert raw and all(person.email not in r.raw_payload and privacy.ERASED_NAME in r.raw_payload for r in raw)
+    assert all(r.first_name == privacy.ERASED_NAME for r in lake.read_runs("quarantine", "customers").where("id = 'C1'").collect())
+    others = lake.read("silver", "customers").where("id <> 'C1'").collect()
+    assert others and all(r.first_name != privacy.ERASED_NAME for r in others)
+
+
+def test_reviews_are_stored_and_silver_published(spark, lake):
+    queue = spark.createDataFrame([("L1", "T1", "Pending"), ("L2", "T2", "Pending")], "transaction_line_id string, transaction_id string, review_status string")
+    with pytest.raises(ValueError):
+        medallion.record_review(lake, queue)
+    lake.write(queue, "gold", "fact_fraud_queue")
+    medallion.record_review(lake, spark.createDataFrame([("T1", "Dismissed", 1)], "transaction_id string, status string, decided_at int"))
+    stored = lake.read("gold", "fact_fraud_queue").orderBy("transaction_id").collect()
+    assert [r.review_status for r in stored] == ["Dismissed", "Pending"]
+    lake.write(spark.createDataFrame([("S1", "Shop")], "id string, name string"), "silver", "stores")
+    assert medallion.publish_silver(lake) == ["silver_stores"]
+    assert spark.table("silver_stores").first().name == "Shop"
+    assert lake.prune("gold", "fact_fraud_queue") == [1] and lake.read("gold", "fact_fraud_queue").count() == 2
+
+
 def test_upload_run(spark, lake, tmp_path):
     for name, df in source_tables(spark).items():
         lake.write(df, "source", name)
