@@ -13,6 +13,7 @@ when a task has succeeded. All numbers are little-endian.
     n_docs, n_tokens, n_symbols, n_terminals, bits
     doc_ids      int64 for each document; doc_null  one byte for each, 1 where the id is null
     doc_tokens   uint32 ids of each document      doc_symbols  uint32 symbols of each document
+    alphabet     uint32 id of each terminal symbol: the ids that the shard uses, ascending
     rules        uint32 pairs; rule r is symbol n_terminals + r and uses smaller symbols only
     lengths      uint32 expansion length of each rule
     symbols      n_symbols numbers of ``bits`` bits, packed from the lowest bit up
@@ -20,7 +21,9 @@ when a task has succeeded. All numbers are little-endian.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,10 +43,13 @@ LEAST_USES = 32
 ROUND_SHARE = 0.2
 END_ID = 1
 #: encoded words that a worker remembers
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: ASCII signs that may end a simple word, and the letter whose lower case depends on its place
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+SIGMA = "\u03a3"
 SHARD = (
     "shard long, n_docs int, n_tokens long, n_symbols int, n_terminals int, bits int, doc_ids binary, doc_null binary,"
-    " doc_tokens binary, doc_symbols binary, rules binary, lengths binary, symbols binary"
+    " doc_tokens binary, doc_symbols binary, alphabet binary, rules binary, lengths binary, symbols binary"
 )
 NAMES = [f.split()[0] for f in SHARD.split(", ")]
 NUMBERS = NAMES[:6]
@@ -54,17 +60,65 @@ NUMBERS = NAMES[:6]
 
 @cache
 def encoder(path: str):
+    """The tokenizer, and what is remembered of it: ids by word, and by run of letters or signs."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer, {}
+    return tokenizer, {}, {}
+
+
+@cache
+def byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level vocabulary spells bytes: printable ones themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + rest.index(b)) for b in rest}
+
+
+def simple_runs(word: str) -> tuple[str, str] | None:
+    """A word's letters and the ASCII signs after them, where the tokenizer's normalisation and split can do nothing else with
+    it: lower-case letters throughout, then signs without an apostrophe. Otherwise None."""
+    low = word.lower()
+    letters = low.rstrip(SIGNS)
+    if letters and letters.isalpha() and (low.isascii() or SIGMA not in word and unicodedata.is_normalized("NFC", word)):
+        return letters, low[len(letters) :]
+    return None
+
+
+def word_ids(path: str, words: list[str]) -> list[bytes]:
+    """The ids of each word as bytes. Runs of letters and of signs, which the tokenizer splits first of all, go straight to its
+    model, each once; other words go through the whole tokenizer."""
+    tokenizer, _, runs = encoder(path)
+    model, table, out, odd = tokenizer.model, byte_letters(), [], []
+    if len(runs) > REMEMBERED:
+        runs.clear()
+    for i, word in enumerate(words):
+        simple = simple_runs(word)
+        if simple is None:
+            odd.append(i)
+            out.append(b"")
+            continue
+        ids = b""
+        for run in simple:
+            if run:
+                found = runs.get(run)
+                if found is None:
+                    spelled = run if run.isascii() else run.encode().decode("latin-1").translate(table)
+                    found = runs[run] = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+                ids += found
+        out.append(ids)
+    for k in range(0, len(odd), 4096):
+        part = odd[k : k + 4096]
+        for i, e in zip(part, tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+    return out
 
 
 def encoded(path: str, texts: pa.StringArray) -> list[np.ndarray]:
     """The ids of each text. The tokenizer drops white space and never looks across it, so a text's ids are those
     of its words; each distinct word is encoded once and remembered."""
-    tokenizer, known = encoder(path)
+    _, known, _ = encoder(path)
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
@@ -72,10 +126,7 @@ def encoded(path: str, texts: pa.StringArray) -> list[np.ndarray]:
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = words
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = np.array(e.ids, np.uint32).tobytes()
+    known.update(zip(new, word_ids(path, new)))
     each = list(map(known.__getitem__, words))
     sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
     starts = np.cumsum(sizes) - sizes
@@ -91,17 +142,16 @@ def encoded(path: str, texts: pa.StringArray) -> list[np.ndarray]:
 # --- Re-Pair ---
 
 
-def compressed(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, symbol count of each document) of a shard.
+def compressed(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, symbol count of each document) of a shard whose terminals are 0 to ``terminals`` - 1.
 
     ``ends`` marks each document's last id; no pair crosses it. A round counts all pairs of the shard, takes those with ``least`` uses
     and ``share`` of the most frequent one's, and replaces them from left to right; of overlapping occurrences the first of
     a run, the third and so on are replaced.
     """
-    symbols, rules, top = ids.astype(np.int64), [], terminals
-    last = ends.copy()
+    symbols, rules, top, last = symbols.astype(np.uint32), [], terminals, ends.copy()
     while len(symbols) > 1:
-        keys = symbols[:-1] << 32 | symbols[1:]
+        keys = pair_keys(symbols[:-1], symbols[1:], top)
         inside = ~last[:-1]
         order = np.sort(keys[inside])
         edges = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, np.int64)
@@ -109,31 +159,46 @@ def compressed(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int, sh
         if not len(counts) or counts.max() < least:
             break
         chosen = order[edges[counts >= max(least, int(counts.max() * share))]]
-        slots = 1 << max(12, (len(chosen) * 16).bit_length())
-        holds = np.zeros(slots, bool)
-        holds[slot(chosen, slots)] = True
-        at = np.flatnonzero(inside & holds[slot(keys, slots)])
+        bits = max(12, (len(chosen) * 16).bit_length())
+        holds = np.zeros(1 << bits, bool)
+        holds[slots(chosen, bits)] = True
+        at = np.flatnonzero(inside & holds[slots(keys, bits)])
         rank = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
         hit = chosen[rank] == keys[at]
         at, rank = at[hit], rank[hit]
         run = np.flatnonzero(np.append(True, np.diff(at) != 1))
         even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
         at, rank = at[even], rank[even]
-        used, rank = np.unique(rank, return_inverse=True)
-        symbols[at] = top + rank
+        uses = np.bincount(rank, minlength=len(chosen)) > 0
+        rules.append(np.stack([symbols[at[first := first_of(rank, uses)]], symbols[at[first] + 1]], axis=1))
+        symbols[at] = top + (np.cumsum(uses) - 1)[rank]
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(chosen[used])
-        top += len(used)
-    made = np.concatenate(rules) if rules else np.zeros(0, np.int64)
-    pairs = np.stack([made >> 32, made & 0xFFFFFFFF], axis=1).astype("<u4")
-    return symbols.astype(np.uint32), pairs, np.diff(np.append(-1, np.flatnonzero(last)))
+        top += int(uses.sum())
+    pairs = np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4")
+    return symbols, pairs, np.diff(np.append(-1, np.flatnonzero(last)))
+
 
+def pair_keys(left: np.ndarray, right: np.ndarray, top: int) -> np.ndarray:
+    """A number for each pair, in 32 bits while symbols take 16."""
+    if top <= 1 << 16:
+        return left << np.uint32(16) | right
+    return left.astype(np.uint64) << np.uint64(32) | right
 
-def slot(keys: np.ndarray, slots: int) -> np.ndarray:
-    return ((keys * 0x9E3779B97F4A7C1 ^ keys >> 29) >> 7) & (slots - 1)
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A multiplicative hash of each key."""
+    kind = keys.dtype.type
+    return keys * kind(0x9E3779B97F4A7C15 >> (64 - keys.itemsize * 8) | 1) >> kind(keys.itemsize * 8 - bits)
+
+
+def first_of(rank: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Where each used rank occurs."""
+    place = np.zeros(len(uses), np.int64)
+    place[rank] = np.arange(len(rank))
+    return place[uses]
 
 
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -144,19 +209,18 @@ def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return np.array(lengths, "<u4")
 
 
-def expanded(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that symbols stand for: every step replaces all nonterminals by their pairs."""
-    out = symbols.astype(np.int64)
-    while True:
-        big = out >= terminals
-        if not big.any():
-            return out.astype(np.uint32)
-        at = np.arange(len(out)) + np.cumsum(big) - big
-        wider = np.empty(len(out) + int(big.sum()), np.int64)
-        wider[at[~big]] = out[~big]
-        pair = rules[out[big] - terminals]
-        wider[at[big]], wider[at[big] + 1] = pair[:, 0], pair[:, 1]
-        out = wider
+def expanded(symbols: np.ndarray, alphabet: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for: each symbol's expansion is spelled once, then copied to where it belongs."""
+    n = len(alphabet)
+    spelled = [alphabet[k : k + 1].tobytes() for k in range(n)]
+    for a, b in rules.tolist():
+        spelled.append(spelled[a] + spelled[b])
+    sizes = np.concatenate([np.ones(n, np.int64), lengths])
+    starts = np.cumsum(sizes) - sizes
+    runs = sizes[symbols]
+    before = np.cumsum(runs) - runs
+    source = np.arange(int(runs.sum())) + np.repeat(starts[symbols] - before, runs)
+    return np.frombuffer(b"".join(spelled), "<u4")[source]
 
 
 def packed(symbols: np.ndarray, bits: int) -> bytes:
@@ -186,32 +250,33 @@ def unpacked(data: bytes, bits: int, n: int) -> np.ndarray:
 # --- shards ---
 
 
-def shard_row(number: int, ids: list[int | None], tokens: list[np.ndarray], terminals: int, least: int, share: float) -> dict:
+def shard_row(number: int, ids: list[int | None], tokens: list[np.ndarray], least: int, share: float) -> dict:
     flat = np.concatenate(tokens)
     sizes = np.array([len(t) for t in tokens])
     ends = np.zeros(len(flat), bool)
     ends[np.cumsum(sizes) - 1] = True
-    symbols, rules, counts = compressed(flat, ends, terminals, least, share)
+    present = np.bincount(flat) > 0
+    alphabet, place = np.flatnonzero(present).astype("<u4"), np.cumsum(present) - 1
+    symbols, rules, counts = compressed(place[flat], ends, len(alphabet), least, share)
     bits = max(1, int(symbols.max()).bit_length())
     return {
-        "shard": number, "n_docs": len(ids), "n_tokens": len(flat), "n_symbols": len(symbols), "n_terminals": terminals, "bits": bits,
+        "shard": number, "n_docs": len(ids), "n_tokens": len(flat), "n_symbols": len(symbols), "n_terminals": len(alphabet), "bits": bits,
         "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "doc_null": np.array([i is None for i in ids]).tobytes(),
-        "doc_tokens": sizes.astype("<u4").tobytes(), "doc_symbols": counts.astype("<u4").tobytes(),
-        "rules": rules.tobytes(), "lengths": rule_lengths(rules, terminals).tobytes(), "symbols": packed(symbols, bits),
+        "doc_tokens": sizes.astype("<u4").tobytes(), "doc_symbols": counts.astype("<u4").tobytes(), "alphabet": alphabet.tobytes(),
+        "rules": rules.tobytes(), "lengths": rule_lengths(rules, len(alphabet)).tobytes(), "symbols": packed(symbols, bits),
     }
 
 
 def shard_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, least: int, share: float) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
-    terminals = max(encoder(path)[0].get_vocab_size(), END_ID + 1)
     end = np.array([END_ID], np.uint32)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 7
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 8
     ids: list[int | None] = []
     tokens: list[np.ndarray] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        row = shard_row(number, ids, tokens, terminals, least, share)
+        row = shard_row(number, ids, tokens, least, share)
         return pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(NAMES, kinds)], NAMES)
 
     for batch in batches:
@@ -249,14 +314,15 @@ def document_ids(shard: dict, k: int) -> np.ndarray:
     return expanded(symbols, *grammar(shard))
 
 
-def grammar(shard: dict) -> tuple[np.ndarray, np.ndarray, int]:
-    return np.frombuffer(shard["rules"], "<u4").reshape(-1, 2).astype(np.int64), np.frombuffer(shard["lengths"], "<u4"), shard["n_terminals"]
+def grammar(shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alphabet, rules and rule lengths of a shard."""
+    return np.frombuffer(shard["alphabet"], "<u4"), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), np.frombuffer(shard["lengths"], "<u4")
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            flat = expanded(unpacked(row["symbols"], row["bits"], row["n_symbols"]), *grammar(row)).astype("<u4")
+            flat = expanded(unpacked(row["symbols"], row["bits"], row["n_symbols"]), *grammar(row))
             sizes = np.frombuffer(row["doc_tokens"], "<u4").astype(np.int64)
             stops = np.cumsum(sizes)
             data = flat.tobytes()
