@@ -4,16 +4,18 @@ A payload travels as rows (record, chunk number, bytes) of at most ``CHUNK`` byt
 emits each with the SHA-1 of all bytes so far. Neither Python side ever holds a whole record. Payloads that occur more than once
 are stored once; the other records revisit it.
 
-Archives are plain WARC/1.1 files below the shared folder, one or more for each task under names of its own; the table
-of archives, written by Spark, lists those of tasks that succeeded.
+Archives are WARC/1.1 files with a gzip member for each record, below the shared folder, one or more for each task under names of
+its own; the table of archives, written by Spark, lists those of tasks that succeeded.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -29,6 +31,8 @@ CHUNK = 1 << 20
 #: smaller payloads are never revisits
 LEAST_SHARED = 1000
 ARCHIVE_BYTES = 1 << 30
+#: of gzip
+LEVEL = 1
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "path string, records long, bytes long"
@@ -86,34 +90,51 @@ def opening(page_id: int | None, url: str | None, digest: str, size: int, refers
 SAFE = "%/:?#[]@!$&'()*+,;=-._~"
 
 
+class Archive:
+    """An archive being written, a gzip member for each record."""
+
+    def __init__(self, store: fs.FileSystem, folder: str):
+        self.name, self.records, self.size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+        self.out = store.open_output_stream(f"{folder}/{self.name}", compression=None)
+        self.member = None
+
+    def start(self, head: bytes) -> None:
+        self.finish()
+        self.member = zlib.compressobj(LEVEL, wbits=31)
+        self.records += 1
+        self.add(head)
+
+    def add(self, data) -> None:
+        self.size += self.out.write(self.member.compress(data))
+
+    def finish(self) -> None:
+        if self.member is not None:
+            self.add(b"\r\n\r\n")
+            self.size += self.out.write(self.member.flush())
+            self.member = None
+
+    def closed(self) -> pa.RecordBatch:
+        self.finish()
+        self.out.close()
+        return pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([self.records]), pa.array([self.size])], ["path", "records", "bytes"])
+
+
 def written_batches(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
     store, folder = fs.FileSystem.from_uri(root)
     store.create_dir(folder, recursive=True)
-    out, name, records, size = None, "", 0, 0
-
-    def closed() -> pa.RecordBatch:
-        out.close()
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records]), pa.array([size])], ["path", "records", "bytes"])
-
-    open_record = False
+    archive = None
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "bytes", "refers_to", "chunk")]
         for page_id, url, digest, length, refers_to, chunk, data in zip(*columns, batch.column("data")):
             if chunk == 0:
-                if open_record:
-                    size += out.write(b"\r\n\r\n")
-                if out is not None and size >= ARCHIVE_BYTES:
-                    yield closed()
-                    out = None
-                if out is None:
-                    name, records, size = f"{uuid.uuid4().hex}.warc", 0, 0
-                    out = store.open_output_stream(f"{folder}/{name}")
-                size += out.write(opening(page_id, url, digest, length, refers_to))
-                records, open_record = records + 1, True
-            size += out.write(data.as_buffer())
-    if out is not None:
-        size += out.write(b"\r\n\r\n")
-        yield closed()
+                if archive is not None and archive.size >= ARCHIVE_BYTES:
+                    yield archive.closed()
+                    archive = None
+                archive = archive or Archive(store, folder)
+                archive.start(opening(page_id, url, digest, length, refers_to))
+            archive.add(data.as_buffer())
+    if archive is not None:
+        yield archive.closed()
 
 
 def write(pages: DataFrame) -> tuple[str, DataFrame]:
@@ -178,7 +199,7 @@ def read_batches(batches: Iterator[pa.RecordBatch], root: str, chunk: int, with_
         for path in batch.column("path").to_pylist():
             with store.open_input_file(f"{folder}/{path}") as raw:
                 rows, held = [], 0
-                for row in chunks_of(io.BufferedReader(raw, 1 << 20), chunk, with_data):
+                for row in chunks_of(io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20), chunk, with_data):
                     rows.append(row)
                     held += row[5] if with_data else 100
                     if held >= 1 << 22:
