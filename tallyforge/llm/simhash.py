@@ -29,7 +29,9 @@ BUCKET = 64
 #: what one probe costs, measured in verified pairs
 PROBE_COST = 4.0
 #: fingerprints searched, and 64-bit words of the code that estimates similarity, in ``near_duplicates``
-SEARCHES, CODE_WORDS = 12, 8
+SEARCHES, CODE_WORDS = 12, 16
+#: estimates may fall short of the similarity by this much, about half their error
+SLACK = 0.01
 FEW_ROWS = 255
 #: words whose hashes a task remembers
 REMEMBERED = 200_000
@@ -325,8 +327,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rad
 
     Twelve fingerprints over a text's distinct words find candidates: with one word in fifty changed, two texts differ in
     about four of 64 bits, and one of twelve comes within two bits nineteen times in twenty; one word in a hundred, practically always.
-    Each candidate is verified by 512 SimHash bits over the shingles, whose distance gives the angle between the sets, hence
-    the similarity, to about 0.025. Texts with equal words are one node. ``digest`` is the text's MD5.
+    Each candidate is verified by 1024 SimHash bits over the shingles, whose distance gives the angle between the sets, hence
+    the similarity, to about 0.02. Texts with equal words are one node. ``digest`` is the text's MD5.
 
     Blank and null texts form one group. The row with the smallest (doc_id, digest) is kept, nulls first; repeated rows all carry its mark.
     """
@@ -357,7 +359,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rad
     pairs = heads.unionByName(same).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
     codes = nodes.select("k", "code")
     far = F.expr("aggregate(zip_with(ca, cb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    most = int(CODE_WORDS * BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    least = similarity - SLACK
+    most = int(CODE_WORDS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
     alike = (
         pairs.join(codes.select(F.col("k").alias("ka"), F.col("code").alias("ca")), "ka")
         .join(codes.select(F.col("k").alias("kb"), F.col("code").alias("cb")), "kb")
