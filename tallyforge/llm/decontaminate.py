@@ -134,7 +134,8 @@ def match_batches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The distinct test items in blocks of bounded size; the driver holds a block at a time."""
+    """The distinct test items in blocks of bounded size. The blocks travel with the plan, so the driver holds the test
+    items, which do not grow with the documents."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).distinct()
     block, held = [], 0
     for r in rows.toLocalIterator():
