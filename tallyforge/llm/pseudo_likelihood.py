@@ -36,6 +36,7 @@ OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 ROUNDS = (2, 7, 16)
 #: a rare word's letters and its end are equally likely among so many
 LETTERS = 32
+LETTER_COST = float(np.log(LETTERS))
 COUNTED_WORDS = 250_000
 #: rows of a batch whose words are looked up together
 TOGETHER = 1024
@@ -46,13 +47,13 @@ class Words:
     """What the counts say: each known word's class and log share of it, and each class's log share of rare words."""
 
     known: dict[str, tuple[int, float]]
-    rare: np.ndarray
+    rare: list[float]
 
     def lookup(self, word: str) -> tuple[int, float]:
         found = self.known.get(word)
         if found is None:
             k = ending_class(word)
-            found = k, float(self.rare[k]) - (len(word) + 1) * np.log(LETTERS)
+            found = k, self.rare[k] - (len(word) + 1) * LETTER_COST
         return found
 
 
@@ -97,7 +98,14 @@ def word_statistics(texts: DataFrame) -> Words:
     """Counts every word of the corpus, then keeps the most frequent ones and the sums of the rest by class."""
     counts = texts.select("text").mapInArrow(count_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "lm-words")
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()
+    # counts fall into a few hundred steps; words below the step of the last one wanted need not be ranked
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    least, found = 0, 0
+    for least, words in steps:
+        found += words
+        if found >= KNOWN_WORDS:
+            break
+    top = counts.where(F.floor(F.log2("n") * 8) >= least).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()
     ends = (F.crc32(F.substring("word", -2, 2)) % ENDINGS + OWN).cast("int").alias("class")
     total = np.zeros(CLASSES)
     for k, n in counts.groupBy(ends).agg(F.sum("n")).collect():
@@ -113,7 +121,7 @@ def word_statistics(texts: DataFrame) -> Words:
     for word, n in known.items():
         rare[ending_class(word)] -= n
     share = {w: (k, float(np.log(n / (total[k] + 1)))) for w, n in known.items() for k in [ending_class(w)]}
-    return Words(own | share, np.log((np.maximum(rare, 0) + 1) / (np.maximum(total, 0) + 1)))
+    return Words(own | share, np.log((np.maximum(rare, 0) + 1) / (np.maximum(total, 0) + 1)).tolist())
 
 
 def coded_texts(texts: pa.StringArray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,32 +163,44 @@ def hidden(net: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray
     return np.tanh(h, out=h)
 
 
-def log_chances(net: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values, and the log-probability of every class at each place."""
+def chances(net: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hidden values, and for each place the weight of every class and their sum; a class's chance is its share."""
     h = hidden(net, ids, at)
-    z = h @ net[2] + net[3]
-    z -= z.max(axis=1, keepdims=True)
-    return h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z = h @ net[2]
+    z += net[3]
+    z -= z.max()
+    e = np.exp(z, out=z)
+    return h, e, e @ np.ones(CLASSES, e.dtype)
+
+
+def log_chances(net: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability of each place's own class, given its neighbours."""
+    _, e, total = chances(net, ids, at)
+    return np.log(e[np.arange(len(at)), ids[at]]) - np.log(total)
 
 
 def step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
     """One Adagrad step on the tokens at these places."""
     net, grad = parts_of(flat), np.zeros_like(flat)
     tables, bias, out, free = parts_of(grad)
-    h, logs = log_chances(net, ids, at)
-    d = np.exp(logs)
-    d[np.arange(len(at)), ids[at]] -= 1
-    d /= len(at)
-    out[:], free[:] = h.T @ d, d.sum(0)
-    dh = (d @ net[2].T) * (1 - h * h)
-    bias[:] = dh.sum(0)
+    h, d, total = chances(net, ids, at)
+    d *= (1 / (total * len(at)))[:, None]
+    d[np.arange(len(at)), ids[at]] -= d.dtype.type(1 / len(at))
+    np.matmul(h.T, d, out=out)
+    np.matmul(np.ones(len(at), d.dtype), d, out=free)
+    dh = d @ net[2].T
+    h *= h
+    dh *= np.subtract(1, h, out=h)
+    np.matmul(np.ones(len(at), d.dtype), dh, out=bias)
     for k, o in enumerate(OFFSETS):
         seen = ids[at + o]
         order = np.argsort(seen, kind="stable")
-        own, first = np.unique(seen[order], return_index=True)
+        counts = np.bincount(seen, minlength=CLASSES + 1)
+        own = np.flatnonzero(counts)
+        first = (np.cumsum(counts) - counts)[own]
         tables[k][own] = np.add.reduceat(dh[order], first, axis=0)
     squares += grad * grad
-    flat -= np.float32(RATE) * grad / (np.sqrt(squares) + np.float32(1e-4))
+    flat -= flat.dtype.type(RATE) * grad / (np.sqrt(squares) + flat.dtype.type(1e-4))
 
 
 def trained_batches(batches: Iterator[pa.RecordBatch], words: Words, start: np.ndarray, squares: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -230,7 +250,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], words: Words, flat: np.ndar
             logs = shares.copy()
             for j in range(0, len(places), BATCH):
                 at = places[j : j + BATCH]
-                logs[j : j + BATCH] += log_chances(net, ids, at)[1][np.arange(len(at)), ids[at]]
+                logs[j : j + BATCH] += log_chances(net, ids, at)
             # a text's places follow its edges, so its number is how many edges precede
             owner = (places - np.arange(len(places))) // WINDOW - 1
             n = np.bincount(owner, minlength=len(part))
