@@ -28,11 +28,14 @@ BITS = 64
 BUCKET = 64
 #: what one probe costs, measured in verified pairs
 PROBE_COST = 4.0
-#: fingerprints searched, and 64-bit words of the code that estimates similarity, in ``near_duplicates``
-SEARCHES, CODE_WORDS = 12, 16
+#: 64-bit words of the code that estimates similarity in ``near_duplicates``
+CODE_WORDS = 16
 #: estimates may fall short of the similarity by this much, about half their error
 SLACK = 0.01
 FEW_ROWS = 255
+#: shingles that ``COMMON`` of every ``SAMPLED``th document have go last in the order of shingles, ``MOST_COMMON`` of them; any
+#: order finds the same pairs, this one with fewer candidates
+SAMPLED, COMMON, MOST_COMMON = 16, 4, 200_000
 #: words whose hashes a task remembers
 REMEMBERED = 200_000
 
@@ -285,89 +288,141 @@ def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(30))
 
 
-def code_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """For each text its words in one string, and the distinct hashes of its shingles."""
     known: dict[bytes, int] = {}
+    for text in texts:
+        words = words_of(text.as_py())
+        joined = b" ".join(words)
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        if len(words) > size:
+            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            s = np.zeros(len(h) - size + 1, np.uint64)
+            for j in range(size):
+                s = mixed(s + h[j : len(h) - size + 1 + j], j)
+        else:
+            s = np.array([xxhash.xxh64_intdigest(joined)] if words else [], np.uint64)
+        yield joined, np.unique(s)
+
+
+def shingle_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, s in shingle_sets(batch.column("text"), size):
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
+
+
+def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and in how many sampled documents they are."""
+    part = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct()
+    counts = part.mapInArrow(lambda it: shingle_batches(it, size), "h long").groupBy("h").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    hashes, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(s: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first elements of a set in an order that all sets share, so many that sets at least ``similarity`` alike have one of these
+    in common."""
+    if not len(s):
+        return s
+    hashes, counts = common
+    rank = np.zeros(len(s), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+        rank = np.where(hashes[at] == s, counts[at], 0)
+    return s[np.lexsort((s, rank))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]]
+
+
+def code_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
-        keys, searches, codes = [], [], []
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for i in range(len(texts)):
-            words = words_of(texts[i].as_py())
-            keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            if len(h) > size:
-                s = np.zeros(len(h) - size + 1, np.uint64)
-                for j in range(size):
-                    s = mixed(s + h[j : len(h) - size + 1 + j], j)
-            else:
-                s = np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
-            pending.append((np.unique(h), np.unique(s)))
-            held += len(h)
+        keys, sizes, prefixes, codes, pending, held = [], [], [], [], [], 0
+        for i, (joined, s) in enumerate(shingle_sets(texts, size)):
+            keys.append(xxhash.xxh3_128_hexdigest(joined))
+            sizes.append(len(s))
+            prefixes.append(prefix(s, similarity, common).view(np.int64))
+            pending.append(s)
+            held += len(s)
             if held > 200_000 or i + 1 == len(texts):
-                for k, salts, out in ((0, SEARCHES, searches), (1, CODE_WORDS, codes)):
-                    flat, lengths = np.concatenate([p[k] for p in pending]), np.array([len(p[k]) for p in pending])
-                    out.extend(np.stack([majority(mixed(flat, 100 * k + j), lengths) for j in range(salts)], axis=1).view(np.int64).tolist())
+                flat, lengths = np.concatenate(pending), np.array([len(p) for p in pending])
+                codes.extend(np.stack([majority(mixed(flat, 100 + j), lengths) for j in range(CODE_WORDS)], axis=1).view(np.int64).tolist())
                 pending, held = [], 0
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.string()), pa.array(searches, kind), pa.array(codes, kind)],
-            ["doc_id", "digest", "k", "fps", "code"],
+            [batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(prefixes, kind), pa.array(codes, kind)],
+            ["doc_id", "digest", "k", "size", "prefix", "code"],
         )
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """(h, k, size, rank): the nodes that share a prefix shingle, and what part of its prefix a node shares with any."""
+    spread = nodes.select(F.xxhash64("k").alias("id"), F.explode("prefix").alias("h"))
+    shared = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    met = stored(spread.join(shared, "h", "left_semi"), "simhash-shared")
+    degree = met.groupBy("id").agg(F.count("*").alias("n"))
+    info = nodes.select(F.xxhash64("k").alias("id"), "k", "size", F.size("prefix").alias("p")).join(degree, "id")
+    return stored(met.join(info.withColumn("rank", F.col("n") / F.col("p")), "id").select("h", "k", "size", "rank"), "simhash-buckets")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs (ka, kb) whose codes are near enough."""
+    codes = nodes.select("k", "code")
+    far = F.expr("aggregate(zip_with(ca, cb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    least = similarity - SLACK
+    most = int(CODE_WORDS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
+    return (
+        pairs.join(codes.select(F.col("k").alias("ka"), F.col("code").alias("ca")), "ka")
+        .join(codes.select(F.col("k").alias("kb"), F.col("code").alias("cb")), "kb")
+        .where(far <= most)
+        .select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    )
+
+
+def head_pairs(rows: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """(ka, kb): distinct pairs of a head and another member of its bucket that may be alike by their sizes."""
+    heads = heads.select("h", F.col("k").alias("hk"), F.col("size").alias("hs"), F.col("root").alias("hr"))
+    fit = F.least("size", "hs") >= F.greatest("size", "hs") * similarity - 1e-6
+    met = rows.join(heads, "h").where(fit & (F.col("root") != F.col("hr")))
+    return met.select(F.least("k", "hk").alias("ka"), F.greatest("k", "hk").alias("kb")).distinct()
+
+
+def similar_roots(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): components of nodes that are alike."""
+    rows = bucket_rows(nodes).withColumn("root", F.col("k"))
+    best = rows.groupBy("h").agg(F.max(F.struct("rank", "k", "size", "root")).alias("m")).select("h", "m.*")
+    return components(alike(head_pairs(rows, best, similarity), nodes, similarity), "simhash-near")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, digest, component, kept): groups of texts whose ``size``-word shingle sets are at least
     ``similarity`` alike (Jaccard), and one kept row of each.
 
-    Twelve fingerprints over a text's distinct words find candidates: with one word in fifty changed, two texts differ in
-    about four of 64 bits, and one of twelve comes within two bits nineteen times in twenty; one word in a hundred, practically always.
+    Candidates come from a prefix filter, which misses no pair: shingles have one order, rare ones first, and two sets that are alike share
+    one of the first fifth of their shingles. Each shingle's bucket is compared with one of its members, the head.
     Each candidate is verified by 1024 SimHash bits over the shingles, whose distance gives the angle between the sets, hence
     the similarity, to about 0.02. Texts with equal words are one node. ``digest`` is the text's MD5.
 
     Blank and null texts form one group. The row with the smallest (doc_id, digest) is kept, nulls first; repeated rows all carry its mark.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("digest", F.md5("text"))
+    common = common_shingles(rows, size)
     made = stored(
         rows.mapInArrow(
-            lambda it: code_batches(it, size), "doc_id long, digest string, k string, fps array<long>, code array<long>"
+            lambda it: code_batches(it, size, similarity, common),
+            "doc_id long, digest string, k string, size long, prefix array<long>, code array<long>",
         ),
         "simhash-codes",
     )
     nodes = stored(
-        made.groupBy("k").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.min("fps").alias("fps"), F.min("code").alias("code")),
+        made.groupBy("k").agg(F.min(F.struct("doc_id", "digest")).alias("least"), *(F.min(c).alias(c) for c in ("size", "prefix", "code"))),
         "simhash-nodes",
     )
-    at = stored(nodes.select("k", F.posexplode("fps").alias("grp", "fp")).groupBy("grp", "fp").agg(F.min("k").alias("head"), F.count("*").alias("n")), "simhash-heads")
-    found = links(at.select("grp", "fp"), radius)
-    heads = (
-        found.join(at.select("grp", F.col("fp").alias("a"), F.col("head").alias("ka")), ["grp", "a"])
-        .join(at.select("grp", F.col("fp").alias("b"), F.col("head").alias("kb")), ["grp", "b"])
-        .select("ka", "kb")
-    )
-    same = (
-        nodes.select("k", F.posexplode("fps").alias("grp", "fp"))
-        .join(at.where("n > 1"), ["grp", "fp"])
-        .where("k <> head")
-        .select(F.col("head").alias("ka"), F.col("k").alias("kb"))
-    )
-    pairs = heads.unionByName(same).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
-    codes = nodes.select("k", "code")
-    far = F.expr("aggregate(zip_with(ca, cb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    least = similarity - SLACK
-    most = int(CODE_WORDS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
-    alike = (
-        pairs.join(codes.select(F.col("k").alias("ka"), F.col("code").alias("ca")), "ka")
-        .join(codes.select(F.col("k").alias("kb"), F.col("code").alias("cb")), "kb")
-        .where(far <= most)
-        .select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    )
-    roots = components(alike, "simhash-near")
+    roots = similar_roots(nodes, similarity)
     rooted = nodes.join(roots, nodes.k == roots.node, "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     label = rooted.join(best, "root").select("k", F.col("root").alias("component"), "best")

@@ -123,3 +123,39 @@ def test_one_of_each_keeps_columns_and_handles_odd_rows(spark):
     assert sorted((r.doc_id or -1, r.digest) for r in out.collect()) == [(-1, "d"), (1, "d"), (3, "d")]
     assert S.one_of_each(df.limit(0)).count() == 0
     assert S.fingerprint_components(df.limit(0)).count() == 0
+
+
+def test_block_edits_are_found_down_to_the_similarity(spark):
+    texts, pairs = varied(60, 200, seed=4), []
+    rng = random.Random(9)
+    for i in range(60):
+        w, new = texts[i].split(), varied(1, 40, seed=1000 + i)[0].split()
+        n = (10, 20, 30, 38)[i % 4]
+        if i % 3 == 0:
+            w = w + new[:n]
+        elif i % 3 == 1:
+            w = w[: 200 - n]
+        else:
+            at = rng.randrange(1, 199)
+            w = w[:at] + new[:n] + w[at:]
+        pairs.append((i, len(texts)))
+        texts.append(" ".join(w))
+    rows = {r.doc_id: r for r in S.near_duplicates(frame(spark, texts)).collect()}
+    near = [(a, b) for a, b in pairs if jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(near) >= 50
+    missed = [round(jaccard(texts[a], texts[b]), 3) for a, b in near if rows[a].component != rows[b].component]
+    assert all(j < 0.83 for j in missed) and len(missed) < len(near) / 8, missed  # all are candidates; 1024 bits err by about 0.02
+    assert len({r.component for r in rows.values()}) >= 60
+
+
+def test_prefixes_of_alike_sets_meet_in_any_order():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        cut = s[rng.random(len(s)) < 0.93]
+        both = np.unique(np.append(cut, rng.integers(0, 1 << 63, int(rng.integers(0, 6))).astype(np.uint64)))
+        common = np.sort(rng.choice(s, len(s) // 2, replace=False)), rng.integers(4, 9, len(s) // 2)
+        alike = len(np.intersect1d(s, both)) / len(np.union1d(s, both)) >= 0.8
+        if alike:
+            assert len(np.intersect1d(S.prefix(s, 0.8, common), S.prefix(both, 0.8, common)))
