@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import components, stored, whole_text
@@ -392,10 +392,28 @@ def head_pairs(rows: DataFrame, heads: DataFrame, similarity: float) -> DataFram
 
 
 def similar_roots(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, root): components of nodes that are alike."""
-    rows = bucket_rows(nodes).withColumn("root", F.col("k"))
-    best = rows.groupBy("h").agg(F.max(F.struct("rank", "k", "size", "root")).alias("m")).select("h", "m.*")
-    return components(alike(head_pairs(rows, best, similarity), nodes, similarity), "simhash-near")
+    """(node, root): components of nodes that are alike.
+
+    Each round some members of every bucket, four times as many as before, are its heads and meet all others. Members known to be
+    of one component are not compared; a bucket is done when all members that have not been heads are of one component.
+    """
+    rows, heads_each = bucket_rows(nodes), 1
+    roots = nodes.select(F.col("k").alias("node"), F.col("k").alias("root")).limit(0)
+    while True:
+        labelled = rows.join(roots, rows.k == roots.node, "left").select("h", "k", "size", "rank", F.coalesce("root", "k").alias("root"))
+        mixed_buckets = labelled.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        live = stored(labelled.join(mixed_buckets.select("h"), "h", "left_semi"), "simhash-live")
+        if live.isEmpty():
+            return roots
+        order = Window.partitionBy("h").orderBy(F.desc("rank"), "k")
+        heads = live.withColumn("nth", F.row_number().over(order)).where(f"nth <= {heads_each}").drop("nth")
+        heads = stored(heads, "simhash-heads")
+        found = stored(alike(head_pairs(live, heads, similarity), nodes, similarity), "simhash-alike")
+        if not found.isEmpty():
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = components(found.unionByName(known), "simhash-near")
+        rows = live.drop("root").join(heads.select("h", "k"), ["h", "k"], "left_anti")
+        heads_each *= 4
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -403,7 +421,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     ``similarity`` alike (Jaccard), and one kept row of each.
 
     Candidates come from a prefix filter, which misses no pair: shingles have one order, rare ones first, and two sets that are alike share
-    one of the first fifth of their shingles. Each shingle's bucket is compared with one of its members, the head.
+    one of the first fifth of their shingles. The members of a shingle's bucket are compared in rounds until all pairs
+    have been, or are known to be in one group.
     Each candidate is verified by 1024 SimHash bits over the shingles, whose distance gives the angle between the sets, hence
     the similarity, to about 0.02. Texts with equal words are one node. ``digest`` is the text's MD5.
 

@@ -159,3 +159,27 @@ def test_prefixes_of_alike_sets_meet_in_any_order():
         alike = len(np.intersect1d(s, both)) / len(np.union1d(s, both)) >= 0.8
         if alike:
             assert len(np.intersect1d(S.prefix(s, 0.8, common), S.prefix(both, 0.8, common)))
+
+
+def test_edited_copies_of_one_original_are_one_group(spark):
+    rng, (original,) = random.Random(11), varied(1, 250, seed=12)
+    texts = []
+    for i in range(300):
+        w = original.split()
+        for p in rng.sample(range(5, 245), 4):
+            w[p] = f"edit{i}x{p}"
+        texts.append(" ".join(w))
+    texts.insert(150, original)
+    rows = S.near_duplicates(frame(spark, texts)).collect()
+    assert len({r.component for r in rows}) == 1
+    assert sum(r.kept for r in rows) == 1
+
+
+def test_members_that_no_head_is_like_are_still_compared(spark, monkeypatch):
+    # one bucket for all: pairs of near texts, each pair unlike every other
+    monkeypatch.setattr(S, "prefix", lambda s, similarity, common: np.array([7], np.uint64))
+    texts = varied(20, 200, seed=13)
+    texts += [t + " and three more" for t in texts]
+    rows = {r.doc_id: r for r in S.near_duplicates(frame(spark, texts)).collect()}
+    assert all(rows[i].component == rows[i + 20].component for i in range(20))
+    assert len({r.component for r in rows.values()}) == 20
