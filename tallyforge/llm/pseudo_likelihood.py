@@ -1,12 +1,13 @@
 """Masked pseudo-likelihood of documents.
 
 Every token is predicted from two tokens on either side by a small network that never sees the token itself. The network predicts a
-word's class; a word's share of its class comes from counts over the whole corpus, and rare words are spelled. The sum of these
+word's class; a word's share of its class comes from counts over the whole corpus, and words it does not hold are spelled. The sum of these
 conditional log-probabilities scores a document.
 
 The corpus is counted in full; the network is trained in numpy inside the tasks, every document once. Training goes in rounds over
 disjoint parts of the documents, chosen by hash: each task continues from the same network on its share, and the
-networks are averaged by tokens. The driver sees the counts of ``KNOWN_WORDS`` words and networks of some 15,000 numbers.
+networks are averaged by tokens. The driver sees the counts of ``KNOWN_WORDS`` frequent words and networks of some 15,000 numbers.
+Tasks look these words up; all other words of a text are joined with the written counts, however many there are.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored, whole_text
@@ -28,13 +29,13 @@ from tallyforge.llm.common import stored, whole_text
 OWN, ENDINGS = 64, 64
 CLASSES = OWN + ENDINGS
 EDGE = CLASSES
-#: words with a count of their own
+#: frequent words, whose counts travel to the tasks; the others' are joined
 KNOWN_WORDS = 20_000
 WINDOW, HIDDEN, BATCH, RATE = 2, 24, 4096, 0.08
 OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 #: the part of all documents, in sixteenths, up to which each round has trained
 ROUNDS = (2, 7, 16)
-#: a rare word's letters and its end are equally likely among so many
+#: an unseen word's letters and its end are equally likely among so many
 LETTERS = 32
 LETTER_COST = float(np.log(LETTERS))
 COUNTED_WORDS = 250_000
@@ -44,23 +45,43 @@ TOGETHER = 1024
 
 @dataclass
 class Words:
-    """What the counts say: each known word's class and log share of it, and each class's log share of rare words."""
+    """What the counts say: each frequent word's class and log share of it, each class's log share of all words the corpus does
+    not hold, and the counts of all words."""
 
     known: dict[str, tuple[int, float]]
-    rare: list[float]
+    unseen: list[float]
+    counts: DataFrame | None = None
 
     def lookup(self, word: str) -> tuple[int, float]:
+        """A frequent word's class and log share; of another word what holds if the corpus does not have it."""
         found = self.known.get(word)
         if found is None:
             k = ending_class(word)
-            found = k, self.rare[k] - (len(word) + 1) * LETTER_COST
+            found = k, self.unseen[k] - (len(word) + 1) * LETTER_COST
         return found
 
+    def local(self) -> Words:
+        """What travels to the tasks."""
+        return replace(self, counts=None)
+
+    def shares(self, rows: DataFrame) -> DataFrame:
+        """Rows with a column ``word``, none of them frequent, and the word's log share of its class. Every word of the corpus has the
+        share of its count; others are spelled."""
+        unseen = F.array(*map(F.lit, self.unseen))[word_class()]
+        spelled = -(F.length("word") + 1) * F.lit(LETTER_COST)
+        counts = self.counts.select("word", F.col("n").alias("in_corpus"))
+        return rows.join(counts, "word", "left").withColumn("share", unseen + F.coalesce(F.log("in_corpus"), spelled))
+
 
 def ending_class(word: str) -> int:
     return OWN + zlib.crc32(word[-2:].encode()) % ENDINGS
 
 
+def word_class() -> Column:
+    """``ending_class`` of the column ``word``."""
+    return (F.crc32(F.substring("word", -2, 2)) % ENDINGS + OWN).cast("int")
+
+
 def split_words(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The lower-case words of all texts in order, and the number of them in each text."""
     split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
@@ -95,7 +116,7 @@ def counted(seen: Counter) -> pa.RecordBatch:
 
 
 def word_statistics(texts: DataFrame) -> Words:
-    """Counts every word of the corpus, then keeps the most frequent ones and the sums of the rest by class."""
+    """Counts every word of the corpus; the most frequent ones and the sums by class are collected."""
     counts = texts.select("text").mapInArrow(count_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "lm-words")
     # counts fall into a few hundred steps; words below the step of the last one wanted need not be ranked
@@ -106,7 +127,7 @@ def word_statistics(texts: DataFrame) -> Words:
         if found >= KNOWN_WORDS:
             break
     top = counts.where(F.floor(F.log2("n") * 8) >= least).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()
-    ends = (F.crc32(F.substring("word", -2, 2)) % ENDINGS + OWN).cast("int").alias("class")
+    ends = word_class().alias("class")
     total = np.zeros(CLASSES)
     for k, n in counts.groupBy(ends).agg(F.sum("n")).collect():
         total[k] = n
@@ -117,23 +138,29 @@ def word_statistics(texts: DataFrame) -> Words:
             own[word] = rank, 0.0
         else:
             known[word] = n
-    rare = total.copy()
-    for word, n in known.items():
-        rare[ending_class(word)] -= n
     share = {w: (k, float(np.log(n / (total[k] + 1)))) for w, n in known.items() for k in [ending_class(w)]}
-    return Words(own | share, np.log((np.maximum(rare, 0) + 1) / (np.maximum(total, 0) + 1)).tolist())
+    return Words(own | share, (-np.log(np.maximum(total, 0) + 1)).tolist(), counts)
 
 
-def coded_texts(texts: pa.StringArray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all words with edges around each text, where the words are, and their log shares of their classes."""
+def coded_texts(texts: pa.StringArray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """Classes of all words with edges around each text, where the words are, and their log shares of their classes, 0 for words
+    that are not frequent; these are listed for each text with their counts."""
     coded, sizes = split_words(texts)
-    found = [words.lookup(w) for w in coded.dictionary.to_pylist()]
-    classes, shares = np.array([f[0] for f in found], np.uint8), np.array([f[1] for f in found])
+    vocabulary = coded.dictionary.to_pylist()
+    found = [words.lookup(w) for w in vocabulary]
+    frequent = np.array([w in words.known for w in vocabulary], bool)
+    classes, shares = np.array([f[0] for f in found], np.uint8), np.where(frequent, [f[1] for f in found], 0.0)
     at = coded.indices.to_numpy()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    other = ~frequent[at] if len(at) else np.zeros(0, bool)
+    pairs, times = np.unique(owner[other].astype(np.int64) * max(len(vocabulary), 1) + at[other], return_counts=True)
+    text, word = np.divmod(pairs, max(len(vocabulary), 1))
+    items = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "times"])
+    others = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32()), items)
     places = np.arange(len(at)) + np.repeat((np.arange(len(sizes)) + 1) * WINDOW, sizes)
     ids = np.full(len(at) + (len(sizes) + 1) * WINDOW, EDGE, np.uint8)
     ids[places] = classes[at] if len(at) else 0
-    return ids, places, shares[at] if len(at) else np.zeros(0)
+    return ids, places, shares[at] if len(at) else np.zeros(0), others
 
 
 # --- the network ---
@@ -209,7 +236,7 @@ def trained_batches(batches: Iterator[pa.RecordBatch], words: Words, start: np.n
     flat, own, n, rng = start.copy(), squares.copy(), 0, np.random.default_rng(1)
     for batch in batches:
         for i in range(0, len(batch), TOGETHER):
-            ids, places, _ = coded_texts(batch.column("text").slice(i, TOGETHER), words)
+            ids, places, *_ = coded_texts(batch.column("text").slice(i, TOGETHER), words)
             places = rng.permutation(places)
             for j in range(0, len(places), BATCH):
                 step(flat, own, ids, places[j : j + BATCH])
@@ -223,10 +250,11 @@ def train(docs: DataFrame) -> tuple[Words, np.ndarray]:
     """Counts and network of a corpus. Every document is counted, and trained on in exactly one round."""
     texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1])).alias("turn"), whole_text().alias("text"))
     words = word_statistics(texts)
+    local = words.local()
     flat, squares, low = fresh(), np.full(SIZE, 1e-3, np.float32), 0
     for high in ROUNDS:
         part = texts.where(f"turn >= {low} AND turn < {high}").select("text")
-        made = part.mapInArrow(lambda it, flat=flat, squares=squares: trained_batches(it, words, flat, squares), "at long, weight double")
+        made = part.mapInArrow(lambda it, flat=flat, squares=squares: trained_batches(it, local, flat, squares), "at long, weight double")
         total = np.zeros(2 * SIZE + 1)
         for at, weight in made.groupBy("at").agg(F.sum("weight").alias("weight")).collect():  # 2 * SIZE + 1 sums
             total[at] = weight
@@ -238,7 +266,7 @@ def train(docs: DataFrame) -> tuple[Words, np.ndarray]:
 
 # --- scores ---
 
-SCORES = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+SCORES = "row long, doc_id long, n_tokens long, partial double, others array<struct<word: string, times: long>>"
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], words: Words, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -246,7 +274,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], words: Words, flat: np.ndar
     for batch in batches:
         for i in range(0, len(batch), TOGETHER):
             part = batch.slice(i, TOGETHER)
-            ids, places, shares = coded_texts(part.column("text"), words)
+            ids, places, shares, others = coded_texts(part.column("text"), words)
             logs = shares.copy()
             for j in range(0, len(places), BATCH):
                 at = places[j : j + BATCH]
@@ -255,13 +283,20 @@ def score_batches(batches: Iterator[pa.RecordBatch], words: Words, flat: np.ndar
             owner = (places - np.arange(len(places))) // WINDOW - 1
             n = np.bincount(owner, minlength=len(part))
             sums = np.bincount(owner, weights=logs, minlength=len(part))
-            mean = pa.array(sums / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            columns = [part.column("row"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), others]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "partial", "others"])
 
 
 def scored(docs: DataFrame, model: tuple[Words, np.ndarray]) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row, whole texts. Null and blank texts have no token, a
     sum of 0 and a null mean; repeated rows repeat; an empty table gives none."""
     words, flat = model
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(lambda it: score_batches(it, words, flat), SCORES)
+    local = words.local()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    made = stored(rows.mapInArrow(lambda it: score_batches(it, local, flat), SCORES), "lm-scores")
+    shares = words.shares(made.select("row", F.inline("others")))
+    rest = shares.groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("rest"))
+    total = F.col("partial") + F.coalesce("rest", F.lit(0.0))
+    return made.join(rest, "row", "left").select(
+        "doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood")
+    )

@@ -87,3 +87,23 @@ def test_odd_rows(spark):
     got = P.scored(df, P.train(df)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.mean_log_likelihood is None) for r in got) == [(0, 0, True), (1, 0, True), (1, 0, True), (2, 0, True), (4, 50_000, False)]
     assert P.scored(df.limit(0), P.train(df.limit(0))).count() == 0
+
+
+def test_words_beyond_the_frequent_ones_keep_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(P, "KNOWN_WORDS", 70)
+    fill = " ".join(f"f{i}" for i in range(80)) + " "
+    texts = [fill * 3] * 30 + ["seenxyz"] * 40 + ["oncexyz", "caf\u00e9xyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words, net = P.train(docs)
+    asked = ["seenxyz", "oncexyz", "missxyz"]
+    assert not set(asked) & set(words.known)
+    rows = spark.createDataFrame([(i, f"f1 {w} f2") for i, w in enumerate(asked)] + [(0, "f1 seenxyz f2 seenxyz")], "doc_id long, text string")
+    got = sorted(P.scored(rows, (words, net)).collect(), key=lambda r: (r.n_tokens, r.doc_id))
+    seen, once, miss = (r.log_likelihood for r in got[:3])
+    assert abs(seen - once - np.log(40)) < 1e-5  # equal neighbours, class and length: only the counts differ
+    assert abs(once - miss - 8 * P.LETTER_COST) < 1e-5
+    assert abs(got[0].mean_log_likelihood - seen / 3) < 1e-9 and got[3].n_tokens == 4
+    ends = P.ending_class("seenxyz")
+    share = {r.word: r.share for r in words.shares(words.counts.select("word")).collect() if P.ending_class(r.word) == ends and r.word not in words.known}
+    known = [s for k, s in words.known.values() if k == ends]
+    assert abs(sum(map(np.exp, [*share.values(), *known, words.unseen[ends]])) - 1) < 1e-9
