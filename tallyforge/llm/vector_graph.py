@@ -2,7 +2,7 @@
 
 Equal vectors are one node, which carries the smallest of their ids. Nodes are dealt into shards of bounded size, each with a graph
 of its own: nodes join in growing batches, a greedy beam search on the graph so far proposes neighbours, and relaxed distance pruning
-keeps a proposal only if no kept neighbour is nearer to it by the factor ``ALPHA``. A beam search answers a query in each shard.
+keeps a proposal only if no kept neighbour is nearer to it by the factor ``ALPHA`` than the node itself. A beam search answers a query in each shard.
 
 Largest inner product becomes least distance by one more coordinate, which brings all vectors of a shard to one length; queries have
 zero there. The index is a written table, one row for each node.
@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored
 
-#: neighbours of a node, and nodes that a search keeps while building and while answering
+#: neighbours of a node, and nodes that a search keeps while building and while answering a query in a shard of FEWEST nodes
 DEGREE = 32
-BUILD_BEAM = 64
-SEARCH_BEAM = 96
+BUILD_BEAM = 96
+SEARCH_BEAM = 128
 #: how much nearer a kept neighbour must be to a proposal than the node itself to make it needless
-ALPHA = 1.2
+ALPHA = 1.1
 #: nodes of a shard: fewest, most, and the factor of the square root of all nodes between them
 FEWEST, MOST, ROOT = 8_192, 262_144, 32
 #: vector components of a shard at most
@@ -183,8 +183,10 @@ def answers(vectors: np.ndarray, ids: list[list[int]], links: np.ndarray, querie
     """For each query the (score, vec_id) of the k + 1 best rows found, best first. ``ids`` are those of each node."""
     points = lifted(vectors)
     start, asked, out = middle_node(points), asked_points(queries), []
+    # a larger graph needs a wider beam for the same recall
+    width = max(2 * k, int(SEARCH_BEAM * max(1, math.sqrt(len(vectors) / FEWEST))))
     for a in range(0, len(queries), TOGETHER):
-        nodes, _ = beam_search(points, links, start, asked[a : a + TOGETHER], max(SEARCH_BEAM, 2 * k))
+        nodes, _ = beam_search(points, links, start, asked[a : a + TOGETHER], width)
         scores = (vectors[nodes] * queries[a : a + TOGETHER, None, :]).sum(2)
         for line, score in zip(nodes, scores):
             # every node yields a row at least, so the k + 1 best nodes, ties included, hold the k + 1 best rows

@@ -103,7 +103,7 @@ def test_very_long_and_very_large_vectors(spark):
 
 
 def test_pruning_keeps_diverse_neighbours():
-    points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 3], [5, 0], [9, 0]], np.float32)
+    points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 3], [5, 0], [12, 0]], np.float32)
     kept = V.pruned(points, np.array([0]), np.array([[1, 2, 3, 4, 5, 0, -1, 1]]))
     # 2 and 4 lie behind 1; 5 does so by less than the factor that pruning is relaxed by
     assert kept[0][kept[0] >= 0].tolist() == [1, 3, 5]
