@@ -305,6 +305,101 @@ VIEWS["feat"] = """
              0.0::DOUBLE AS marketing_spend_7d, 0.0::DOUBLE AS avg_discount_pct, 0.0::DOUBLE AS stockout_rate,
              count(*) OVER (PARTITION BY channel, category) AS usable
       FROM windowed WHERE l14 IS NOT NULL) WHERE usable >= 7"""
+PAIRS = list(combinations_with_replacement(["one", *FEATURES, "net_sales"], 2))
+COUNT = len(FEATURES)
+
+
+def _place(i: int, j: int) -> int:
+    """Where the sum of a pair of columns stands, counted from 1."""
+    names = ["one", *FEATURES, "net_sales"]
+    return PAIRS.index((names[min(i, j)], names[max(i, j)])) + 1
+
+
+def _centred(i: int, j: int) -> str:
+    plain = f"t[{_place(i, j)}] - t[{_place(0, i)}] * t[{_place(0, j)}] / t[1]"
+    return f"{plain} + 1.0::DOUBLE" if i == j else plain
+
+
+def _sum(values: str) -> str:
+    return f"list_reduce(list_prepend(0.0::DOUBLE, {values}), lambda a, b: a + b)"
+
+
+def _dot(left: str, right: str) -> str:
+    return _sum(f"list_transform({left}, lambda x, i: x * {right}[i])")
+
+
+VIEWS["feat_held"] = """
+    SELECT *, row_number() OVER newest <= least(7, count(*) OVER (PARTITION BY channel, category) // 3) AS is_test,
+           row_number() OVER newest AS age FROM feat
+    WINDOW newest AS (PARTITION BY channel, category ORDER BY date_day DESC)"""
+# sums go to doubles by way of text, which rounds once
+VIEWS["sums"] = """
+    SELECT channel, category, fit, [{cells}] AS t
+    FROM (SELECT *, 1 AS one, unnest(CASE WHEN is_test THEN ['whole'] ELSE ['whole', 'train'] END) AS fit FROM feat_held)
+    GROUP BY channel, category, fit""".format(
+    cells=", ".join(f"sum(CAST({a} AS DECIMAL(19,4)) * CAST({b} AS DECIMAL(19,4)))::VARCHAR::DOUBLE" for a, b in PAIRS)
+)
+VIEWS["elimination"] = f"""
+    SELECT channel, category, fit, 0 AS k, t,
+           [{", ".join("[" + ", ".join(_centred(i, j) for j in range(1, COUNT + 2)) + "]" for i in range(1, COUNT + 1))}] AS m FROM sums
+    UNION ALL
+    SELECT channel, category, fit, k + 1, t,
+           list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN r ELSE
+               list_transform(r, lambda x, j: x - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END)
+    FROM elimination WHERE k < {COUNT}"""
+VIEWS["fitted"] = f"""
+    SELECT *, t[{_place(0, COUNT + 1)}] / t[1] - {_dot("[" + ", ".join(f"t[{_place(0, i)}] / t[1]" for i in range(1, COUNT + 1)) + "]", "w")} AS c
+    FROM (SELECT channel, category, fit, t, list_transform(m, lambda r, i: r[{COUNT + 1}] / r[i]) AS w
+          FROM elimination WHERE k = {COUNT})"""
+VIEWS["scored"] = f"""
+    SELECT channel, category, w, round_even(avg(abs(e)), 2) AS mae, round_even(sqrt(avg(e * e)), 2) AS rmse,
+           round_even(CASE WHEN sum(net_sales) > 0 THEN sum(abs(e)) / sum(net_sales) * 100 ELSE 0 END, 2) AS wape
+    FROM (SELECT channel, category, w, net_sales,
+                 net_sales - greatest({_dot("[" + ", ".join(FEATURES) + "]", "w")} + c, 0.0::DOUBLE) AS e
+          FROM feat_held JOIN fitted USING (channel, category) WHERE is_test AND fit = 'train')
+    GROUP BY channel, category, w"""
+
+
+def _json_number(x: str) -> str:
+    """As Java prints doubles: with an exponent from ten million on and below a thousandth."""
+    plain, digits = f"CAST(abs({x}) AS VARCHAR)", f"ltrim(rtrim(replace(CAST(abs({x}) AS VARCHAR), '.', ''), '0'), '0')"
+    mantissa = f"{digits}[1] || '.' || CASE WHEN length({digits}) > 1 THEN {digits}[2:] ELSE '0' END"
+    return f"""(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE
+        WHEN abs({x}) >= 1e7 THEN {mantissa} || 'E' || (strpos({plain}, '.') - 2)
+        WHEN {x} <> 0 AND abs({x}) < 1e-3 THEN {mantissa} || 'E-' || (length({plain}) - 1 - length({digits}))
+        ELSE {plain} END)"""
+
+
+IMPACTS = " || ',' || ".join(f"""'"{f}":' || {_json_number(f"(round_even(w[{i}], 4) + 0.0)")}""" for i, f in enumerate(FEATURES, 1))
+VIEWS["metrics"] = f"""
+    SELECT channel, category, mae, rmse, wape,
+           '{{"mae":' || {_json_number("mae")} || ',"rmse":' || {_json_number("rmse")} || ',"wape":' || {_json_number("wape")}
+           || ',"channel":"' || channel || '","category":"' || category || '","evaluated_at":"2026-01-01 00:00:00","feature_impacts":{{'
+           || {IMPACTS} || '}}}}' AS metrics_json
+    FROM scored"""
+NEXT_INPUTS = """[CAST(isodow(day) - 1 AS DOUBLE), CAST(day(day) AS DOUBLE), CAST(month(day) AS DOUBLE),
+    CAST(CASE WHEN isodow(day) IN (6, 7) THEN 1 ELSE 0 END AS DOUBLE),
+    CAST(CASE WHEN day(day) IN (1, 15, 30, 31) THEN 1 ELSE 0 END AS DOUBLE),
+    CAST(CASE WHEN (month(day), day(day)) IN ((7, 4), (12, 24), (12, 25), (12, 31), (1, 1))
+                OR (month(day) = 11 AND day(day) BETWEEN 23 AND 29) THEN 1 ELSE 0 END AS DOUBLE),
+    known[-1], known[-2], known[-7], coalesce(known[-14], known[-7]), {week} / 7, mean,
+    CASE WHEN len(known) >= 14 THEN sqrt({spread} / (len(known) - 1)) ELSE 0.0::DOUBLE END,
+    0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]""".format(
+    week=_sum("known[-7:]"), spread=_sum("list_transform(known, lambda x: (x - mean) * (x - mean))")
+)
+VIEWS["projected"] = f"""
+    SELECT channel, category, 0 AS ahead, max(date_day) AS day, list(net_sales ORDER BY date_day) AS known
+    FROM feat_held WHERE age <= 14 GROUP BY channel, category
+    UNION ALL
+    SELECT channel, category, ahead, day, list_append(known, greatest({_dot("inputs", "w")} + c, 0.0::DOUBLE))[-14:]
+    FROM (SELECT *, {NEXT_INPUTS} AS inputs
+          FROM (SELECT channel, category, ahead + 1 AS ahead, CAST(day + INTERVAL 1 DAY AS DATE) AS day, known,
+                       {_sum("known")} / len(known) AS mean FROM projected WHERE ahead < 7))
+    JOIN fitted USING (channel, category) WHERE fit = 'whole'"""
+VIEWS["future"] = f"""
+    SELECT day AS date_day, channel, category, round_even(known[-1], 2) AS forecast_sales,
+           'Ridge Multi-Forecast (' || channel || '/' || category || ')' AS model_name, metrics_json, {AS_OF} AS created_at
+    FROM projected JOIN metrics USING (channel, category) WHERE ahead > 0"""
 VIEWS["naive"] = """
     SELECT channel, category, date_day, cents, lag(cents, 7) OVER (PARTITION BY channel, category ORDER BY date_day)
            AS predicted FROM dense QUALIFY predicted IS NOT NULL"""
@@ -363,10 +458,10 @@ VIEWS["scored_hour"] = _fraud("hour")
 ORACLE: dict[str, str] = {}
 
 
-def _needed(sql: str, done: list[str]) -> list[str]:
+def _needed(sql: str, done: list[str], own: str = "") -> list[str]:
     for name, body in VIEWS.items():
-        if name not in done and re.search(rf"\b{name}\b", sql):
-            _needed(body, done)
+        if name not in (own, *done) and re.search(rf"\b{name}\b", sql):
+            _needed(body, done, name)
             if name not in done:
                 done.append(name)
     return done
@@ -375,7 +470,8 @@ def _needed(sql: str, done: list[str]) -> list[str]:
 def oracle(name: str, sql: str) -> None:
     needed = _needed(sql, [])
     with_clause = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in needed)
-    ORACLE[name] = f"WITH {with_clause}\n{sql}" if needed else sql
+    recursive = any(re.search(rf"\b{v}\b", VIEWS[v]) for v in needed)
+    ORACLE[name] = f"WITH {'RECURSIVE ' * recursive}{with_clause}\n{sql}" if needed else sql
 
 
 # -- bronze and silver ----------------------------------------------------------------------
@@ -642,7 +738,7 @@ def _trend(where: str, channel: str, category: str) -> str:
       SELECT date_day, CAST(coalesce(actual, 0) AS DECIMAL(38,2)) AS actual, coalesce(forecast, 0::DOUBLE) AS forecast
       FROM (SELECT CAST(transaction_timestamp AS DATE) AS date_day, sum({NET}) AS actual
             FROM tx LEFT JOIN catalog USING (product_id) {where} GROUP BY ALL)
-      FULL JOIN (SELECT date_day, CAST(predicted AS DOUBLE) / 100.0::DOUBLE AS forecast FROM naive
+      FULL JOIN (SELECT date_day, forecast_sales AS forecast FROM future
                  WHERE channel = '{channel}' AND category = '{category}') USING (date_day)
       ORDER BY date_day DESC LIMIT 20)"""
 
@@ -718,7 +814,7 @@ oracle(
                  coalesce(ref, 0::DECIMAL(38,2)) AS total_refund, coalesce(fc, 0::DOUBLE) AS forecast_sales
           FROM (SELECT date_day, sum(net_sales) AS rev, sum(total_cost) AS cst FROM fsales GROUP BY ALL)
           FULL JOIN (SELECT date_day, sum(refund_amount) AS ref FROM fret GROUP BY ALL) USING (date_day)
-          FULL JOIN (SELECT date_day, CAST(predicted AS DOUBLE) / 100.0::DOUBLE AS fc FROM naive
+          FULL JOIN (SELECT date_day, forecast_sales AS fc FROM future
                      WHERE channel = 'ALL' AND category = 'ALL') USING (date_day))""",
 )
 oracle(
@@ -812,6 +908,9 @@ oracle(
           FROM (SELECT channel, category, CAST(cents AS DOUBLE) / 100 AS a,
                        CAST(cents AS DOUBLE) / 100 - CAST(predicted AS DOUBLE) / 100 AS e FROM naive) GROUP BY ALL)""",
 )
+oracle("forecast_metrics", "SELECT * FROM metrics")
+oracle("forecast_7d", "SELECT * FROM future")
+oracle("trend_metrics", "SELECT mae, rmse, wape FROM metrics WHERE channel = 'POS' AND category = 'ALL'")
 
 # -- uploads --------------------------------------------------------------------------------
 

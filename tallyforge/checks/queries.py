@@ -381,14 +381,8 @@ def overview_channel(r: Retail) -> DataFrame:
 
 
 def _forecast_table(r: Retail) -> DataFrame:
-    """A forecast every engine can repeat: each weekday as the week before."""
-    daily = forecast.last_week_forecast(forecast.daily_slices(r.transactions(), r.catalog()))
-    return daily.select(
-        "date_day",
-        "channel",
-        "category",
-        (F.col("predicted_cents").cast("double") / F.lit(100.0)).alias("forecast_sales"),
-    )
+    """The stored forecast, as the batch run leaves it in the gold layer."""
+    return r.stored("forecast", lambda: forecast.forecast(_features(r), as_of=as_of()))
 
 
 @query
@@ -572,7 +566,7 @@ def forecast_accuracy(r: Retail) -> DataFrame:
 
 @query
 def forecast_metrics(r: Retail) -> DataFrame:
-    fitted = forecast.forecast_fit(_features(r), as_of=as_of())
+    fitted = forecast.forecast_fit(forecast.slice_summary(_features(r)), as_of=as_of())
     return fitted.select(*forecast.SLICE, "mae", "rmse", "wape", "metrics_json")
 
 
@@ -583,7 +577,7 @@ def forecast_7d(r: Retail) -> DataFrame:
 
 @query
 def trend_metrics(r: Retail) -> DataFrame:
-    return kpis.trend_metrics(forecast.forecast(_features(r), as_of=as_of()), channel="POS")
+    return kpis.trend_metrics(_forecast_table(r), channel="POS")
 
 
 # -- uploads --------------------------------------------------------------------------------

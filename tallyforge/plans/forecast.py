@@ -1,20 +1,16 @@
-"""Daily sales forecast: features in Spark columns, one small ridge solve per slice.
+"""Daily sales forecast: features, a ridge fit and the recursive projection, all in column expressions.
 
 Slices are all sales, each channel and each category. Sales are reduced to one row per slice and
-day before any window or Python code runs, so the work per slice is bounded by the calendar.
+day before any window runs. One aggregation per slice then takes the exact sums behind the normal equations, the
+hold-out days and the last days; systems of 16 unknowns are solved, and days projected, within that row.
 """
 
 from __future__ import annotations
 
-import sys
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyforge.functions.measures import lenient_net_sales
@@ -30,9 +26,6 @@ from tallyforge.operators.series import (
     sales_slices,
 )
 
-# the per-slice functions travel to the executors whole, so the package need not be installed there
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SLICE = ["channel", "category"]
 
 # The model's inputs in order, and the sizes below which a slice is skipped.
@@ -120,82 +113,137 @@ def forecast_features(sales: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def forecast_gram(features: DataFrame) -> DataFrame:
-    """Sums behind the normal equations: one row per slice and pair of columns (target included).
+#: a column of ones: its products with the others are their sums, its square the number of rows
+ONE = "one"
+
+
+def _pairs(columns: list[str]) -> list[tuple[int, int]]:
+    return list(combinations_with_replacement(range(len(columns)), 2))
+
+
+def _gram(columns: list[str]) -> Column:
+    """Sums of the products of all pairs, in the order of ``_pairs``.
 
     Values are taken to four decimals and summed exactly, so the order of rows does not matter.
     """
+    exact = [f"CAST({'1' if c == ONE else c} AS DECIMAL(18, 4))" for c in columns]
+    return F.expr(f"array({', '.join(f'CAST(sum({exact[i]} * {exact[j]}) AS DECIMAL(38, 8))' for i, j in _pairs(columns))})")
+
+
+def forecast_gram(features: DataFrame) -> DataFrame:
+    """Sums behind the normal equations: one row per slice and pair of columns (target included)."""
     columns = [*FEATURES, "net_sales"]
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    exact = [F.col(c).cast("decimal(18,4)") for c in columns]
-    sums = [F.sum(exact[i] * exact[j]).cast("decimal(38,8)").alias(f"_s{i}_{j}") for i, j in pairs]
-    wide = features.groupBy(*SLICE).agg(*sums)
+    wide = features.groupBy(*SLICE).agg(_gram(columns).alias("_totals"))
     cells = [
         F.struct(
             F.lit(columns[i]).alias("left_column"),
             F.lit(columns[j]).alias("right_column"),
-            F.col(f"_s{i}_{j}").alias("total"),
+            F.col("_totals")[k].alias("total"),
         )
-        for i, j in pairs
+        for k, (i, j) in enumerate(_pairs(columns))
     ]
     return wide.select(*SLICE, F.inline(F.array(*cells)))
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Closed form with a free intercept: centre, solve, shift back."""
-    x_mean, y_mean = x.mean(axis=0), y.mean()
-    centred = x - x_mean
-    gram = centred.T @ centred + alpha * np.eye(x.shape[1])
-    weights = np.linalg.solve(gram, centred.T @ (y - y_mean))
-    return weights, float(y_mean - x_mean @ weights)
+RECENT = 14
 
 
-FIT_SCHEMA = T.StructType(
-    [
-        T.StructField("channel", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("date_day", T.DateType()),
-        T.StructField("actual", T.DoubleType()),
-        T.StructField("predicted", T.DoubleType()),
-        T.StructField("weights", T.ArrayType(T.DoubleType())),
-    ]
-)
+def slice_summary(features: DataFrame, max_test_rows: int = 7) -> DataFrame:
+    """One row per slice: ``train`` and ``whole`` (sums behind the normal equations without the hold-out and over all
+    days, as doubles), ``tests`` (hold-out days with their inputs), ``recent`` (the last sales, oldest first) and ``last_day``.
 
+    A single aggregation; what it gathers is bounded by the hold-out and the longest lag.
+    """
+    columns = [ONE, *FEATURES, "net_sales"]
+    newest_first = Window.partitionBy(*SLICE).orderBy(F.col("date_day").desc())
+    tagged = holdout(features, SLICE, "date_day", max_test_rows).withColumn("_age", F.row_number().over(newest_first))
+    test = F.struct("date_day", F.col("net_sales").alias("actual"), F.array(*FEATURES).alias("inputs"))
+    parts = tagged.groupBy(*SLICE, "is_test").agg(
+        _gram(columns).alias("_totals"),
+        F.collect_list(F.when(F.col("is_test"), test)).alias("_tests"),
+        F.collect_list(F.when(F.col("_age") <= RECENT, F.struct("date_day", "net_sales"))).alias("_recent"),
+        F.max("date_day").alias("_last"),
+    )
+    both = parts.groupBy(*SLICE).agg(
+        F.max(F.when(~F.col("is_test"), F.col("_totals"))).alias("_train"),
+        F.max(F.when(F.col("is_test"), F.col("_totals"))).alias("_held"),
+        F.sort_array(F.flatten(F.collect_list("_tests"))).alias("tests"),
+        F.sort_array(F.flatten(F.collect_list("_recent")))["net_sales"].alias("recent"),
+        F.max("_last").alias("last_day"),
+    )
+    whole = F.coalesce(F.zip_with("_train", "_held", lambda a, b: a + b), F.col("_train"))
+    return both.select(
+        *SLICE,
+        F.col("_train").cast("array<double>").alias("train"),
+        whole.cast("array<double>").alias("whole"),
+        "tests",
+        "recent",
+        "last_day",
+    )
 
-def holdout_predictions(features: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Fit on the older days of each slice, predict its hold-out days from their actual lags."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        train, test = rows[~rows.is_test], rows[rows.is_test].sort_values("date_day")
-        weights, intercept = _ridge(
-            train[FEATURES].to_numpy(float), train["net_sales"].to_numpy(float), alpha
-        )
-        predicted = np.clip(test[FEATURES].to_numpy(float) @ weights + intercept, 0, None)
-        return pd.DataFrame(
-            {
-                "channel": test["channel"],
-                "category": test["category"],
-                "date_day": test["date_day"],
-                "actual": test["net_sales"],
-                "predicted": predicted,
-                "weights": [weights.tolist()] * len(test),
-            }
-        )
+def _sum(values: str) -> str:
+    return f"aggregate({values}, 0D, (total, x) -> total + x)"
 
-    return holdout(features, SLICE, "date_day").groupBy(*SLICE).applyInPandas(fit, FIT_SCHEMA)
 
+def _dot(left: str, right: str) -> str:
+    return _sum(f"zip_with({left}, {right}, (a, b) -> a * b)")
 
-def forecast_fit(features: DataFrame, alpha: float = 1.0, as_of: Column | None = None) -> DataFrame:
-    """Accuracy of each slice on its hold-out, with the coefficients, also as JSON."""
+
+def ridge(df: DataFrame, totals: str, alpha: float = 1.0) -> DataFrame:
+    """Adds ``weights`` (array, in the order of ``FEATURES``) and ``intercept`` from the sums in column ``totals``.
+
+    The sums are centred, which leaves the intercept free of the penalty; ``alpha`` > 0 goes on the diagonal, so the system
+    is positive definite and elimination needs no pivoting.
+    """
+    m = len(FEATURES)
+    # the first m + 2 sums are those of the columns themselves; a pair i <= j stands at i * (2m + 3 - i) / 2 + j
+    product = f"{totals}[CAST(least(i, j) * ({2 * m + 3} - least(i, j)) DIV 2 + greatest(i, j) AS INT)]"
+    centred = f"{product} - {totals}[i] * {totals}[j] / {totals}[0]"
+    entry = f"IF(i = j, {centred} + {float(alpha)}D, {centred})"
+    system = f"transform(sequence(1, {m}), i -> transform(sequence(1, {m + 1}), j -> {entry}))"
+    without = "IF(i = k, r, zip_with(r, s[k], (x, p) -> x - r[k] / s[k][k] * p))"
+    solved = f"aggregate(sequence(0, {m - 1}), _system, (s, k) -> transform(s, (r, i) -> {without}))"
+    means = f"transform(sequence(1, {m}), i -> {totals}[i] / {totals}[0])"
+    return (
+        df.withColumn("_system", F.expr(system))
+        .withColumn("weights", F.expr(f"transform({solved}, (r, i) -> r[{m}] / r[i])"))
+        .withColumn("intercept", F.expr(f"{totals}[{m + 1}] / {totals}[0] - {_dot(means, 'weights')}"))
+        .drop("_system")
+    )
+
+
+def _predicted(inputs: str) -> str:
+    return f"greatest({_dot(inputs, 'weights')} + intercept, 0D)"
+
+
+def _unrolled(df: DataFrame, kept: list[str], column: str) -> DataFrame:
+    """A row for each struct of an array, which has a date_day. The outer form, as Catalyst would else put a filter on the array's size below
+    and work the whole fit out for it once more."""
+    return df.select(*kept, F.inline_outer(column)).where("date_day IS NOT NULL")
+
+
+def holdout_predictions(summary: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Fit on the older days of each slice, predict its hold-out days from their actual lags. Further columns are kept."""
+    fitted = ridge(summary, "train", alpha)
+    kept = [c for c in summary.columns if c not in ("train", "tests")]
+    rows = _unrolled(fitted, [*kept, "weights", "intercept"], "tests")
+    return rows.withColumn("predicted", F.expr(_predicted("inputs"))).drop("inputs", "intercept")
+
+
+def forecast_fit(
+    summary: DataFrame, alpha: float = 1.0, as_of: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Accuracy of each slice on its hold-out, with the coefficients, also as JSON. ``keep`` names columns, one value a slice."""
     now = (as_of if as_of is not None else F.current_timestamp()).cast("timestamp_ntz")
-    predictions = holdout_predictions(features, alpha)
-    scores = accuracy(predictions, SLICE, "actual", "predicted")
-    weights = predictions.groupBy(*SLICE).agg(F.max("weights").alias("_w"))
+    predictions = holdout_predictions(summary, alpha)
+    # the coefficients are one value a slice, so grouping by them as well spares a join
+    scores = accuracy(predictions, [*SLICE, "weights", *keep], "actual", "predicted")
     impacts = F.map_from_arrays(
-        F.array(*[F.lit(f) for f in FEATURES]), F.transform("_w", lambda w: F.bround(w, 4))
+        F.array(*[F.lit(f) for f in FEATURES]), F.transform("weights", lambda w: F.bround(w, 4))
     )
     rounded = [F.bround(c, 2).alias(c) for c in ("mae", "rmse", "wape")]
-    joined = scores.join(weights, SLICE).select(*SLICE, *rounded, impacts.alias("feature_impacts"))
+    joined = scores.select(*SLICE, *keep, *rounded, impacts.alias("feature_impacts"))
     metrics = F.to_json(
         F.struct(
             "mae",
@@ -210,95 +258,65 @@ def forecast_fit(features: DataFrame, alpha: float = 1.0, as_of: Column | None =
     return joined.withColumn("metrics_json", metrics)
 
 
-FORECAST_SCHEMA = T.StructType(
-    [
-        T.StructField("channel", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("date_day", T.DateType()),
-        T.StructField("forecast_sales", T.DoubleType()),
-    ]
-)
+def _coming_days(horizon: int) -> Column:
+    """The days after ``last_day`` with the inputs that the calendar gives."""
 
+    def coming(ahead: Column) -> Column:
+        day = F.date_add(F.col("last_day"), ahead)
+        calendar = (F.weekday(day), F.dayofmonth(day), F.month(day), F.weekday(day).isin(5, 6), is_payday(day), is_retail_event(day))
+        return F.struct(day.alias("day"), F.array(*[c.cast("double") for c in calendar]).alias("calendar"))
 
-def _calendar_values(day: pd.Timestamp) -> list[float]:
-    event = (
-        (day.month, day.day) in {(7, 4), (12, 24), (12, 25), (12, 31), (1, 1)}
-        or (day.month == 11 and 23 <= day.day <= 29)
-    )
-    return [
-        float(day.dayofweek),
-        float(day.day),
-        float(day.month),
-        float(day.dayofweek >= 5),
-        float(day.day in (1, 15, 30, 31)),
-        float(event),
-    ]
-
+    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), coming)
 
-def forecast_steps(features: DataFrame, horizon: int = 7, alpha: float = 1.0) -> DataFrame:
-    """Refit on all days, then predict day by day, each prediction feeding the next one's lags."""
 
-    def project(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date_day")
-        weights, intercept = _ridge(
-            rows[FEATURES].to_numpy(float), rows["net_sales"].to_numpy(float), alpha
-        )
-        known = rows["net_sales"].to_numpy(float)[-14:].tolist()
-        last_day = pd.Timestamp(rows["date_day"].iloc[-1])
-        days, values = [], []
-        for step in range(1, horizon + 1):
-            day = last_day + pd.Timedelta(days=step)
-            full = len(known) >= 14
-            recent = np.array(known[-14:])
-            inputs = [
-                *_calendar_values(day),
-                known[-1],
-                known[-2],
-                known[-7],
-                known[-14] if full else known[-7],
-                float(np.mean(recent[-7:])),
-                float(np.mean(recent)),
-                float(np.std(recent, ddof=1)) if full else 0.0,
-                0.0,
-                0.0,
-                0.0,
-            ]
-            value = max(float(np.dot(inputs, weights) + intercept), 0.0)
-            known.append(value)
-            days.append(day.date())
-            values.append(round(value, 2))
-        return pd.DataFrame(
-            {
-                "channel": rows["channel"].iloc[0],
-                "category": rows["category"].iloc[0],
-                "date_day": days,
-                "forecast_sales": values,
-            }
-        )
+def with_projection(summary: DataFrame, horizon: int = 7, alpha: float = 1.0) -> DataFrame:
+    """Adds ``days``, an array of (date_day, forecast_sales): refit on all days, then predicted day by day.
 
-    return features.groupBy(*SLICE).applyInPandas(project, FORECAST_SCHEMA)
+    A fold over the coming days; its state is the last sales, each prediction becoming one of them, and the days so far.
+    """
+    mean = f"{_sum('s.known')} / size(s.known)"
+    week = f"{_sum('slice(s.known, -7, 7)')} / 7"
+    spread = f"transform(array({mean}), m -> {_sum('transform(s.known, x -> (x - m) * (x - m))')})[0]"
+    inputs = f"""concat(a.calendar, array(
+        element_at(s.known, -1), element_at(s.known, -2), element_at(s.known, -7),
+        coalesce(try_element_at(s.known, -{RECENT}), element_at(s.known, -7)), {week}, {mean},
+        IF(size(s.known) >= {RECENT}, sqrt({spread} / (size(s.known) - 1)), 0D), 0D, 0D, 0D))"""
+    newest = f"IF(size(s.known) >= {RECENT}, slice(s.known, 2, {RECENT} - 1), s.known)"
+    # the prediction is named v, so that it is worked out once
+    step = f"""transform(array({_predicted(inputs)}), v -> named_struct(
+        'known', concat({newest}, array(v)),
+        'days', concat(s.days, array(named_struct('date_day', a.day, 'forecast_sales', bround(v, 2))))))[0]"""
+    start = "named_struct('known', recent, 'days', CAST(array() AS array<struct<date_day:date,forecast_sales:double>>))"
+    fitted = ridge(summary, "whole", alpha).withColumn("_coming", _coming_days(horizon))
+    days = F.expr(f"aggregate(_coming, {start}, (s, a) -> {step}, s -> s.days)")
+    return fitted.withColumn("days", days).drop("weights", "intercept", "_coming")
+
+
+def forecast_steps(summary: DataFrame, horizon: int = 7, alpha: float = 1.0) -> DataFrame:
+    """The predicted days of each slice."""
+    return _unrolled(with_projection(summary, horizon, alpha), SLICE, "days")
 
 
 def forecast(
     features: DataFrame, horizon: int = 7, alpha: float = 1.0, as_of: Column | None = None
 ) -> DataFrame:
-    """The forecast table: predicted days of each slice with the model's name and metrics."""
+    """The forecast table: predicted days of each slice with the model's name and metrics.
+
+    The features are read once; both fits, the hold-out and the projection follow from one row per slice, without a join.
+    """
     now = (as_of if as_of is not None else F.current_timestamp()).cast("timestamp_ntz")
     name = F.concat(
         F.lit("Ridge Multi-Forecast ("), F.col("channel"), F.lit("/"), F.col("category"), F.lit(")")
     )
-    metrics = forecast_fit(features, alpha, as_of).select(*SLICE, "metrics_json")
-    return (
-        forecast_steps(features, horizon, alpha)
-        .join(metrics, SLICE)
-        .select(
-            "date_day",
-            *SLICE,
-            "forecast_sales",
-            name.alias("model_name"),
-            "metrics_json",
-            now.alias("created_at"),
-        )
+    projected = with_projection(slice_summary(features), horizon, alpha)
+    scored = forecast_fit(projected, alpha, as_of, keep=("days",))
+    return _unrolled(scored, [*SLICE, "metrics_json"], "days").select(
+        "date_day",
+        *SLICE,
+        "forecast_sales",
+        name.alias("model_name"),
+        "metrics_json",
+        now.alias("created_at"),
     )
 
 

@@ -319,14 +319,36 @@ def test_features_against_pandas(spark):
         assert (r.marketing_spend_7d, r.avg_discount_pct, r.stockout_rate) == (0, 0, 0)
 
 
-def test_ridge_matches_the_penalised_normal_equations():
+def plain_ridge(x, y, alpha=1.0):
+    """The penalised normal equations with a free intercept."""
+    ones = np.hstack([x, np.ones((len(x), 1))])
+    solution = np.linalg.solve(ones.T @ ones + alpha * np.diag([1.0] * x.shape[1] + [0.0]), ones.T @ y)
+    return solution[:-1], solution[-1]
+
+
+def summed(spark, x, y):
+    """The sums of the products of all pairs of (one, inputs, target), as ``ridge`` takes them."""
+    columns = np.hstack([np.ones((len(x), 1)), x, y[:, None]])
+    sums = columns.T @ columns
+    return spark.createDataFrame([([float(sums[i, j]) for i in range(18) for j in range(i, 18)],)], "t array<double>")
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.01, 50.0])
+def test_ridge_matches_the_penalised_normal_equations(spark, alpha):
     rng = np.random.default_rng(0)
-    x, y = rng.normal(size=(60, 16)), rng.normal(size=60)
-    weights, intercept = forecast._ridge(x, y, 1.0)
-    ones = np.hstack([x, np.ones((60, 1))])
-    penalty = np.diag([1.0] * 16 + [0.0])
-    expected = np.linalg.solve(ones.T @ ones + penalty, ones.T @ y)
-    assert np.allclose(weights, expected[:-1]) and np.isclose(intercept, expected[-1])
+    x, y = rng.normal(size=(60, 16)) + 3, rng.normal(size=60)
+    x[:, 13:] = 0  # columns without any value take no weight
+    weights, intercept = plain_ridge(x, y, alpha)
+    got = forecast.ridge(summed(spark, x, y), "t", alpha).first()
+    assert np.allclose(got.weights, weights, atol=1e-9) and np.isclose(got.intercept, intercept) and got.weights[13:] == [0, 0, 0]
+
+
+def test_ridge_with_fewer_rows_than_inputs(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(5, 16)), rng.normal(size=5)
+    weights, intercept = plain_ridge(x, y)
+    got = forecast.ridge(summed(spark, x, y), "t").first()
+    assert np.allclose(got.weights, weights) and np.isclose(got.intercept, intercept)
 
 
 def test_gram_and_pandas_sums_agree(spark):
@@ -347,20 +369,47 @@ def test_forecast_table(spark):
     assert list(metrics["feature_impacts"]) == forecast.FEATURES
     assert all(metrics["feature_impacts"][c] == 0 for c in forecast.FEATURES[-3:])
     assert metrics["evaluated_at"] == "2026-07-01 00:00:00"
-    held_out = forecast.holdout_predictions(features).where("channel = 'POS'").count()
+    held_out = forecast.holdout_predictions(forecast.slice_summary(features)).where("channel = 'POS'").count()
     assert held_out == 7
 
 
+def test_holdout_is_predicted_from_the_older_days(spark):
+    features = forecast.forecast_features(*daily_sales(spark, 60)).where("channel = 'POS'")
+    pdf = features.toPandas().sort_values("date_day")
+    x, y = pdf[forecast.FEATURES].to_numpy(float), pdf["net_sales"].to_numpy(float)
+    weights, intercept = plain_ridge(x[:-7], y[:-7])
+    got = forecast.holdout_predictions(forecast.slice_summary(features)).orderBy("date_day").collect()
+    assert [r.actual for r in got] == list(y[-7:])
+    assert np.allclose([r.predicted for r in got], np.maximum(x[-7:] @ weights + intercept, 0), rtol=1e-3)
+
+
+@pytest.mark.parametrize("days", [21, 24, 60])
+def test_projection_feeds_on_itself(spark, days):
+    """All seven days against a plain loop, also where the history is shorter than the longest lag."""
+    features = forecast.forecast_features(*daily_sales(spark, days)).where("channel = 'POS'")
+    pdf = features.toPandas().sort_values("date_day")
+    weights, intercept = plain_ridge(pdf[forecast.FEATURES].to_numpy(float), pdf["net_sales"].to_numpy(float))
+    known, day = list(pdf["net_sales"].to_numpy()[-14:]), pdf["date_day"].iloc[-1]
+    for got in forecast.forecast_steps(forecast.slice_summary(features)).orderBy("date_day").collect():
+        day += timedelta(days=1)
+        full, event = len(known) >= 14, (day.month, day.day) in {(1, 1), (7, 4), (12, 24), (12, 25), (12, 31)}
+        x = [day.weekday(), day.day, day.month, day.weekday() >= 5, day.day in (1, 15, 30, 31), event]
+        x += [known[-1], known[-2], known[-7], known[-14] if full else known[-7], np.mean(known[-7:]), np.mean(known[-14:])]
+        x += [np.std(known[-14:], ddof=1) if full else 0, 0, 0, 0]
+        known.append(max(float(np.dot(x, weights) + intercept), 0))
+        assert got.date_day == day and got.forecast_sales == pytest.approx(known[-1], rel=1e-3)
+
+
 def test_first_step_follows_from_the_fit(spark):
     features = forecast.forecast_features(*daily_sales(spark, 60)).where("channel = 'POS'")
     pdf = features.toPandas().sort_values("date_day")
-    weights, intercept = forecast._ridge(pdf[forecast.FEATURES].to_numpy(float), pdf["net_sales"].to_numpy(float), 1.0)
+    weights, intercept = plain_ridge(pdf[forecast.FEATURES].to_numpy(float), pdf["net_sales"].to_numpy(float))
     known = pdf["net_sales"].to_numpy()
     day = date(2026, 3, 2)
     x = [day.weekday(), 2, 3, 0.0, 0.0, 0.0, known[-1], known[-2], known[-7], known[-14]]
     x += [known[-7:].mean(), known[-14:].mean(), known[-14:].std(ddof=1), 0, 0, 0]
-    first = forecast.forecast_steps(features).orderBy("date_day").first()["forecast_sales"]
-    assert first == round(max(float(np.dot(x, weights) + intercept), 0.0), 2)
+    first = forecast.forecast_steps(forecast.slice_summary(features)).orderBy("date_day").first()["forecast_sales"]
+    assert first == pytest.approx(max(float(np.dot(x, weights) + intercept), 0.0), abs=0.02)  # inputs count to four decimals
 
 
 def test_slices_keep_a_real_null_apart(spark):
