@@ -42,6 +42,7 @@ def run(lake: Lakehouse, args: argparse.Namespace) -> None:
         medallion.refresh_analytics(
             lake, silver["transactions"], products, silver["returns"], silver["customers"]
         )
+    lake.prune_all(args.keep)
 
 
 def report(lake: Lakehouse, args: argparse.Namespace) -> DataFrame:
@@ -83,6 +84,7 @@ def main() -> None:
     batch.add_argument("--start", help="first day of the calendar; the first day of the facts by default")
     batch.add_argument("--end", help="last day of the calendar; the last day of the facts by default")
 
+    batch.add_argument("--keep", type=int, default=2, help="versions of each table that stay after the run")
     batch.add_argument("--publish", action="store_true", help="also write silver tables to the session's catalog")
     batch.add_argument("--publish-url", help="also write silver tables over JDBC")
 

@@ -1008,8 +1008,15 @@ oracle(
            CASE event_type WHEN 'signup' THEN 'C' WHEN 'error' THEN 'D' ELSE 'U' END AS operation_type,
            md5('CORE-accounts-' || user_id) AS event_id FROM events""",
 )
-oracle("stream_dedup", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+oracle(
+    "stream_dedup",
+    """
+    SELECT event_id, CAST(user_id AS VARCHAR) AS "user", event_type,
+           CASE WHEN event_id % 3 = 0 THEN value ELSE value + 1 END AS value,
+           CASE WHEN event_id % 3 = 0 THEN ts ELSE ts + INTERVAL 1 DAY END AS ts FROM events""",
+)
 oracle("stream_silver", "SELECT * FROM tx_silver")
+oracle("stream_compacted", "SELECT * FROM tx_silver")
 oracle(
     "stream_quarantine",
     "SELECT quarantine_reason, count(*) AS n FROM tagged WHERE quarantine_reason IS NOT NULL GROUP BY ALL",

@@ -719,19 +719,24 @@ def birth_month(r: Retail) -> DataFrame:
 
 @query
 def stream_dedup(r: Retail) -> DataFrame:
-    """Line ids of the lineitem stream, once each, however late they come."""
+    """The events feed in three files, the newest first, so that older copies and first arrivals come late; every event comes twice,
+    a day apart and with another value. Whole rows, the latest copy of each."""
     base = scratch_dir(r.spark, "stream-dedup")
-    keyed = r.stream("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp"))
-    keys = ["l_orderkey", "l_linenumber"]
-    ingest.stream_unique(keyed, keys, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
-    return ingest.unique_rows(r.spark, f"{base}/rows", keys).select(*keys)
-
-
-def _streamed(r: Retail) -> str:
-    base = scratch_dir(r.spark, "stream-silver")
+    events = r.events().select("event_id", "user", "event_type", "value", "ts")
+    later = events.withColumns({"ts": F.expr("ts + INTERVAL 1 DAY"), "value": F.col("value") + 1})
+    copies = events.unionByName(later.where("event_id % 3 <> 0")).unionByName(events.where("event_id % 5 = 0"))
+    for part in (2, 1, 0):
+        copies.where(F.pmod(F.dayofmonth("ts"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    feed = ingest.file_source(r.spark, f"{base}/in", copies.schema, maxFilesPerTrigger="1")
+    ingest.stream_unique(feed, ["event_id"], f"{base}/rows", f"{base}/checkpoint", "ts").awaitTermination()
+    return ingest.unique_rows(r.spark, f"{base}/rows", ["event_id"], "ts")
+
+
+def _streamed(r: Retail, rows: DataFrame | None = None, base: str | None = None) -> str:
+    base = base or scratch_dir(r.spark, "stream-silver")
     contract, spec = CONTRACTS["transactions"], SPECS["transactions"]
     # the test table is a single split; on a topic the partitions do this
-    rows = r.stream("lineitem").repartition(r.spark.sparkContext.defaultParallelism)
+    rows = (r.stream("lineitem") if rows is None else rows).repartition(r.spark.sparkContext.defaultParallelism)
     raw = r.raw_transactions(rows)
     ingest.stream_rows_to_bronze(
         raw, spec, RUN, f"{base}/bronze", f"{base}/bronze-checkpoint", as_of=as_of()
@@ -741,6 +746,18 @@ def _streamed(r: Retail) -> str:
     return f"{base}/silver"
 
 
+@query
+def stream_compacted(r: Retail) -> DataFrame:
+    """Half of the lines streamed and compacted, then the other half: read from the compacted state and the batches after it."""
+    base, contract, lines = scratch_dir(r.spark, "stream-compacted"), CONTRACTS["transactions"], r.table("lineitem")
+    for half in (0, 1):
+        lines.where(F.col("l_orderkey") % 2 == half).write.mode("append").parquet(f"{base}/lines")
+        path = _streamed(r, ingest.file_source(r.spark, f"{base}/lines", lines.schema), base)
+        if not half:
+            ingest.compact(Lakehouse(r.spark, f"{base}/lake"), contract, path)
+    return ingest.streamed_silver(r.spark, contract, path)
+
+
 @query
 def stream_silver(r: Retail) -> DataFrame:
     return ingest.streamed_silver(r.spark, CONTRACTS["transactions"], _streamed(r))

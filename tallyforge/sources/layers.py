@@ -15,6 +15,32 @@ from pyspark.sql import functions as F
 from tallyforge.operators.latest import latest_by
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path of the store and its file system."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def complete(spark: SparkSession, path: str, name: str, only: bool = True) -> list[int]:
+    """The numbers n of the folders ``name=n`` below a path, ascending; ``only`` those whose writing ended."""
+    folder, fs = _folder(spark, path)
+    if not fs.exists(folder):
+        return []
+    found = []
+    for status in fs.listStatus(folder):
+        entry = status.getPath()
+        key, _, number = entry.getName().partition("=")
+        if key == name and number.isdigit() and (not only or fs.exists(_folder(spark, f"{path}/{entry.getName()}/_SUCCESS")[0])):
+            found.append(int(number))
+    return sorted(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder, fs = _folder(spark, path)
+    fs.delete(folder, True)
+
+
 @dataclass(frozen=True)
 class Lakehouse:
     spark: SparkSession
@@ -25,21 +51,7 @@ class Lakehouse:
         return f"{self.root.rstrip('/')}/{layer}/{name}"
 
     def _versions(self, layer: str, name: str, complete_only: bool = True) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path(layer, name))
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = []
-        for status in fs.listStatus(folder):
-            entry = status.getPath()
-            version = entry.getName()
-            if not version.startswith("v="):
-                continue
-            if complete_only and not fs.exists(jvm.org.apache.hadoop.fs.Path(entry, "_SUCCESS")):
-                continue
-            found.append(int(version[2:]))
-        return sorted(found)
+        return complete(self.spark, self.path(layer, name), "v", complete_only)
 
     def write(
         self, df: DataFrame, layer: str, name: str, partition_by: tuple[str, ...] = (), cluster: bool = False
@@ -71,13 +83,23 @@ class Lakehouse:
         fail, so prune when none runs."""
         if keep < 1:
             raise ValueError("the newest version stays")
-        jvm = self.spark.sparkContext._jvm
         old = self._versions(layer, name)[:-keep]
         for version in old:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(layer, name)}/v={version:06d}")
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(self.spark, f"{self.path(layer, name)}/v={version:06d}")
         return old
 
+    def prune_all(self, keep: int = 2) -> dict[str, list[int]]:
+        """``prune`` for every versioned table of every layer; the batch run ends with it, so that versions do not pile up.
+        The one before the newest stays for jobs that still read it."""
+        pruned = {}
+        for layer in ("bronze", "staged", "silver", "gold"):
+            folder, fs = _folder(self.spark, f"{self.root.rstrip('/')}/{layer}")
+            for status in fs.listStatus(folder) if fs.exists(folder) else []:
+                name = status.getPath().getName()
+                if old := self.prune(layer, name, keep):
+                    pruned[f"{layer}/{name}"] = old
+        return pruned
+
     def rewrite_runs(self, df: DataFrame, layer: str, name: str) -> None:
         """Replaces the runs that occur in ``df``, which may come from them: the rows are stored apart first."""
         copy = f"{self.path('staged', f'{layer}_{name}')}/{uuid.uuid4().hex}"
@@ -85,18 +107,14 @@ class Lakehouse:
         rows = self.spark.read.format(self.fmt).load(copy)
         writer = rows.write.format(self.fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("run_id").save(self.path(layer, name))
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(copy)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(self.spark, copy)
 
     def append_run(self, df: DataFrame, layer: str, name: str, run_id: str) -> None:
         """Adds the rows of one run; repeating the run replaces its own rows only."""
         df.write.format(self.fmt).mode("overwrite").save(f"{self.path(layer, name)}/run_id={run_id}")
 
     def read_runs(self, layer: str, name: str) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path(layer, name))
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        folder, fs = _folder(self.spark, self.path(layer, name))
         if not fs.exists(folder):
             return None
         return self.spark.read.format(self.fmt).option("basePath", self.path(layer, name)).load(

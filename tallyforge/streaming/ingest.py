@@ -13,6 +13,7 @@ from tallyforge.contracts import Contract
 from tallyforge.operators.bronze import ENVELOPE, SourceSpec, event_time, to_bronze
 from tallyforge.operators.latest import apply_changes, latest_by
 from tallyforge.plans.silver import RECENCY, tag
+from tallyforge.sources.layers import Lakehouse, complete, remove
 
 
 def file_source(
@@ -93,28 +94,58 @@ def stream_rows_to_bronze(
     return stream_bronze(to_bronze(rows, spec, run_id, as_of=as_of, operation=operation), path, checkpoint)
 
 
-def stream_unique(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Stores one row per key of every micro-batch; ``unique_rows`` settles repeats between batches.
+def stream_unique(
+    df: DataFrame, keys: Sequence[str], path: str, checkpoint: str, event_time: str, delay: str = "1 hour"
+) -> StreamingQuery:
+    """Stores what ``unique_rows`` needs to give the latest copy of every key, by event time.
+
+    Exact repeats that arrive within ``delay`` of each other are dropped by state. Its watermark follows the arrival of
+    rows, not their event time: the state is bounded by what arrives within the delay, and no row is ever late for it.
 
-    A watermark would discard first arrivals that come late, and state without one grows for ever. A batch owns the folder
-    of its number, so a replay overwrites its own rows, and a batch costs what it brought.
+    What gets past it is stored in two lanes. Rows in time, those at most ``delay`` behind the newest event time of the
+    batches before, are appended. Late rows, whatever their age, meet the stored rows and are stored unless a newer copy of
+    their key is there; batches without late rows never read the history.
+
+    A batch owns the folder of its number and only looks at batches before it, so a replay writes the same rows again.
     """
+    spark = df.sparkSession
+    arriving = df.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", delay)
+    once = arriving.dropDuplicatesWithinWatermark(df.columns).drop("_arrival")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        newest = latest_by(batch, keys, [event_time]).persist()
+        before = [n for n in complete(spark, f"{path}/_marks", "batch_id") if n < batch_id]
+        late = F.lit(False)
+        if before:
+            marks = spark.read.parquet(*[f"{path}/_marks/batch_id={n}" for n in before])
+            newest_known = marks.agg(F.max("newest")).first()[0]
+            if newest_known is not None:
+                bound = F.lit(newest_known).cast(df.schema[event_time].dataType) - F.expr(f"INTERVAL {delay}")
+                late = F.coalesce(F.col(event_time) < bound, F.lit(False))
+        in_time, old = newest.where(~late), newest.where(late)
+        if before and not old.isEmpty():
+            stored = spark.read.schema(newest.schema).parquet(*[f"{path}/batch_id={n}" for n in before])
+            known = stored.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(event_time).alias("_known"))
+            beaten = F.col("_known") > F.col(event_time)
+            for k in keys:
+                beaten = beaten & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            in_time = in_time.unionByName(old.join(known, beaten, "left_anti"))
+        in_time.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        newest.agg(F.max(event_time).alias("newest")).write.mode("overwrite").parquet(f"{path}/_marks/batch_id={batch_id}")
+        newest.unpersist()
 
     return (
-        df.writeStream.foreachBatch(store)
+        once.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def unique_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The first arrival of every key over all batches, however late it came."""
-    stored = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-    return latest_by(stored.withColumn("_age", -F.col("batch_id")), keys, ["_age"]).drop("_age", "batch_id")
+def unique_rows(spark: SparkSession, path: str, keys: Sequence[str], event_time: str) -> DataFrame:
+    """The copy of every key with the latest event time, however late it came; ties by the other columns."""
+    folders = [f"{path}/batch_id={n}" for n in complete(spark, f"{path}/_marks", "batch_id")]
+    return latest_by(spark.read.parquet(*folders), keys, [event_time])
 
 
 def stream_silver(
@@ -139,20 +170,39 @@ def stream_silver(
     )
 
 
-def stored_batches(spark: SparkSession, contract: Contract, path: str) -> DataFrame:
-    """Everything ``stream_silver`` wrote, with the schema of the batch step."""
-    empty = tag(spark.createDataFrame([], ENVELOPE), contract)
-    schema = empty.schema.add("batch_id", T.LongType()).add("is_valid", T.BooleanType())
-    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
+def silver_schema(spark: SparkSession, contract: Contract) -> T.StructType:
+    return tag(spark.createDataFrame([], ENVELOPE), contract).schema
+
+
+def stored_batches(spark: SparkSession, contract: Contract, path: str, after: int = -1) -> DataFrame:
+    """What ``stream_silver`` wrote in the batches after a number, with the schema of the batch step."""
+    schema = silver_schema(spark, contract).add("batch_id", T.LongType()).add("is_valid", T.BooleanType())
+    folders = [f"{path}/batch_id={n}" for n in complete(spark, path, "batch_id") if n > after]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
+
+
+def silver_state(
+    spark: SparkSession, contract: Contract, path: str, keys: Sequence[str] = ("event_id",)
+) -> DataFrame:
+    """The latest valid event per key, deletions included: the newest compacted state and the batches after it.
+
+    Earlier batches are not opened, so a read costs the state and what came since, not the history.
+    """
+    compacted = complete(spark, f"{path}/_compacted", "upto")
+    upto = compacted[-1] if compacted else -1
+    valid = stored_batches(spark, contract, path, upto).where("is_valid").drop("batch_id", "is_valid", "quarantine_reason")
+    if compacted:
+        valid = spark.read.schema(valid.schema).parquet(f"{path}/_compacted/upto={upto}").unionByName(valid)
+    return latest_by(valid, keys, RECENCY)
 
 
 def streamed_silver(
     spark: SparkSession, contract: Contract, path: str, keys: Sequence[str] = ("event_id",)
 ) -> DataFrame:
     """Current silver rows: the latest valid event per key over all batches, deletions removed."""
-    valid = stored_batches(spark, contract, path).where("is_valid")
-    latest = latest_by(valid.drop("batch_id", "is_valid", "quarantine_reason"), keys, RECENCY)
-    return latest.where(F.col("operation_type") != "D")
+    return silver_state(spark, contract, path, keys).where(F.col("operation_type") != "D")
 
 
 def streamed_quarantine(spark: SparkSession, contract: Contract, path: str) -> DataFrame:
@@ -182,6 +232,18 @@ def current_state(
     return apply_changes(base, changes, keys, sequence)
 
 
-def compact(lake, contract: Contract, path: str, keys: Sequence[str] = ("event_id",)) -> str:
-    """Writes the current silver rows as a new version of the silver table."""
-    return lake.write(streamed_silver(lake.spark, contract, path, keys), "silver", contract.table)
+def compact(lake: Lakehouse, contract: Contract, path: str, keys: Sequence[str] = ("event_id",), keep: int = 2) -> str:
+    """Folds all complete batches into one state and writes its current rows as a new version of the silver table.
+
+    The state, below ``_compacted``, keeps deletions, so that an older change that comes later does not bring a row back. Its
+    folder is named after the last batch in it and counts once it is complete; a lost job leaves the one before in
+    place. The newest ``keep`` states stay, for reads under way.
+    """
+    spark, batches = lake.spark, complete(lake.spark, path, "batch_id")
+    done = complete(spark, f"{path}/_compacted", "upto")
+    if batches and (not done or done[-1] < batches[-1]):
+        state = silver_state(spark, contract, path, keys)
+        state.write.mode("overwrite").parquet(f"{path}/_compacted/upto={batches[-1]}")
+        for old in done[: 1 - keep] if keep > 1 else done:
+            remove(spark, f"{path}/_compacted/upto={old}")
+    return lake.write(streamed_silver(spark, contract, path, keys), "silver", contract.table)

@@ -70,26 +70,106 @@ def test_bronze_and_silver_stream(spark, tmp_path, files):
     assert comparable(lake.read("silver", "transactions")) == comparable(streamed)
 
 
-def test_stream_dedup_keeps_one_arrival(spark, tmp_path):
-    df = spark.sql(
-        "select 'k' || (id % 5) event_id, timestamp'2026-05-01 00:00:00' + make_dt_interval(id div 10) at from range(50)"
-    )
-    df.repartition(4).write.parquet(str(tmp_path / "in"))
-    source = ingest.file_source(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger="1")
-    ingest.stream_unique(source, ["event_id"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    got = ingest.unique_rows(spark, str(tmp_path / "out"), ["event_id"])
-    assert got.columns == ["event_id", "at"]
-    assert rows(got.select("event_id"), "event_id") == [(f"k{i}",) for i in range(5)]
-
-
-def test_stream_dedup_keeps_late_first_arrivals(spark, tmp_path):
-    """Three files, the newest first; every id is far older than the watermark of the one before would allow."""
-    for i, month in enumerate(("09", "06", "03")):
-        day = spark.sql(f"select 'm{month}-' || id event_id, timestamp'2026-{month}-01 00:00:00' at from range(10)")
-        day.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = ingest.file_source(spark, str(tmp_path / "in"), day.schema, maxFilesPerTrigger="1", latestFirst="true")
-    ingest.stream_unique(source, ["event_id"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    assert ingest.unique_rows(spark, str(tmp_path / "out"), ["event_id"]).count() == 30
+def deduplicated(spark, tmp_path, frames, delay="1 hour"):
+    """Each frame arrives as a file of its own, in order; returns the stored path and the latest rows."""
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = ingest.file_source(spark, str(tmp_path / "in"), frames[0].schema, maxFilesPerTrigger="1")
+    args = (["event_id"], str(tmp_path / "out"), str(tmp_path / "c"), "at", delay)
+    for _ in range(2):  # the second start finds nothing new
+        ingest.stream_unique(source, *args).awaitTermination()
+    return ingest.unique_rows(spark, str(tmp_path / "out"), ["event_id"], "at")
+
+
+def arrivals(spark, *events):
+    """(event_id, day of May, note) each."""
+    return spark.createDataFrame(
+        [(k, f"2026-05-{d:02d} 00:00:00" if d else None, n) for k, d, n in events], "event_id string, at string, note string"
+    ).withColumn("at", F.col("at").cast("timestamp"))
+
+
+def noted(df):
+    return [(r.event_id, r.at and r.at.day, r.note) for r in df.orderBy(F.col("event_id").asc_nulls_first()).collect()]
+
+
+def test_stream_dedup_keeps_the_latest_copy_by_event_time(spark, tmp_path):
+    first = arrivals(spark, ("a", 20, "old"), ("a", 21, "new"), ("b", 20, "only"), ("c", 25, "first"), (None, 3, "no key"))
+    # copies that come later with older and with newer times, a late first arrival, a repeat, a row without a time
+    second = arrivals(spark, ("a", 2, "older"), ("c", 26, "newer"), ("d", 1, "late"), ("b", 20, "only"), ("e", None, "no time"), (None, 4, "no key"))
+    third = arrivals(spark, ("d", 2, "later"), ("d", 1, "late"), ("c", 3, "much older"), ("e", 1, "timed"))
+    got = deduplicated(spark, tmp_path, [first, second, third])
+    assert got.columns == ["event_id", "at", "note"]
+    assert noted(got) == [(None, 4, "no key"), ("a", 21, "new"), ("b", 20, "only"), ("c", 26, "newer"), ("d", 2, "later"), ("e", 1, "timed")]
+    stored = spark.read.parquet(str(tmp_path / "out")).select("event_id", "note").collect()
+    # neither repeats within the delay nor late copies that lose are stored
+    assert ("a", "older") not in stored and ("c", "much older") not in stored and stored.count(("b", "only")) == 1
+
+
+def test_stream_dedup_is_one_whatever_the_batches(spark, tmp_path):
+    rows_ = [(f"k{i % 17}", 1 + (i * 7) % 28, f"n{i % 3}") for i in range(200)]
+    want = {}
+    for k, d, n in rows_:
+        want[k] = max(want.get(k, (0, "")), (d, n))
+    for files in (1, 5):
+        parts = [arrivals(spark, *rows_[i::files]) for i in range(files)]
+        got = deduplicated(spark, tmp_path / str(files), parts)
+        assert noted(got) == sorted((k, d, n) for k, (d, n) in want.items())
+
+
+def test_stream_dedup_replays_a_batch(spark, tmp_path):
+    """A batch that is stored but not committed is run again by the next start, and gives the same rows."""
+    deduplicated(spark, tmp_path, [arrivals(spark, ("a", 20, "x")), arrivals(spark, ("a", 2, "late"), ("b", 3, "late"))])
+    newest = max((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.unlink()
+    (tmp_path / "c" / "commits" / f".{newest.name}.crc").unlink(missing_ok=True)
+    source = ingest.file_source(spark, str(tmp_path / "in"), arrivals(spark, ("a", 1, "x")).schema, maxFilesPerTrigger="1")
+    ingest.stream_unique(source, ["event_id"], str(tmp_path / "out"), str(tmp_path / "c"), "at").awaitTermination()
+    assert noted(ingest.unique_rows(spark, str(tmp_path / "out"), ["event_id"], "at")) == [("a", 20, "x"), ("b", 3, "late")]
+
+
+def silver_events(spark, *events):
+    """(id, day, quantity, operation) as raw payloads."""
+    rows_ = [
+        (json.dumps({"id": k, "op": op, "transaction_id": "T", "customer_id": "C", "store_id": "S", "channel": "POS", "product_id": "P",
+                     "quantity": q, "unit_price": "1.00", "discount": "0.00", "transaction_timestamp": f"2026-05-{d:02d} 10:00:00"}), 0, i)
+        for i, (k, d, q, op) in enumerate(events)
+    ]
+    raw = spark.createDataFrame(rows_, "raw_payload string, kafka_partition int, kafka_offset int")
+    return ingest.payload_envelope(raw, SPEC["transactions"], "run", as_of())
+
+
+def test_compaction_spares_the_batches_in_it(spark, tmp_path):
+    path, lake = str(tmp_path / "silver"), Lakehouse(spark, str(tmp_path / "lake"))
+
+    def arrive(*events):
+        silver_events(spark, *events).coalesce(1).write.mode("append").parquet(str(tmp_path / "bronze"))
+        bronze = ingest.file_source(spark, str(tmp_path / "bronze"), ENVELOPE)
+        ingest.stream_silver(bronze, TX, path, str(tmp_path / "c")).awaitTermination()
+
+    def current():
+        df = ingest.streamed_silver(spark, TX, path)
+        folders = {f.split("/silver/")[1].rsplit("/", 1)[0] for f in df.inputFiles()}
+        return folders, {(r.id, r.quantity) for r in df.collect()}
+
+    assert ingest.streamed_silver(spark, TX, path).count() == 0
+    arrive(("1", 1, 1, "C"), ("2", 1, 2, "C"), ("3", 1, 3, "C"))
+    arrive(("1", 5, 10, "U"), ("3", 5, 3, "D"), ("4", 1, 4, "X"))
+    want = {("1", 10), ("2", 2), ("4", 4)}
+    folders, got = current()
+    assert got == want and {f.split("/")[0] for f in folders} == {"batch_id=0", "batch_id=1"}
+    ingest.compact(lake, TX, path)
+    assert current() == ({"_compacted/upto=1"}, want)
+    # an older change of a deleted row, an older one of a changed row, and a new row
+    arrive(("3", 2, 33, "U"), ("1", 2, 11, "U"), ("5", 1, 5, "C"))
+    folders, got = current()
+    assert got == want | {("5", 5)} and {f.split("/")[0] for f in folders} == {"_compacted", "batch_id=2"}
+    for n in (3, 4):
+        arrive((str(n + 10), 1, n, "C"))
+        ingest.compact(lake, TX, path)
+        ingest.compact(lake, TX, path)  # nothing new: no further state
+    assert sorted(p.name for p in (tmp_path / "silver" / "_compacted").iterdir()) == ["upto=3", "upto=4"]
+    assert current() == ({"_compacted/upto=4"}, want | {("5", 5), ("13", 3), ("14", 4)})
+    assert {(r.id, r.quantity) for r in lake.read("silver", "transactions").collect()} == want | {("5", 5), ("13", 3), ("14", 4)}
 
 
 def test_change_events_are_unwrapped(spark):
