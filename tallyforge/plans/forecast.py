@@ -74,7 +74,11 @@ def labelled_sales(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 def daily_slices(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Dense daily cents per slice that has enough sales rows."""
-    slices = sales_slices(labelled_sales(sales, products), "cents", "n_rows")
+    return dense_slices(labelled_sales(sales, products))
+
+
+def dense_slices(labelled: DataFrame) -> DataFrame:
+    slices = sales_slices(labelled, "cents", "n_rows")
     raw_rows = F.sum("n_rows").over(Window.partitionBy(*SLICE))
     kept = slices.withColumn("_rows", raw_rows).where(F.col("_rows") >= MIN_SALES_ROWS)
     return densify(kept, SLICE, "date_day", "cents")
@@ -87,7 +91,12 @@ def _money(cents: Column) -> Column:
 def forecast_features(sales: DataFrame, products: DataFrame) -> DataFrame:
     """The feature rows of every slice; days without a full history are dropped, and so are slices
     with too few days left."""
-    daily = daily_slices(sales, products)
+    return features_of(labelled_sales(sales, products))
+
+
+def features_of(labelled: DataFrame) -> DataFrame:
+    """The same from sales per day, channel and category, as ``labelled_sales`` gives them and a lake may store them."""
+    daily = dense_slices(labelled)
     featured = add_lags(daily, SLICE, "date_day", "cents", LAGS)
     featured = add_rolling_mean(featured, SLICE, "date_day", "cents", (7, 14))
     featured = add_rolling_std(featured, SLICE, "date_day", "cents", 14)

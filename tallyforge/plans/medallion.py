@@ -14,7 +14,7 @@ from tallyforge.operators.bronze import SOURCES, SourceSpec, to_bronze
 from tallyforge.plans import dims, facts, forecast, fraud
 from tallyforge.plans.silver import DEDUP_KEYS, VERSION_KEYS, audit_row, current_rows, deduplicate, split, tag
 from tallyforge.plans.staging import STAGING
-from tallyforge.sources.layers import Lakehouse, publish
+from tallyforge.sources.layers import Lakehouse, publish, same_keys
 
 log = logging.getLogger(__name__)
 
@@ -116,11 +116,14 @@ def publish_silver(lake: Lakehouse, **jdbc: str) -> list[str]:
 
 
 def record_review(lake: Lakehouse, decisions: DataFrame) -> None:
-    """Stores the fraud queue with the reviewers' decisions."""
+    """Stores the fraud queue with the reviewers' decisions. Only the customers whose transactions were decided are written again."""
     queue = lake.read("gold", "fact_fraud_queue")
     if queue is None:
         raise ValueError("there is no fraud queue to review")
-    lake.write(fraud.apply_review(queue, decisions), "gold", "fact_fraud_queue")
+    concerned = same_keys(queue, decisions, ["transaction_id"], "left_semi").select("customer_id").distinct()
+    rows = lake.read_keys("gold", "fact_fraud_queue", concerned, ["customer_id"])
+    if rows is not None:
+        lake.replace_keys("gold", "fact_fraud_queue", concerned, fraud.apply_review(rows, decisions), ["customer_id"])
 
 
 def staged_tables(lake: Lakehouse) -> dict[str, DataFrame]:

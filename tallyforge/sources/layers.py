@@ -6,11 +6,14 @@ read a table it replaces, a lost job leaves the last version in place, and a rer
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.operators.latest import latest_by
 
@@ -41,6 +44,28 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(folder, True)
 
 
+def same_keys(df: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Rows of ``df`` whose key is listed (left_semi) or not (left_anti); NULL equals NULL."""
+    listed = keys.select(*[F.col(c).alias(f"_key_{c}") for c in by]).distinct()
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return df.join(listed, match, how)
+
+
+@dataclass
+class Buckets:
+    """Which version holds each bucket of a table that is changed by key."""
+
+    by: list[str]
+    count: int
+    schema: T.StructType
+    versions: dict[int, int] = field(default_factory=dict)
+
+    def of(self, *columns: Column | str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.count)).cast("int")
+
+
 @dataclass(frozen=True)
 class Lakehouse:
     spark: SparkSession
@@ -75,18 +100,103 @@ class Lakehouse:
         versions = self._versions(layer, name)
         if not versions:
             return None
+        buckets = self._buckets(layer, name, versions[-1])
+        if buckets:
+            return self._read_buckets(layer, name, buckets, buckets.versions)
         df = self.spark.read.format(self.fmt).load(f"{self.path(layer, name)}/v={versions[-1]:06d}")
         return None if df.isEmpty() else df
 
+    def _buckets(self, layer: str, name: str, version: int) -> Buckets | None:
+        folder = f"{self.path(layer, name)}/_buckets"
+        if version not in complete(self.spark, folder, "v"):
+            return None
+        rows = self.spark.read.parquet(f"{folder}/v={version}").collect()  # one row a bucket
+        schema = T.StructType.fromJson(json.loads(rows[0].schema))
+        return Buckets(list(rows[0].by), rows[0].count_, schema, {r.bucket: r.version for r in rows})
+
+    def _read_buckets(self, layer: str, name: str, buckets: Buckets, chosen: Iterable[int]) -> DataFrame | None:
+        """Some buckets of a table; columns that a bucket was written without are NULL."""
+        folders = []
+        wanted = set(chosen)
+        for version in sorted({buckets.versions[b] for b in wanted}):
+            root = f"{self.path(layer, name)}/v={version:06d}"
+            there = set(complete(self.spark, root, "_bucket", only=False))
+            folders += [f"{root}/_bucket={b}" for b in sorted(there & wanted) if buckets.versions[b] == version]
+        return self.spark.read.schema(buckets.schema).format(self.fmt).load(folders) if folders else None
+
+    def _touched(self, buckets: Buckets, keys: DataFrame) -> list[int]:
+        # numbers of buckets, of which there is a fixed number
+        return [r.b for r in keys.select(buckets.of(*buckets.by).alias("b")).distinct().collect()]
+
+    def read_keys(self, layer: str, name: str, keys: DataFrame, by: Sequence[str]) -> DataFrame | None:
+        """Rows with the listed keys. Of a table changed by these keys only their buckets are opened."""
+        versions = self._versions(layer, name)
+        buckets = self._buckets(layer, name, versions[-1]) if versions else None
+        if buckets and buckets.by == list(by):
+            df = self._read_buckets(layer, name, buckets, self._touched(buckets, keys))
+        else:
+            df = self.read(layer, name)
+        return None if df is None else same_keys(df, keys, by, "left_semi")
+
+    def replace_keys(
+        self, layer: str, name: str, keys: DataFrame, rows: DataFrame, by: Sequence[str], buckets: int = 64
+    ) -> list[int]:
+        """Removes all rows with the listed keys and adds ``rows``, whose keys must be among them. Returns the buckets written.
+
+        Copy-on-write: rows lie in folders by the hash of their key; a change writes new files for the buckets it touches
+        and a list that says which version holds each bucket. The list is written first and counts once the new version is
+        complete, so readers see the table before or after the change, and a lost job leaves it as it was. The first change of a
+        table that was written whole lays out all buckets; ``buckets`` counts then.
+        """
+        path, taken = self.path(layer, name), self._versions(layer, name, complete_only=False)
+        done = self._versions(layer, name)
+        version = (taken[-1] if taken else 0) + 1
+        old = self._buckets(layer, name, done[-1]) if done else None
+        if old and old.by != list(by):
+            raise ValueError(f"{layer}/{name} is changed by {old.by}, not by {list(by)}")
+        if old:
+            touched = self._touched(old, keys)
+            current = self._read_buckets(layer, name, old, touched)
+        else:
+            touched, current = list(range(buckets)), self.read(layer, name)
+        if not touched:
+            return []
+        kept = current if current is None else same_keys(current, keys, by, "left_anti")
+        if old and kept is None:
+            kept = self.spark.createDataFrame([], old.schema)
+        merged = rows if kept is None else kept.unionByName(rows, allowMissingColumns=True)
+        new = Buckets(list(by), old.count if old else buckets, merged.schema, {**(old.versions if old else {}), **dict.fromkeys(touched, version)})
+        schema = json.dumps(new.schema.jsonValue())
+        entries = [(b, v, new.by, new.count, schema) for b, v in new.versions.items()]
+        listed = self.spark.createDataFrame(entries, "bucket int, version int, by array<string>, count_ int, schema string")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/_buckets/v={version}")
+        dealt = merged.withColumn("_bucket", new.of(*by)).hint("rebalance", "_bucket")
+        dealt.write.format(self.fmt).mode("errorifexists").partitionBy("_bucket").save(f"{path}/v={version:06d}")
+        return sorted(touched)
+
     def prune(self, layer: str, name: str, keep: int = 1) -> list[int]:
-        """Deletes all but the newest ``keep`` complete versions, and returns them. Jobs that still read an older version
-        fail, so prune when none runs."""
+        """Deletes all but the newest ``keep`` complete versions, and returns them. Buckets that a newer version still
+        refers to stay. Jobs that still read an older version fail, so prune when none runs."""
         if keep < 1:
             raise ValueError("the newest version stays")
-        old = self._versions(layer, name)[:-keep]
-        for version in old:
-            remove(self.spark, f"{self.path(layer, name)}/v={version:06d}")
-        return old
+        versions, path = self._versions(layer, name), self.path(layer, name)
+        needed: dict[int, set[int]] = {}
+        for version in versions[-keep:]:
+            buckets = self._buckets(layer, name, version)
+            for b, v in buckets.versions.items() if buckets else ():
+                needed.setdefault(v, set()).add(b)
+        gone = []
+        for version in versions[:-keep]:
+            folder = f"{path}/v={version:06d}"
+            remove(self.spark, f"{path}/_buckets/v={version}")
+            if version not in needed:
+                remove(self.spark, folder)
+                gone.append(version)
+                continue
+            for b in complete(self.spark, folder, "_bucket", only=False):
+                if b not in needed[version]:
+                    remove(self.spark, f"{folder}/_bucket={b}")
+        return gone
 
     def prune_all(self, keep: int = 2) -> dict[str, list[int]]:
         """``prune`` for every versioned table of every layer; the batch run ends with it, so that versions do not pile up.

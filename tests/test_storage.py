@@ -1,6 +1,7 @@
 """Uploads, layered storage and the whole batch run."""
 
 import json
+from pathlib import Path
 
 import pytest
 from helpers import TX, as_of, money, rows, sale, ts
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.contracts import CONTRACTS
 from tallyforge.operators.latest import apply_changes, upsert_by_key
-from tallyforge.plans import medallion, privacy, upload
+from tallyforge.plans import forecast, fraud, medallion, privacy, upload
 from tallyforge.plans.silver import upsert_audit
 from tallyforge.sources import exports, uploads
 from tallyforge.sources.layers import Lakehouse, materialize, publish, read_source
@@ -306,17 +307,20 @@ def test_erasure_leaves_no_name_in_any_layer(spark, lake, tmp_path):
 
 
 def test_reviews_are_stored_and_silver_published(spark, lake):
-    queue = spark.createDataFrame([("L1", "T1", "Pending"), ("L2", "T2", "Pending")], "transaction_line_id string, transaction_id string, review_status string")
+    lines = [("L1", "T1", "C1", "Pending"), ("L2", "T2", None, "Pending"), ("L3", "T3", None, "Approved")]
+    queue = spark.createDataFrame(lines, "transaction_line_id string, transaction_id string, customer_id string, review_status string")
     with pytest.raises(ValueError):
         medallion.record_review(lake, queue)
     lake.write(queue, "gold", "fact_fraud_queue")
-    medallion.record_review(lake, spark.createDataFrame([("T1", "Dismissed", 1)], "transaction_id string, status string, decided_at int"))
+    for number, (transaction, status) in enumerate((("T1", "Approved"), ("T1", "Dismissed"), ("T2", "Approved"), ("T9", "Approved"))):
+        decision = spark.createDataFrame([(transaction, status, number)], "transaction_id string, status string, decided_at int")
+        medallion.record_review(lake, decision)
     stored = lake.read("gold", "fact_fraud_queue").orderBy("transaction_id").collect()
-    assert [r.review_status for r in stored] == ["Dismissed", "Pending"]
+    assert [r.review_status for r in stored] == ["Dismissed", "Approved", "Approved"]
     lake.write(spark.createDataFrame([("S1", "Shop")], "id string, name string"), "silver", "stores")
     assert medallion.publish_silver(lake) == ["silver_stores"]
     assert spark.table("silver_stores").first().name == "Shop"
-    assert lake.prune("gold", "fact_fraud_queue") == [1] and lake.read("gold", "fact_fraud_queue").count() == 2
+    assert lake.prune("gold", "fact_fraud_queue")[0] == 1 and lake.read("gold", "fact_fraud_queue").count() == 3
 
 
 def test_upload_run(spark, lake, tmp_path):
@@ -342,3 +346,94 @@ def test_upload_run(spark, lake, tmp_path):
     empty = csv_file(tmp_path, "e.csv", "id,quantity")
     with pytest.raises(ValueError):
         upload.ingest_upload(lake, empty, "csv", "transactions", "u1")
+
+
+def files_of(lake, layer, name):
+    root = lake.path(layer, name).removeprefix("file://")
+    return {p.relative_to(root) for p in Path(root).rglob("part-*.parquet") if "_buckets" not in p.parts}
+
+
+def test_changes_by_key_write_touched_buckets_only(spark, lake):
+    table = spark.sql("select 'k' || id id, id v from range(500)")
+    lake.write(table, "silver", "t")
+    key = spark.createDataFrame([("k7",)], "id string")
+    assert lake.replace_keys("silver", "t", key, spark.createDataFrame([("k7", 700)], "id string, v long"), ["id"], 16) == list(range(16))
+    before = files_of(lake, "silver", "t")
+    changes = spark.createDataFrame([("k7", 701, "x"), ("new", 1, "y")], "id string, v long, note string")
+    gone = spark.createDataFrame([("k9",)], "id string")
+    touched = lake.replace_keys("silver", "t", changes.select("id").unionByName(gone), changes, ["id"])
+    written = files_of(lake, "silver", "t") - before
+    assert 1 <= len(touched) <= 3 and {p.parts[0] for p in written} == {"v=000003"}
+    assert {p.parts[1] for p in written} <= {f"_bucket={b}" for b in touched}
+    got = lake.read("silver", "t")
+    assert got.columns == ["id", "v", "note"] and got.count() == 500
+    assert rows(got.where("id in ('k7', 'k9', 'new', 'k8')"), "id") == [("k7", 701, "x"), ("k8", 8, None), ("new", 1, "y")]
+    assert rows(lake.read_keys("silver", "t", key, ["id"])) == [("k7", 701, "x")]
+    opened = {f.split("/_bucket=")[1].split("/")[0] for f in lake.read_keys("silver", "t", key, ["id"]).inputFiles() if "_bucket=" in f}
+    assert len(opened) == 1
+    with pytest.raises(ValueError):
+        lake.replace_keys("silver", "t", changes, changes, ["v"])
+    # older versions go, but for the buckets that nothing newer has
+    assert lake.prune("silver", "t") == [1]
+    assert lake.read("silver", "t").count() == 500 and rows(lake.read_keys("silver", "t", key, ["id"])) == [("k7", 701, "x")]
+    assert len(files_of(lake, "silver", "t")) < len(before | written)
+    lake.write(table, "silver", "t")
+    assert lake.read("silver", "t").count() == 500 and lake.read("silver", "t").columns == ["id", "v"]
+
+
+def test_a_change_counts_once_it_is_complete(spark, lake):
+    lake.replace_keys("silver", "t", spark.sql("select id from range(9)"), spark.sql("select id, 1 v from range(9)"), ["id"], 4)
+    lake.replace_keys("silver", "t", spark.sql("select id from range(2)"), spark.sql("select id, 2 v from range(2)"), ["id"])
+    newest = Path(lake.path("silver", "t").removeprefix("file://")) / "v=000002" / "_SUCCESS"
+    newest.unlink()  # as if the job had been lost while it wrote
+    assert lake.read("silver", "t").where("v = 1").count() == 9
+    lake.replace_keys("silver", "t", spark.sql("select id from range(2)"), spark.sql("select id, 3 v from range(2)"), ["id"])
+    assert rows(lake.read("silver", "t").groupBy("v").count(), "v") == [(1, 7), (3, 2)]
+    # all rows of all keys removed
+    lake.replace_keys("silver", "t", spark.sql("select id from range(9)"), spark.sql("select id, 1 v from range(0)"), ["id"])
+    assert lake.read("silver", "t") is None or lake.read("silver", "t").count() == 0
+
+
+def test_null_keys_are_replaced_too(spark, lake):
+    first = spark.createDataFrame([(None, 1), ("a", 2)], "id string, v int")
+    lake.replace_keys("silver", "t", first, first, ["id"], 4)
+    second = spark.createDataFrame([(None, 3)], "id string, v int")
+    lake.replace_keys("silver", "t", second, second, ["id"])
+    assert sorted((r.id or "", r.v) for r in lake.read("silver", "t").collect()) == [("", 3), ("a", 2)]
+
+
+def test_an_upload_costs_what_it_changes(spark, lake, tmp_path):
+    """After the first upload, a second one leaves other buckets, customers and days alone, and the result is that of a full run."""
+    for name, df in source_tables(spark).items():
+        lake.write(df, "source", name)
+    for name in ("customers", "products", "returns"):
+        lake.write(upload.light_silver(name, lake.read("source", name)), "light", name)
+    header = "id,transaction_id,customer_id,channel,product_id,quantity,unit_price,discount,transaction_timestamp"
+
+    def load(name, *lines):
+        upload.ingest_upload(lake, csv_file(tmp_path, name, header, *lines), "csv", "transactions", name, as_of())
+
+    load("a.csv", "L1,TL1,C1,POS,P1,7,5.00,0.00,2026-05-02 10:00:00")
+    tables = [("source", "transactions"), ("light", "transactions"), ("gold", "fact_fraud_queue"), ("staged", "daily_sales")]
+    medallion.record_review(lake, spark.createDataFrame([("TL1", "Dismissed", 1)], "transaction_id string, status string, decided_at int"))
+    before = {t: files_of(lake, *t) for t in tables}
+    # a changed line moves from one customer to another, on one day
+    load("b.csv", "L1,TL1,C2,POS,P1,9,5.00,0.00,2026-05-02 11:00:00", "N2,TN2,,POS,P1,1,5.00,0.00,2026-05-03 11:00:00")
+    for t in tables:
+        written = files_of(lake, *t) - before[t]
+        assert 1 <= len({p.parts[1] for p in written}) <= 3, t  # C1, C2 and no customer at most
+    queue = {r.transaction_line_id: r for r in lake.read("gold", "fact_fraud_queue").collect()}
+    light = {n: lake.read("light", n) for n in ("transactions", "products", "returns", "customers")}
+    want = fraud.score_fraud(light["transactions"], light["returns"], light["customers"], as_of=as_of()).collect()
+    assert {r.transaction_line_id: (r.customer_id, r.fraud_score, r.risk_factors) for r in want} == {
+        k: (r.customer_id, r.fraud_score, r.risk_factors) for k, r in queue.items()
+    }
+    products = light["products"].withColumnRenamed("id", "product_id")
+    features = forecast.forecast_features(light["transactions"], products)
+    again = forecast.forecast(features, as_of=as_of())
+    columns = ["date_day", "channel", "category", "forecast_sales", "metrics_json"]
+    assert rows(lake.read("gold", "fact_sales_forecast").select(*columns), *columns[:3]) == rows(again.select(*columns), *columns[:3])
+    # a third upload touches the queue's buckets of its customers only
+    before = files_of(lake, "gold", "fact_fraud_queue")
+    load("c.csv", "N3,TN3,C1,POS,P1,1,5.00,0.00,2026-05-04 11:00:00")
+    assert len({p.parts[1] for p in files_of(lake, "gold", "fact_fraud_queue") - before}) == 1
