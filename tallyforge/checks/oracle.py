@@ -638,6 +638,21 @@ oracle(
     SELECT *, CAST(sum(net_movement) OVER (PARTITION BY product_key, store_key ORDER BY date_day) AS BIGINT)
               AS stock_on_hand FROM ({DAILY})""",
 )
+oracle(
+    "snapshot_range",
+    f"""
+    SELECT product_key, store_key, CAST(d AS DATE) AS date_day,
+           CAST(coalesce(sum(net_movement) FILTER (date_day <= d), 0) AS BIGINT) AS stock_on_hand
+    FROM ({DAILY}), (SELECT CAST(date_trunc('month', max(movement_timestamp)) AS DATE) AS turn FROM mov),
+         (SELECT unnest(generate_series(-3, 3)) AS ahead), LATERAL (SELECT turn + CAST(ahead AS INTEGER) AS d)
+    WHERE date_day <= turn + 3 GROUP BY ALL""",
+)
+oracle(
+    "layer_key_changes",
+    """
+    SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderstatus = 'P' THEN 'changed' END AS note FROM orders WHERE o_custkey % 7 <> 0""",
+)
 oracle(
     "calendar_fill",
     f"""

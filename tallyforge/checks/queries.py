@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -289,6 +290,22 @@ def stock_changes(r: Retail) -> DataFrame:
     return facts.stock_changes(_inventory(r))
 
 
+@query
+def snapshot_range(r: Retail) -> DataFrame:
+    """Stock of every (product, store) on the seven days around the last change of months, from stored balances and changes."""
+    base = scratch_dir(r.spark, "stock")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.partitionBy("month").parquet(f"{base}/{name}")
+        return r.spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    changes = stored(facts.monthly_changes(_inventory(r)), "changes")
+    openings = stored(facts.opening_balances(changes), "openings")
+    turn = changes.agg(F.max("month")).first()[0]
+    days = facts.snapshot_range(changes, openings, turn - timedelta(days=3), turn + timedelta(days=3))
+    return days.drop("snapshot_key")
+
+
 @query
 def calendar_fill(r: Retail) -> DataFrame:
     """Daily movements of every (brand, region) on every day between the first and the last, zeros included."""
@@ -668,6 +685,18 @@ def quarantine_runs(r: Retail) -> DataFrame:
     return lake.read_runs("quarantine", "orders")
 
 
+@query
+def layer_key_changes(r: Retail) -> DataFrame:
+    """A table changed by key twice: orders replaced, then others removed; all buckets must read as one table."""
+    lake, orders = _lake(r), r.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    lake.write(orders, "silver", "orders")
+    late = orders.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("X")).withColumn("note", F.lit("changed"))
+    lake.replace_keys("silver", "orders", late.select("o_orderkey"), late, ["o_orderkey"], 16)
+    gone = orders.where("o_custkey % 7 = 0").select("o_orderkey")
+    lake.replace_keys("silver", "orders", gone, late.limit(0), ["o_orderkey"])
+    return lake.read("silver", "orders")
+
+
 def _upload_rows(r: Retail) -> DataFrame:
     note = F.concat(F.col("o_orderpriority"), F.lit(",\n"), F.col("o_orderstatus"))
     return r.table("orders").select(F.col("o_orderkey").cast("string"), note.alias("note"), F.col("o_custkey").cast("string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -141,15 +142,15 @@ def build_star(
     Stock counts all movements, those before the calendar as its opening balance.
 
     Writing dimensions first keeps their windows from being planned again inside every fact.
-    Facts lie in one folder per day, so a query over some days reads those days only.
+    Facts lie in one folder per day, so a query over some days reads those days only; stock lies in one per month.
     """
     stg = staged_tables(lake)
     today = as_of if as_of is not None else F.current_date()
     star: dict[str, DataFrame] = {}
 
-    def store(name: str, df: DataFrame) -> DataFrame:
-        daily = ("date_day",) if name.startswith("fact_") else ()
-        path = lake.write(df, "gold", name, partition_by=daily, cluster=bool(daily))
+    def store(name: str, df: DataFrame, by: str = "date_day") -> DataFrame:
+        folders = (by,) if name.startswith("fact_") else ()
+        path = lake.write(df, "gold", name, partition_by=folders, cluster=bool(folders))
         star[name] = lake.spark.read.format(lake.fmt).load(path)
         return star[name]
 
@@ -179,11 +180,11 @@ def build_star(
             "fact_inventory_movement",
             facts.fact_inventory_movement(stg["inventory_movements"], product, shop),
         )
-        first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-        store(
-            "fact_inventory_daily_snapshot",
-            facts.fact_inventory_daily_snapshot(moves, first, last, today, opening_balance=True),
-        )
+        # the daily snapshot is unrolled on demand from its changes and the balances of its months
+        changes = store("fact_inventory_change", facts.monthly_changes(moves), "month")
+        openings = store("fact_inventory_opening", facts.opening_balances(changes), "month")
+        last = lake.spark.range(1).select(F.least(F.lit(end).cast("date"), today.cast("date"))).first()[0]
+        star["fact_inventory_daily_snapshot"] = facts.snapshot_range(changes, openings, date.fromisoformat(start), last)
     activity = facts.fact_customer_activity(tx, stg.get("returns"), stg.get("support_tickets"), customer)
     store("fact_customer_activity", activity)
     return star

@@ -1,6 +1,6 @@
 """Dimensions and facts on literal rows."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from helpers import TX, as_of, money, rows, sale, ts
@@ -146,6 +146,30 @@ def test_snapshot_against_brute_force(spark, opening, as_of_day):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    ("start", "end"), [("2025-12-29", "2026-01-03"), ("2026-01-01", "2026-02-02"), ("2026-02-03", "2026-02-04"), ("2026-05-30", "2026-06-01"), ("2025-01-01", "2025-01-02")]
+)
+def test_range_of_days_from_stored_months(spark, tmp_path, start, end):
+    """Before, within and beyond the months that are stored; only those of the range are opened."""
+    moves = spark.createDataFrame(MOVES, "product_key string, store_key string, d string, quantity int")
+    stored = {}
+    for name, build in (("changes", lambda: facts.monthly_changes(moves.withColumn("date_day", F.col("d").cast("date")))), ("openings", lambda: facts.opening_balances(stored["changes"]))):
+        df = build()
+        df.write.partitionBy("month").parquet(str(tmp_path / name))
+        stored[name] = spark.read.schema(df.schema).parquet(str(tmp_path / name))
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    got = facts.snapshot_range(stored["changes"], stored["openings"], first, last)
+    want = []
+    for pair in ("p", "q", "r"):
+        if any(p == pair and at <= end for p, _, at, _ in MOVES):
+            for d in range((last - first).days + 1):
+                today = first + timedelta(days=d)
+                want.append((pair, today, sum(q for p, _, at, q in MOVES if p == pair and at <= str(today))))
+    assert rows(got.select("product_key", "date_day", "stock_on_hand"), "product_key", "date_day") == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(month") >= 2 or "LocalTableScan" in plan
+
+
 def test_last_change_is_the_sum_of_movements(spark):
     moves = spark.createDataFrame(MOVES, "product_key string, store_key string, d string, quantity int")
     moves = moves.withColumn("date_day", F.col("d").cast("date")).drop("d")
