@@ -130,19 +130,20 @@ def _pairs(columns: list[str]) -> list[tuple[int, int]]:
     return list(combinations_with_replacement(range(len(columns)), 2))
 
 
-def _gram(columns: list[str]) -> Column:
-    """Sums of the products of all pairs, in the order of ``_pairs``.
+def _exact(columns: list[str]) -> dict[str, Column]:
+    """Columns _x0, _x1, ...: the values to four decimals, so that their products sum up exactly, in any order."""
+    return {f"_x{i}": (F.lit(1) if c == ONE else F.col(c)).cast("decimal(18,4)") for i, c in enumerate(columns)}
 
-    Values are taken to four decimals and summed exactly, so the order of rows does not matter.
-    """
-    exact = [f"CAST({'1' if c == ONE else c} AS DECIMAL(18, 4))" for c in columns]
-    return F.expr(f"array({', '.join(f'CAST(sum({exact[i]} * {exact[j]}) AS DECIMAL(38, 8))' for i, j in _pairs(columns))})")
+
+def _gram(columns: list[str]) -> Column:
+    """Sums of the products of all pairs of ``_exact`` columns, in the order of ``_pairs``."""
+    return F.expr(f"array({', '.join(f'CAST(sum(_x{i} * _x{j}) AS DECIMAL(38, 8))' for i, j in _pairs(columns))})")
 
 
 def forecast_gram(features: DataFrame) -> DataFrame:
     """Sums behind the normal equations: one row per slice and pair of columns (target included)."""
     columns = [*FEATURES, "net_sales"]
-    wide = features.groupBy(*SLICE).agg(_gram(columns).alias("_totals"))
+    wide = features.withColumns(_exact(columns)).groupBy(*SLICE).agg(_gram(columns).alias("_totals"))
     cells = [
         F.struct(
             F.lit(columns[i]).alias("left_column"),
@@ -167,7 +168,10 @@ def slice_summary(features: DataFrame, max_test_rows: int = 7) -> DataFrame:
     newest_first = Window.partitionBy(*SLICE).orderBy(F.col("date_day").desc())
     tagged = holdout(features, SLICE, "date_day", max_test_rows).withColumn("_age", F.row_number().over(newest_first))
     test = F.struct("date_day", F.col("net_sales").alias("actual"), F.array(*FEATURES).alias("inputs"))
-    parts = tagged.groupBy(*SLICE, "is_test").agg(
+    # little data but much arithmetic, which adaptive execution would leave to one task; sums are exact, so they can be dealt out
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tagged.withColumns(_exact(columns)).repartition(tasks, *SLICE, F.trunc("date_day", "month"))
+    parts = dealt.groupBy(*SLICE, "is_test").agg(
         _gram(columns).alias("_totals"),
         F.collect_list(F.when(F.col("is_test"), test)).alias("_tests"),
         F.collect_list(F.when(F.col("_age") <= RECENT, F.struct("date_day", "net_sales"))).alias("_recent"),
