@@ -26,10 +26,12 @@ def run(lake: Lakehouse, args: argparse.Namespace) -> None:
     run_id = str(uuid.uuid4())
     contracts = load_contracts(args.contracts) if args.contracts else CONTRACTS
 
+    marks = dict(m.split("=", 1) for m in args.mark)
+
     def read(table: str) -> DataFrame | None:
         return read_source(lake.spark, f"{args.source.rstrip('/')}/{table}", args.format)
 
-    for table, outcome in medallion.ingest_all(lake, read, run_id).items():
+    for table, outcome in medallion.ingest_all(lake, read, run_id, marks=marks, overlap=args.overlap).items():
         print(f"{table}: {outcome}")
     medallion.clean_all(lake, run_id, contracts)
     if args.publish or args.publish_url:
@@ -84,6 +86,8 @@ def main() -> None:
     batch.add_argument("--start", help="first day of the calendar; the first day of the facts by default")
     batch.add_argument("--end", help="last day of the calendar; the last day of the facts by default")
 
+    batch.add_argument("--mark", action="append", default=[], metavar="TABLE=COLUMN", help="extract a table by this time column, not whole")
+    batch.add_argument("--overlap", default="1 day", help="how far an extract reads back behind the last mark")
     batch.add_argument("--keep", type=int, default=2, help="versions of each table that stay after the run")
     batch.add_argument("--publish", action="store_true", help="also write silver tables to the session's catalog")
     batch.add_argument("--publish-url", help="also write silver tables over JDBC")

@@ -980,6 +980,42 @@ oracle(
     FROM (SELECT * FROM dcust) d
     JOIN (SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_acctbal < 0 AS hit FROM customer) USING (customer_id)""",
 )
+KEY = b"a fixed key for the checks".ljust(64, b"\0")
+
+
+def _token(value: str) -> str:
+    inner, outer = (bytes(b ^ pad for b in KEY).hex() for pad in (0x36, 0x5C))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({value}))))"
+
+
+oracle(
+    "tokenized_customers",
+    f"""
+    SELECT customer_id AS id, CAST(updated_at AS VARCHAR) AS event_timestamp, {_token("lower(email)")} AS email,
+           {_token("phone")} AS phone, gender FROM cust""",
+)
+oracle(
+    "reidentified_customers",
+    """
+    SELECT c.customer_id AS id, CAST(updated_at AS VARCHAR) AS event_timestamp,
+           CASE WHEN c.email IN (SELECT email FROM cust WHERE CAST(customer_id AS BIGINT) % 3 <> 0) THEN lower(c.email) END AS email,
+           CASE WHEN c.phone IN (SELECT phone FROM cust WHERE CAST(customer_id AS BIGINT) % 3 <> 0) THEN c.phone END AS phone FROM cust c""",
+)
+oracle(
+    "extract_since",
+    """
+    WITH o AS (
+        SELECT *, o_orderdate BETWEEN turn - INTERVAL 20 DAY AND turn AND o_orderkey % 3 = 0 AS late
+        FROM orders, (SELECT TIMESTAMP '1998-06-01' AS turn)
+    )
+    SELECT CAST(o_orderkey AS VARCHAR) AS business_key, o_orderstatus AS status,
+           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS event_timestamp,
+           CASE WHEN o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 30 DAY FROM o WHERE o_orderdate < turn AND NOT late)
+                THEN 'b' ELSE 'a' END AS pipeline_run_id FROM o
+    UNION ALL
+    SELECT CAST(o_orderkey AS VARCHAR), 'X', strftime(o_orderdate + INTERVAL 3000 DAY, '%Y-%m-%d %H:%M:%S'), 'b'
+    FROM o WHERE o_orderstatus = 'P'""",
+)
 oracle(
     "birth_month",
     """

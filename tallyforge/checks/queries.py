@@ -14,7 +14,7 @@ from tallyforge.functions.temporal import to_second_text
 from tallyforge.operators import latest, series, timeline
 from tallyforge.operators.bronze import SOURCES, SourceSpec, to_bronze
 from tallyforge.operators.pit import pit_join
-from tallyforge.plans import dims, facts, forecast, fraud, kpis, privacy, silver
+from tallyforge.plans import dims, facts, forecast, fraud, kpis, medallion, privacy, silver
 from tallyforge.plans.upload import merge_upload
 from tallyforge.session import scratch_dir
 from tallyforge.sources import exports, uploads
@@ -709,6 +709,26 @@ def layer_key_changes(r: Retail) -> DataFrame:
     return lake.read("silver", "orders")
 
 
+@query
+def extract_since(r: Retail) -> DataFrame:
+    """Orders extracted twice. The second time the older half is there again, with rows that were committed late and others that changed
+    since; only what lies behind the mark by at most the overlap, or after it, is read."""
+    lake, spec = _lake(r), SourceSpec("orders", "ERP")
+    orders = r.table("orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at")
+    )
+    turn = F.lit("1998-06-01").cast("timestamp_ntz")
+    late = F.col("updated_at").between(turn - F.expr("INTERVAL 20 DAYS"), turn) & (F.col("id") % 3 == 0)
+    first = orders.where((F.col("updated_at") < turn) & ~late)
+    changed = orders.where("status = 'P'").withColumns({"status": F.lit("X"), "updated_at": F.col("updated_at") + F.expr("INTERVAL 3000 DAYS")})
+    second = orders.unionByName(changed)
+    for run, source in (("a", first), ("b", second), ("b", second)):
+        medallion.ingest_since(lake, source, spec, run, "updated_at", "30 days", as_of())
+    rows = medallion.extracted(lake, "orders")
+    status = F.get_json_object("raw_payload", "$.status").alias("status")
+    return rows.select("business_key", status, "event_timestamp", "pipeline_run_id")
+
+
 def _upload_rows(r: Retail) -> DataFrame:
     note = F.concat(F.col("o_orderpriority"), F.lit(",\n"), F.col("o_orderstatus"))
     return r.table("orders").select(F.col("o_orderkey").cast("string"), note.alias("note"), F.col("o_custkey").cast("string"))
@@ -742,6 +762,24 @@ def mask_pii(r: Retail) -> DataFrame:
     return privacy.mask_pii(r.customers(), CONTRACTS["customers"])
 
 
+TOKEN_KEY = b"a fixed key for the checks"
+
+
+@query
+def tokenized_customers(r: Retail) -> DataFrame:
+    people = r.customers().select("id", "event_timestamp", F.concat(F.lit(" "), F.upper("email")).alias("email"), "phone", "gender")
+    return privacy.tokenize(people, TOKEN_KEY)
+
+
+@query
+def reidentified_customers(r: Retail) -> DataFrame:
+    """Tokens taken back through the vault; a third of the customers are not in it."""
+    people = r.customers().select("id", "event_timestamp", "email", "phone")
+    vault = privacy.token_vault(people.where(F.col("id").cast("long") % 3 != 0), TOKEN_KEY)
+    found = privacy.reidentify(privacy.tokenize(people, TOKEN_KEY), vault)
+    return found.select("id", "event_timestamp", F.when(F.length("email") < 64, F.col("email")).alias("email"), F.when(F.length("phone") < 64, F.col("phone")).alias("phone"))
+
+
 @query
 def forget_customers(r: Retail) -> DataFrame:
     requests = r.table("customer").where(F.col("c_acctbal") < 0)

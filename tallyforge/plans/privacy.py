@@ -1,7 +1,10 @@
-"""Masked views, erasure requests and coarse birth dates."""
+"""Masked views, keyed tokens, erasure requests and coarse birth dates."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +118,44 @@ def forget(df: DataFrame, requests: DataFrame, key: str = "customer_id") -> Data
         c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in ERASED.items() if c in df.columns
     }
     return joined.withColumns(erased).select(*df.columns)
+
+
+# -- keyed tokens ---------------------------------------------------------------------------
+
+BLOCK_BYTES = 64
+
+
+def hmac_sha256(value: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of a text as lower-case hex, from built-in functions; NULL stays NULL.
+
+    Without the key, tokens can neither be computed from guessed addresses nor be told from random.
+    """
+    block = (hashlib.sha256(key).digest() if len(key) > BLOCK_BYTES else key).ljust(BLOCK_BYTES, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    digest = F.unhex(F.sha2(F.concat(inner, F.encode(value, "UTF-8")), 256))
+    return F.sha2(F.concat(outer, digest), 256)
+
+
+def tokenize(df: DataFrame, key: bytes, columns: Sequence[str] = ("email", "phone")) -> DataFrame:
+    """The columns replaced by their tokens. Equal values have equal tokens, in every table that shares the key, so joins and
+    counts still work; e-mail addresses count without regard to case and surrounding blanks."""
+    return df.withColumns({c: hmac_sha256(normal_value(c), key) for c in columns})
+
+
+def normal_value(column: str) -> Column:
+    value = F.trim(F.col(column))
+    return F.lower(value) if column == "email" else value
+
+
+def token_vault(df: DataFrame, key: bytes, columns: Sequence[str] = ("email", "phone")) -> DataFrame:
+    """(kind, token, value): what re-identification joins with, once for each token. To be kept apart from the tokenised tables."""
+    kinds = [F.struct(F.lit(c).alias("kind"), hmac_sha256(normal_value(c), key).alias("token"), normal_value(c).alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*kinds))).where("token IS NOT NULL").distinct()
+
+
+def reidentify(df: DataFrame, vault: DataFrame, columns: Sequence[str] = ("email", "phone")) -> DataFrame:
+    """Tokens replaced by the values of the vault; a token that the vault does not hold stays."""
+    for c in columns:
+        known = vault.where(F.col("kind") == c).select(F.col("token").alias("_token"), F.col("value").alias("_value"))
+        df = df.join(known, F.col(c) == F.col("_token"), "left").withColumn(c, F.coalesce("_value", c)).drop("_token", "_value")
+    return df

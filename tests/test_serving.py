@@ -458,3 +458,21 @@ def test_erasure_leaves_everyone_else_alone(spark):
     assert got == [(*gone, "k1"), (*gone, "k2"), ("2", "Bo", "Ng", "b@b.c", None, "k3")]
     assert privacy.forget(df, asked).columns == df.columns
     assert df.where(F.col("first_name") == "Ann").count() == 1
+
+
+@pytest.mark.parametrize("key", [b"k", b"x" * 64, b"long " * 40])
+def test_tokens_are_hmac_sha256(spark, key):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([(" Änne@Example.com ", "+1-555"), (None, ""), ("änne@example.com", None)], "email string, phone string")
+
+    def token(value):
+        return None if value is None else hmac.new(key, value.encode(), hashlib.sha256).hexdigest()
+
+    got = privacy.tokenize(df, key)
+    assert rows(got) == [(token("änne@example.com"), token("+1-555")), (None, token("")), (token("änne@example.com"), None)]
+    vault = privacy.token_vault(df, key)
+    assert sorted((r.kind, r.value) for r in vault.collect()) == [("email", "änne@example.com"), ("phone", ""), ("phone", "+1-555")]
+    back = privacy.reidentify(got, vault.where("value <> ''"))
+    assert sorted(rows(back), key=str) == sorted([("änne@example.com", "+1-555"), (None, token("")), ("änne@example.com", None)], key=str)

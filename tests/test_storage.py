@@ -8,6 +8,7 @@ from helpers import TX, as_of, money, rows, sale, ts
 from pyspark.sql import functions as F
 
 from tallyforge.contracts import CONTRACTS
+from tallyforge.operators.bronze import SourceSpec
 from tallyforge.operators.latest import apply_changes, upsert_by_key
 from tallyforge.plans import forecast, fraud, medallion, privacy, upload
 from tallyforge.plans.silver import upsert_audit
@@ -437,3 +438,27 @@ def test_an_upload_costs_what_it_changes(spark, lake, tmp_path):
     before = files_of(lake, "gold", "fact_fraud_queue")
     load("c.csv", "N3,TN3,C1,POS,P1,1,5.00,0.00,2026-05-04 11:00:00")
     assert len({p.parts[1] for p in files_of(lake, "gold", "fact_fraud_queue") - before}) == 1
+
+
+def test_extracts_read_behind_the_mark(spark, lake):
+    spec = SourceSpec("stores", "STORES")
+
+    def extract(run, *rows_, **options):
+        source = spark.createDataFrame([(i, name, d and ts(f"2026-05-{d:02d} 00:00:00")) for i, name, d in rows_], "id string, name string, updated_at timestamp_ntz")
+        return medallion.ingest_since(lake, source, spec, run, "updated_at", "2 days", as_of(), **options)
+
+    def known():
+        return sorted((r.business_key, json.loads(r.raw_payload)["name"]) for r in medallion.extracted(lake, "stores").collect())
+
+    assert medallion.extracted(lake, "stores") is None and not medallion.ingest_since(lake, None, spec, "r0", "updated_at")
+    assert extract("r1", ("a", "one", 1), ("b", "two", 10))
+    # c was committed late within the overlap, d too late for it, e has no time, a is no longer read
+    again = [("a", "changed", 1), ("b", "two", 10), ("c", "late", 8), ("d", "too late", 7), ("e", "no time", None), ("f", "new", 12)]
+    assert extract("r2", *again) and extract("r2", *again)
+    assert known() == [("a", "one"), ("b", "two"), ("c", "late"), ("e", "no time"), ("f", "new")]
+    assert not extract("r3", ("a", "one", 1))
+    # the mark of r2 counts now; a run that was lost before its mark starts from there again
+    assert extract("r4", ("c", "late", 8), ("f", "newer", 13))
+    assert known() == [("a", "one"), ("b", "two"), ("c", "late"), ("e", "no time"), ("f", "new"), ("f", "newer")]
+    assert medallion.bronze_rows(lake, "stores").count() == 6
+    assert medallion.clean_table(lake, CONTRACTS["stores"], "r4", as_of=as_of())
