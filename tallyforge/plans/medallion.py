@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyforge.contracts import CONTRACTS, Contract
@@ -117,37 +117,33 @@ def clean_table(
 ) -> bool:
     """Bronze to silver for one table, with quarantine and audit. False where bronze has nothing.
 
-    The tagged rows are written once, split by outcome. Silver, quarantine and the counts then
-    read that table, so the JSON is parsed a single time and a lost executor costs no re-parse.
+    The tagged rows are written once, split by outcome. Silver and quarantine then read that table, so the JSON is parsed a single
+    time and a lost executor costs no re-parse. Rows are counted while they are written, in the stage that writes them, where
+    each task counts once: nothing is read again for the audit.
     """
     bronze = bronze_rows(lake, contract.table)
     if bronze is None:
         return False
     keys = keys or (VERSION_KEYS if contract.table in VERSIONED else DEDUP_KEYS)
     tagged = tag(bronze, contract).withColumn("is_valid", F.col("quarantine_reason").isNull())
-    staged_path = lake.write(tagged, "staged", contract.table, partition_by=("is_valid",))
+    came, kept = Observation(), Observation()
+    outcomes = {"bronze_count": F.count(F.lit(1)), "_valid": F.count_if("is_valid"), "quarantine_count": F.count_if(~F.col("is_valid"))}
+    counted = tagged.observe(came, *[c.alias(name) for name, c in outcomes.items()])
+    staged_path = lake.write(counted, "staged", contract.table, partition_by=("is_valid",))
     staged = lake.spark.read.schema(tagged.schema).format(lake.fmt).load(staged_path)
 
     valid, quarantined = split(staged)
-    silver_path = lake.write(
-        deduplicate(valid.drop("is_valid"), keys), "silver", contract.table
-    )
-    held = quarantined.drop("is_valid")
-    if not held.isEmpty():
-        lake.append_run(held, "quarantine", contract.table, run_id)
-
-    silver = lake.spark.read.format(lake.fmt).load(silver_path)
-    came = bronze.agg(F.count(F.lit(1)).alias("bronze_count"))
-    outcome = staged.agg(
-        F.count_if("is_valid").alias("_valid"), F.count_if(~F.col("is_valid")).alias("quarantine_count")
-    )
-    counts = outcome.select(
-        came.scalar().alias("bronze_count"),
-        silver.agg(F.count(F.lit(1)).alias("n")).scalar().alias("silver_count"),
-        "quarantine_count",
-        "_valid",
-    ).withColumn("duplicate_count", F.col("_valid") - F.col("silver_count"))
-    lake.append_audit(audit_row(counts, contract.table, as_of), f"{run_id}-{contract.table}")
+    distinct = deduplicate(valid.drop("is_valid"), keys).observe(kept, F.count(F.lit(1)).alias("silver_count"))
+    lake.write(distinct, "silver", contract.table)
+    counts = {name: 0 for name in outcomes} | came.get
+    counts["silver_count"] = kept.get.get("silver_count", 0)
+    if counts["quarantine_count"]:
+        lake.append_run(quarantined.drop("is_valid"), "quarantine", contract.table, run_id)
+
+    row = (*(counts[c] for c in ("bronze_count", "silver_count", "quarantine_count", "_valid")), counts["_valid"] - counts["silver_count"])
+    columns = "bronze_count long, silver_count long, quarantine_count long, _valid long, duplicate_count long"
+    entry = lake.spark.createDataFrame([row], columns)
+    lake.append_audit(audit_row(entry, contract.table, as_of), f"{run_id}-{contract.table}")
     return True
 
 

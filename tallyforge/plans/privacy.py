@@ -81,7 +81,8 @@ def erase_customers(lake: Lakehouse, requests: DataFrame, key: str = "customer_i
     def named(column: str) -> DataFrame:
         return listed.withColumnRenamed("_id", column)
 
-    for layer, name, column in CUSTOMER_TABLES:
+    # the last uploaded file, where there was one, is a customer table too
+    for layer, name, column in (*CUSTOMER_TABLES, ("staged", "upload_customers", "id")):
         df = lake.read(layer, name)
         if df is not None:
             lake.write(forget(df, named(column), column), layer, name)
@@ -90,6 +91,9 @@ def erase_customers(lake: Lakehouse, requests: DataFrame, key: str = "customer_i
     if bronze is not None:
         lake.write(forget_payload(bronze, named("business_key")), "bronze", "customers")
         lake.prune("bronze", "customers")
+    extracts = lake.read_runs("extracts", "customers")
+    if extracts is not None:
+        lake.rewrite_runs(forget_payload(extracts, named("business_key")), "extracts", "customers")
     held = lake.read_runs("quarantine", "customers")
     if held is not None:
         lake.rewrite_runs(forget(held, named("id"), "id"), "quarantine", "customers")

@@ -294,6 +294,7 @@ def test_erasure_leaves_no_name_in_any_layer(spark, lake, tmp_path):
     person = lake.read("source", "customers").where("id = 'C1'").first()
     held = lake.read("silver", "customers").select("id", "first_name", "last_name", "email", "phone").limit(1)
     lake.append_run(held.withColumn("id", F.lit("C1")).withColumn("first_name", F.lit(person.first_name)), "quarantine", "customers", "r0")
+    medallion.ingest_since(lake, tables["customers"], SourceSpec("customers", "CRM"), "r1", "updated_at", as_of=as_of())
     spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
     privacy.erase_customers(lake, spark.createDataFrame([("C1",), (None,)], "customer_id string"))
     for layer, name, key in privacy.CUSTOMER_TABLES:
@@ -303,6 +304,8 @@ def test_erasure_leaves_no_name_in_any_layer(spark, lake, tmp_path):
     raw = lake.read("bronze", "customers").where("business_key = 'C1'").collect()
     assert raw and all(person.email not in r.raw_payload and privacy.ERASED_NAME in r.raw_payload for r in raw)
     assert all(r.first_name == privacy.ERASED_NAME for r in lake.read_runs("quarantine", "customers").where("id = 'C1'").collect())
+    read_by_mark = lake.read_runs("extracts", "customers").where("business_key = 'C1'").collect()
+    assert read_by_mark and all(person.email not in r.raw_payload and privacy.ERASED_NAME in r.raw_payload for r in read_by_mark)
     others = lake.read("silver", "customers").where("id <> 'C1'").collect()
     assert others and all(r.first_name != privacy.ERASED_NAME for r in others)
 
@@ -462,3 +465,20 @@ def test_extracts_read_behind_the_mark(spark, lake):
     assert known() == [("a", "one"), ("b", "two"), ("c", "late"), ("e", "no time"), ("f", "new"), ("f", "newer")]
     assert medallion.bronze_rows(lake, "stores").count() == 6
     assert medallion.clean_table(lake, CONTRACTS["stores"], "r4", as_of=as_of())
+
+
+def test_counting_reads_nothing_again(spark, lake):
+    """Cleaning a table runs as many jobs as it has writes, reads of bronze and of the listing of files; none of them counts."""
+    tables = source_tables(spark)
+    medallion.ingest_all(lake, lambda t: tables.get(t), "r1", as_of=as_of())
+    tracker, group = spark.sparkContext.statusTracker(), "counting"
+    spark.sparkContext.setJobGroup(group, "")
+    assert medallion.clean_table(lake, CONTRACTS["transactions"], "r1", as_of=as_of())
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    entry = lake.read_audit().where("table_name = 'transactions'").first()
+    staged, silver = lake.read("staged", "transactions"), lake.read("silver", "transactions")
+    assert (entry.bronze_count, entry.silver_count, entry.quarantine_count) == (
+        staged.count(), silver.count(), staged.where("not is_valid").count(),
+    )
+    assert jobs <= 10
