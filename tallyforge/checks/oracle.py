@@ -228,24 +228,30 @@ VIEWS["dchan"] = "SELECT DISTINCT md5(channel) AS channel_key, channel AS channe
 TIER = """CASE WHEN discount = 0 THEN 'PROMO-NONE' WHEN discount <= 5 THEN 'PROMO-SEASONAL'
                WHEN discount <= 15 THEN 'PROMO-LOYALTY' ELSE 'PROMO-FLASH' END"""
 
+def _version(dim: str, key: str, at: str) -> str:
+    """The newest version that began by a moment; versions that no moment lies in do not count. Whether it still held is left to ``_held``."""
+    return f"ASOF LEFT JOIN (SELECT * FROM {dim} WHERE valid_from < valid_to) {dim} ON x.{key} = {dim}.{key} AND x.{at} >= {dim}.valid_from"
+
+
+def _held(dim: str, column: str, at: str, otherwise: str) -> str:
+    return f"CASE WHEN x.{at} < {dim}.valid_to THEN {dim}.{column} ELSE {otherwise} END"
+
+
+VIEWS["resolved"] = f"""
+    SELECT x.*, {_held("dcust", "customer_key", "transaction_timestamp", "md5('CUST-UNKNOWN')")} AS customer_key,
+           {_held("dprod", "product_key", "transaction_timestamp", "md5('PRD-UNKNOWN')")} AS product_key,
+           coalesce(dstore.store_key, md5('ST-UNKNOWN')) AS store_key,
+           coalesce({_held("dprod", "cost", "transaction_timestamp", "NULL")}, 0) AS unit_cost
+    FROM tx x {_version("dcust", "customer_id", "transaction_timestamp")}
+    {_version("dprod", "product_id", "transaction_timestamp")}
+    LEFT JOIN dstore USING (store_id)"""
 VIEWS["fsales"] = f"""
-    SELECT t.id AS transaction_line_id, transaction_id,
-           coalesce(customer_key, md5('CUST-UNKNOWN')) AS customer_key,
-           coalesce(product_key, md5('PRD-UNKNOWN')) AS product_key,
-           coalesce(store_key, md5('ST-UNKNOWN')) AS store_key, md5(t.channel) AS channel_key,
-           md5({TIER}) AS promotion_key, CAST(transaction_timestamp AS DATE) AS date_day,
-           quantity, unit_price, discount,
+    SELECT * EXCLUDE (id, customer_id, product_id, store_id, channel, unit_cost), id AS transaction_line_id,
+           md5(channel) AS channel_key, md5({TIER}) AS promotion_key, CAST(transaction_timestamp AS DATE) AS date_day,
            CAST(quantity * unit_price - discount AS DECIMAL(18,2)) AS net_sales,
-           CAST(quantity * coalesce(p.cost, 0) AS DECIMAL(18,2)) AS total_cost,
-           CAST(quantity * unit_price - discount - quantity * coalesce(p.cost, 0) AS DECIMAL(18,2)) AS gross_margin,
-           transaction_timestamp
-    FROM tx t
-    LEFT JOIN dcust c ON t.customer_id = c.customer_id AND transaction_timestamp >= c.valid_from
-                     AND transaction_timestamp < c.valid_to
-    LEFT JOIN dprod p ON t.product_id = p.product_id AND transaction_timestamp >= p.valid_from
-                     AND transaction_timestamp < p.valid_to
-    LEFT JOIN dstore s ON t.store_id = s.store_id AND transaction_timestamp >= s.valid_from
-                      AND transaction_timestamp < s.valid_to"""
+           CAST(quantity * unit_cost AS DECIMAL(18,2)) AS total_cost,
+           CAST(net_sales - total_cost AS DECIMAL(18,2)) AS gross_margin
+    FROM resolved"""
 VIEWS["fret"] = """
     SELECT r.id AS return_id, transaction_id, coalesce(product_key, md5('PRD-UNKNOWN')) AS product_key,
            CAST(return_timestamp AS DATE) AS date_day, quantity, refund_amount, return_reason, return_timestamp
@@ -663,24 +669,24 @@ oracle(
     LEFT JOIN (SELECT product_key, store_key, date_day, sum(quantity) AS net FROM regmov GROUP BY ALL)
     USING (product_key, store_key, date_day)""",
 )
+VIEWS["happened"] = """
+    SELECT customer_id, e.kind AS activity_type, e.at AS activity_timestamp,
+           CAST(e.at AS DATE) AS date_day, MAP {
+               'PURCHASE': 'Completed a transaction: ', 'RETURN': 'Returned product in transaction: ', 'SUPPORT': 'Opened support ticket: '
+           }[e.kind] || e.what AS activity_details
+    FROM (
+        SELECT customer_id, unnest(list_prepend({'kind': 'PURCHASE', 'at': transaction_timestamp, 'what': transaction_id}, coalesce(backs, []))) AS e
+        FROM tx LEFT JOIN (
+            SELECT transaction_id, list({'kind': 'RETURN', 'at': return_timestamp, 'what': transaction_id}) AS backs FROM ret GROUP BY transaction_id
+        ) USING (transaction_id)
+        UNION ALL SELECT customer_id, {'kind': 'SUPPORT', 'at': ticket_timestamp, 'what': ticket_id || ' - ' || issue_category} FROM tk
+    ) WHERE customer_id IS NOT NULL"""
 oracle(
     "fact_customer_activity",
-    """
-    SELECT md5(concat(u.customer_id, '_', CAST(activity_timestamp AS VARCHAR), '_', activity_type)) AS activity_key,
-           coalesce(customer_key, md5('CUST-UNKNOWN')) AS customer_key, activity_timestamp,
-           CAST(activity_timestamp AS DATE) AS date_day, activity_type, activity_details
-    FROM (SELECT customer_id, transaction_timestamp AS activity_timestamp, 'PURCHASE' AS activity_type,
-                 'Completed a transaction: ' || transaction_id AS activity_details
-          FROM tx WHERE customer_id IS NOT NULL
-          UNION ALL
-          SELECT t.customer_id, return_timestamp, 'RETURN', 'Returned product in transaction: ' || r.transaction_id
-          FROM ret r JOIN tx t ON r.transaction_id = t.transaction_id WHERE t.customer_id IS NOT NULL
-          UNION ALL
-          SELECT customer_id, ticket_timestamp, 'SUPPORT',
-                 'Opened support ticket: ' || ticket_id || ' - ' || issue_category FROM tk
-          WHERE customer_id IS NOT NULL) u
-    LEFT JOIN dcust c ON u.customer_id = c.customer_id AND activity_timestamp >= valid_from
-                     AND activity_timestamp < valid_to""",
+    f"""
+    SELECT x.* EXCLUDE (customer_id), md5(concat_ws('_', x.customer_id, CAST(activity_timestamp AS VARCHAR), activity_type)) AS activity_key,
+           {_held("dcust", "customer_key", "activity_timestamp", "md5('CUST-UNKNOWN')")} AS customer_key
+    FROM happened x {_version("dcust", "customer_id", "activity_timestamp")}""",
 )
 oracle(
     "pit_join_revenue",
