@@ -71,6 +71,19 @@ def best_ending(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def spans(starts: set[int], length: int, budget: int, limit: int) -> list[tuple[int, int]]:
+    """The stretches of a text in which an item may lie that starts near one of the places; windows that overlap are one stretch,
+    so that no match is cut off by the end of a window."""
+    merged: list[tuple[int, int]] = []
+    for start in sorted(starts):
+        low, high = max(0, start - budget), min(limit, start + length + budget)
+        if merged and low < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+        else:
+            merged.append((low, high))
+    return merged
+
+
 class Finder:
     """The pieces of a block of test items, ready to search texts."""
 
@@ -91,7 +104,7 @@ class Finder:
             self.pieces.make_automaton()
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, least distance, start of the first match at it, number of separate matches) of each item."""
+        """(item_id, least distance, start of the first match at it, number of separate stretches that match) of each item."""
         if not self.items:
             return []
         text = normal(text)
@@ -102,22 +115,18 @@ class Finder:
         found = []
         for k, where in starts.items():
             item_id, pattern, budget, masks = self.items[k]
-            matches, reach = [], -len(text) - len(pattern)
-            for start in sorted(where):
-                if start < reach:  # already inside the window of a match
-                    continue
-                low = max(0, start - budget)
-                if text.startswith(pattern, max(0, start)):
-                    distance, end = 0, max(0, start) + len(pattern)
+            m, hits = len(pattern), []
+            for low, high in spans(where, m, budget, len(text)):
+                at = text.find(pattern, low, high)
+                if at >= 0:
+                    hits.append((0, at))
                 else:
-                    distance, end = best_ending(masks, len(pattern), text[low : start + len(pattern) + budget])
-                    end += low
-                if distance <= budget:
-                    matches.append((distance, max(0, end - len(pattern))))
-                    reach = end - budget
-            if matches:
-                distance, start = min(matches)
-                found.append((item_id, distance, start, len(matches)))
+                    distance, end = best_ending(masks, m, text[low:high])
+                    if distance <= budget:
+                        hits.append((distance, max(0, low + end - m)))
+            if hits:
+                distance, start = min(hits)
+                found.append((item_id, distance, start, len(hits)))
         return found
 
 

@@ -59,6 +59,28 @@ def test_matches_equal_brute_force(spark):
     assert got == want
 
 
+def test_items_that_repeat_a_phrase(spark):
+    item = "one two six ten abc one two six ten abcd " * 6
+    text = "xxxxx " + item + "and more"
+    got = D.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [(r.distance, D.normal(text)[r.start :].startswith(D.normal(item))) for r in got.collect()] == [(0, True)]
+
+    rng = random.Random(3)
+    for n in range(60):
+        phrase = sentences(rng, 1, 3)[0] + " "
+        item = phrase * 3 + edited(rng, phrase, 1) * rng.randint(1, 3) + phrase
+        text = phrase * rng.randint(0, 4) + edited(rng, item, n % 6) + phrase * rng.randint(0, 3)
+        pattern = D.normal(item)
+        distance = least_distance(pattern, D.normal(text))
+        found = [hit[1] for hit in D.Finder([(1, item)], D.EDIT_RATE).search(text)]
+        assert found == ([distance] if distance <= int(len(pattern) * D.EDIT_RATE) else [])
+
+
+def test_separate_copies_are_counted():
+    item, gap = "who wrote the first of these long books", " and " * 20
+    assert D.Finder([(1, item)], D.EDIT_RATE).search(gap.join([item] * 3)) == [(1, 0, 0, 3)]
+
+
 def test_odd_rows_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 10)
     items = spark.createDataFrame([(1, "Who wrote it?"), (1, "Who wrote it?"), (2, None), (3, " ?! "), (None, "Another one")], "item_id long, text string")
