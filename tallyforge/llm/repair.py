@@ -63,9 +63,7 @@ def encoder(path: str):
     """The tokenizer, and what is remembered of it: ids by word, and by run of letters or signs."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer, {}, {}
+    return Tokenizer.from_file(path), {}, {}
 
 
 @cache
@@ -87,7 +85,7 @@ def simple_runs(word: str) -> tuple[str, str] | None:
 
 
 def word_ids(path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word as bytes. Runs of letters and of signs, which the tokenizer splits first of all, go straight to its
+    """The ids of each word as bytes. Strings of special tokens, which hold signs before letters, get the ids of the tokens. Runs of letters and of signs, which the tokenizer splits first of all, go straight to its
     model, each once; other words go through the whole tokenizer."""
     tokenizer, _, runs = encoder(path)
     model, table, out, odd = tokenizer.model, byte_letters(), [], []

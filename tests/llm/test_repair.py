@@ -14,6 +14,7 @@ from tallyforge.llm import repair as R
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     "The cat's hat sat; the cat's hat sat.", "", None, " \n\t", "naïve Café café İI ſ ß", "a b c\x1cd\x85e", "<|endoftext|> don't 1234",
+    "a <|endoftext|> b", "a<|endoftext|>b <|startoftext|><|startoftext|>, x <|EndOfText|> <|endoftext |> |>",
     "ΣΑΣ ΑΣ ΑΣ. ς σ Éé é é.. ŒUVRE, ß! x's 'tis it's, can't. don'T a-b a_b a1b ªº ʰa Ⅷ ²",
     "日本語 テキスト 🎉🎉 x", "the the the the the the the", "Word " * 40_000, "́start ́ end",
 ]
@@ -21,10 +22,15 @@ TEXTS = [
 
 def plain(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
 
+def test_special_tokens_are_no_simple_words():
+    special = [t.content for t in Tokenizer.from_file(PATH).get_added_tokens_decoder().values()]
+    assert special and not any(set(s) & set(" \t\n\v\f\r") for s in special)
+    assert all(R.simple_runs(a + s + b) is None for s in special for a in ("", "a") for b in ("", "b", "."))
+
+
 @pytest.mark.parametrize("size", [1, 50, 1 << 20])
 def test_read_back_equals_the_tokenizer(spark, size):
     df = spark.createDataFrame([(i * 3, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3)
