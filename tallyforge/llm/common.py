@@ -28,12 +28,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these frames. Only for frames that nothing reads any more: everything made from them has been
+    written itself."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def components(edges: DataFrame, purpose: str = "components", tidy: bool = False) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the smallest node reached.
 
     Alternates large-star and small-star rounds, in which every node points its neighbours to the smallest
     one, until the edges stop changing. A round is two aggregations and joins; no neighbourhood is collected. Self
-    loops are ignored; nodes without another edge do not appear.
+    loops are ignored; nodes without another edge do not appear. ``tidy`` deletes a round's edges once the next round's are written.
     """
     edges = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose
@@ -47,7 +57,9 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, purpose)
+        before, edges = edges, stored(small, purpose)
+        if tidy:
+            discard(before)
         after = edge_state(edges)
         if after == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -12,17 +12,17 @@ which finds the same links from a number of rows proportional to the members.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations, repeat
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import components, stored, whole_text
+from tallyforge.llm.common import components, discard, stored, whole_text
 
 BITS = 64
 BUCKET = 64
@@ -36,6 +36,8 @@ FEW_ROWS = 255
 #: shingles that ``COMMON`` of every ``SAMPLED``th document have go last in the order of shingles, ``MOST_COMMON`` of them; any
 #: order finds the same pairs, this one with fewer candidates
 SAMPLED, COMMON, MOST_COMMON = 16, 4, 200_000
+#: a bucket of so many sets is compared pair by pair; larger ones are joined in slices of about ``SLICE`` sets
+FEW, SLICE = 8, 256
 #: words whose hashes a task remembers
 REMEMBERED = 200_000
 
@@ -360,60 +362,91 @@ def code_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: float
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(h, k, size, rank): the nodes that share a prefix shingle, and what part of its prefix a node shares with any."""
-    spread = nodes.select(F.xxhash64("k").alias("id"), F.explode("prefix").alias("h"))
-    shared = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    met = stored(spread.join(shared, "h", "left_semi"), "simhash-shared")
-    degree = met.groupBy("id").agg(F.count("*").alias("n"))
-    info = nodes.select(F.xxhash64("k").alias("id"), "k", "size", F.size("prefix").alias("p")).join(degree, "id")
-    return stored(met.join(info.withColumn("rank", F.col("n") / F.col("p")), "id").select("h", "k", "size", "rank"), "simhash-buckets")
+    """(h, k, size, pos, n, rank): the nodes that share a prefix shingle with others, the shingle's place in the node's order, the number of
+    nodes that share it, and what part of its prefix a node shares with any."""
+    spread = nodes.select("k", "size", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "h"))
+    shared = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(spread.join(shared, "h"), "simhash-shared")
+    degree = met.groupBy("k").agg((F.count("*") / F.first("p")).alias("rank"))
+    rows = stored(met.drop("p").join(degree, "k"), "simhash-buckets")
+    discard(met)
+    return rows
+
+
+def most_apart(similarity: float) -> int:
+    """Bits by which the codes of two sets may differ that count as alike."""
+    least = similarity - SLACK
+    return int(CODE_WORDS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
+
+
+def apart(a: str, b: str) -> Column:
+    """Number of bits in which two codes differ."""
+    return reduce(Column.__add__, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(CODE_WORDS)])
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs (ka, kb) whose codes are near enough."""
+def may_be_alike(similarity: float) -> Column:
+    """Whether two sets, (size, pos) and (hs, hp), can be alike if the shingle at these places is the first they share: all they share then
+    lies from there on. Alike sets pass at their first common shingle, so none is lost."""
+    rest = F.least(F.col("size") - F.col("pos"), F.col("hs") - F.col("hp"))
+    return rest * (1 + similarity) >= (F.col("size") + F.col("hs")) * similarity - 1e-6
+
+
+def few_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): alike pairs of buckets with few members, all of which are compared: at most ``FEW`` pairs for each row."""
+    other = rows.select("h", F.col("k").alias("hk"), F.col("size").alias("hs"), F.col("pos").alias("hp"))
+    pairs = rows.join(other, "h").where((F.col("k") < F.col("hk")) & may_be_alike(similarity)).select("k", "hk").distinct()
     codes = nodes.select("k", "code")
-    far = F.expr("aggregate(zip_with(ca, cb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    least = similarity - SLACK
-    most = int(CODE_WORDS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
     return (
-        pairs.join(codes.select(F.col("k").alias("ka"), F.col("code").alias("ca")), "ka")
-        .join(codes.select(F.col("k").alias("kb"), F.col("code").alias("cb")), "kb")
-        .where(far <= most)
-        .select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+        pairs.join(codes, "k")
+        .join(codes.select(F.col("k").alias("hk"), F.col("code").alias("hc")), "hk")
+        .where(apart("code", "hc") <= most_apart(similarity))
+        .select(F.col("k").alias("a"), F.col("hk").alias("b"))
     )
 
 
 def head_pairs(rows: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """(ka, kb): distinct pairs of a head and another member of its bucket that may be alike by their sizes."""
-    heads = heads.select("h", F.col("k").alias("hk"), F.col("size").alias("hs"), F.col("root").alias("hr"))
-    fit = F.least("size", "hs") >= F.greatest("size", "hs") * similarity - 1e-6
-    met = rows.join(heads, "h").where(fit & (F.col("root") != F.col("hr")))
-    return met.select(F.least("k", "hk").alias("ka"), F.greatest("k", "hk").alias("kb")).distinct()
+    """(a, b): alike pairs of a head and another member of its bucket with another root. Codes are compared within the join, which lets only
+    alike pairs out; a bucket is joined in slices of about ``SLICE`` members, each with a copy of the heads."""
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("k"), slices).cast("int"))
+    heads = heads.select(
+        "h", F.col("k").alias("hk"), F.col("size").alias("hs"), F.col("pos").alias("hp"), F.col("root").alias("hr"),
+        F.col("code").alias("hc"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"),
+    )
+    far = apart("code", "hc") <= most_apart(similarity)
+    met = rows.join(heads, ["h", "slice"]).where((F.col("root") != F.col("hr")) & may_be_alike(similarity) & far)
+    return met.select(F.col("k").alias("a"), F.col("hk").alias("b")).distinct()
 
 
 def similar_roots(nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, root): components of nodes that are alike.
 
-    Each round some members of every bucket, four times as many as before, are its heads and meet all others. Members known to be
-    of one component are not compared; a bucket is done when all members that have not been heads are of one component.
+    Buckets of few members are compared pair by pair. In larger ones, each round some members, sixteen times as many as before, are the
+    heads and meet all others. Members known to be of one component are not compared; a bucket is done when all members that
+    have not been heads are of one component. What a round wrote is deleted after the next.
     """
-    rows, heads_each = bucket_rows(nodes), 1
-    roots = nodes.select(F.col("k").alias("node"), F.col("k").alias("root")).limit(0)
+    buckets, heads_each = bucket_rows(nodes), 1
+    found = stored(few_pairs(buckets.where(F.col("n") <= FEW), nodes, similarity), "simhash-alike")
+    roots = components(found, "simhash-near", tidy=True)
+    rows = stored(buckets.where(F.col("n") > FEW).join(nodes.select("k", "code"), "k"), "simhash-large")
+    discard(buckets, found)
+    spent = [rows]
     while True:
-        labelled = rows.join(roots, rows.k == roots.node, "left").select("h", "k", "size", "rank", F.coalesce("root", "k").alias("root"))
+        labelled = rows.join(roots, rows.k == roots.node, "left").select(*rows.columns, F.coalesce("root", "k").alias("root"))
         mixed_buckets = labelled.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         live = stored(labelled.join(mixed_buckets.select("h"), "h", "left_semi"), "simhash-live")
+        discard(*spent)
         if live.isEmpty():
             return roots
         order = Window.partitionBy("h").orderBy(F.desc("rank"), "k")
-        heads = live.withColumn("nth", F.row_number().over(order)).where(f"nth <= {heads_each}").drop("nth")
-        heads = stored(heads, "simhash-heads")
-        found = stored(alike(head_pairs(live, heads, similarity), nodes, similarity), "simhash-alike")
+        heads = stored(live.withColumn("nth", F.row_number().over(order)).where(f"nth <= {heads_each}").drop("nth"), "simhash-heads")
+        found = stored(head_pairs(live, heads, similarity), "simhash-alike")
         if not found.isEmpty():
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = components(found.unionByName(known), "simhash-near")
+            known, before = roots.select(F.col("node").alias("a"), F.col("root").alias("b")), roots
+            roots = components(found.unionByName(known), "simhash-near", tidy=True)
+            discard(before)
         rows = live.drop("root").join(heads.select("h", "k"), ["h", "k"], "left_anti")
-        heads_each *= 4
+        spent, heads_each = [live, heads, found], heads_each * 16
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -421,8 +454,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     ``similarity`` alike (Jaccard), and one kept row of each.
 
     Candidates come from a prefix filter, which misses no pair: shingles have one order, rare ones first, and two sets that are alike share
-    one of the first fifth of their shingles. The members of a shingle's bucket are compared in rounds until all pairs
-    have been, or are known to be in one group.
+    one of the first fifth of their shingles, the first common one early enough to leave room for all that they must share. The members of a
+    shingle's bucket are compared in rounds until all pairs have been, or are known to be in one group.
     Each candidate is verified by 1024 SimHash bits over the shingles, whose distance gives the angle between the sets, hence
     the similarity, to about 0.02. Texts with equal words are one node. ``digest`` is the text's MD5.
 

@@ -183,3 +183,44 @@ def test_members_that_no_head_is_like_are_still_compared(spark, monkeypatch):
     rows = {r.doc_id: r for r in S.near_duplicates(frame(spark, texts)).collect()}
     assert all(rows[i].component == rows[i + 20].component for i in range(20))
     assert len({r.component for r in rows.values()}) == 20
+
+
+def test_places_lose_no_alike_pair(spark):
+    rng, rows = np.random.default_rng(6), []
+    for i in range(400):
+        s = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 60))).astype(np.uint64))
+        t = np.unique(np.append(s[rng.random(len(s)) < 0.92], rng.integers(0, 1 << 62, int(rng.integers(0, 7))).astype(np.uint64)))
+        if not len(t) or len(np.intersect1d(s, t)) / len(np.union1d(s, t)) < 0.8:
+            continue
+        common = np.sort(rng.choice(s, len(s) // 2, replace=False)), rng.integers(4, 9, len(s) // 2)
+        a, b = S.prefix(s, 0.8, common).tolist(), S.prefix(t, 0.8, common).tolist()
+        rows += [(i, len(s), a.index(h), len(t), b.index(h)) for h in set(a) & set(b)]
+    df = spark.createDataFrame(rows, "i long, size long, pos long, hs long, hp long")
+    assert len({r[0] for r in rows}) > 100
+    assert df.where(S.may_be_alike(0.8)).select("i").distinct().count() == len({r[0] for r in rows})
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rng, texts = random.Random(21), []
+    for g, base in enumerate(varied(8, 160, seed=20)):
+        for i in range(25):  # groups larger than FEW; members nearly equal or far off
+            w = base.split()
+            for p in rng.sample(range(160), (1, 1, 12)[i % 3] if g % 2 else 1):
+                w[p] = f"new{g}x{i}x{p}"
+            texts.append(" ".join(w))
+    rows = {r.doc_id: r.component for r in S.near_duplicates(frame(spark, texts)).collect()}
+    roots = list(range(len(texts)))
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    near = {(a, b): jaccard(texts[a], texts[b]) for a in range(len(texts)) for b in range(a)}
+    assert not [j for j in near.values() if 0.76 < j < 0.83]  # what 1024 bits cannot tell
+    for (a, b), j in near.items():
+        if j >= 0.8:
+            roots[max(root(a), root(b))] = min(root(a), root(b))
+    want = [root(i) for i in range(len(texts))]
+    assert len(set(want)) > 8
+    assert len({(w, rows[i]) for i, w in enumerate(want)}) == len(set(want)) == len(set(rows.values()))
