@@ -170,6 +170,16 @@ def test_range_of_days_from_stored_months(spark, tmp_path, start, end):
     assert plan.count("PartitionFilters: [isnotnull(month") >= 2 or "LocalTableScan" in plan
 
 
+def test_stored_balances_do_not_grow_with_the_calendar(spark):
+    """Two changes ten years apart: quiet months add no row, and the open year is not summed."""
+    rows_ = [("p", "s", date(2016, 5, 3), 4, date(2016, 5, 1)), ("p", "s", date(2026, 2, 2), -1, date(2026, 2, 1))]
+    changes = spark.createDataFrame(rows_, "product_key string, store_key string, date_day date, net_movement long, month date")
+    openings = facts.opening_balances(changes)
+    assert rows(openings, "month") == [("p", "s", 4, date(2017, 1, 1))]
+    got = facts.snapshot_range(changes, openings, date(2026, 1, 31), date(2026, 2, 2))
+    assert [r.stock_on_hand for r in got.orderBy("date_day").collect()] == [4, 4, 3]
+
+
 def test_last_change_is_the_sum_of_movements(spark):
     moves = spark.createDataFrame(MOVES, "product_key string, store_key string, d string, quantity int")
     moves = moves.withColumn("date_day", F.col("d").cast("date")).drop("d")
