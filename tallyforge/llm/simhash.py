@@ -404,6 +404,19 @@ def few_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def fingerprint_pairs(nodes: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
+    """(a, b): alike pairs found through their fingerprints, the first words of their codes: nodes of one fingerprint with the smallest of these, and
+    the smallest of fingerprints that ``links`` finds within ``radius`` bits. Codes verify each pair; a row per node and link."""
+    prints = nodes.select(F.col("code")[0].alias("fp"), "k", "code")
+    least = stored(prints.groupBy("fp").agg(F.min(F.struct("k", "code")).alias("m")).select("fp", F.col("m.k").alias("hk"), F.col("m.code").alias("hc")), "simhash-least")
+    near = links(least.select(F.lit(0).alias("grp"), "fp"), radius).select("a", "b")
+    met = near.join(least.select(F.col("fp").alias("b"), "hk", "hc"), "b")
+    met = met.join(least.select(F.col("fp").alias("a"), F.col("hk").alias("k"), F.col("hc").alias("code")), "a")
+    same = prints.join(least, "fp").where("k <> hk")
+    both = same.select("k", "code", "hk", "hc").unionByName(met.select("k", "code", "hk", "hc"))
+    return both.where(apart("code", "hc") <= most_apart(similarity)).select(F.col("k").alias("a"), F.col("hk").alias("b"))
+
+
 def head_pairs(rows: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """(a, b): alike pairs of a head and another member of its bucket with another root. Codes are compared within the join, which lets only
     alike pairs out; a bucket is joined in slices of about ``SLICE`` members, each with a copy of the heads."""
@@ -421,12 +434,14 @@ def head_pairs(rows: DataFrame, heads: DataFrame, similarity: float) -> DataFram
 def similar_roots(nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, root): components of nodes that are alike.
 
-    Buckets of few members are compared pair by pair. In larger ones, each round some members, sixteen times as many as before, are the
+    Pairs within two bits of a fingerprint come first, by the pigeonhole principle; the prefix filter finds all others. Its
+    buckets of few members are compared pair by pair. In larger ones, each round some members, sixteen times as many as before, are the
     heads and meet all others. Members known to be of one component are not compared; a bucket is done when all members that
     have not been heads are of one component. What a round wrote is deleted after the next.
     """
     buckets, heads_each = bucket_rows(nodes), 1
-    found = stored(few_pairs(buckets.where(F.col("n") <= FEW), nodes, similarity), "simhash-alike")
+    few = few_pairs(buckets.where(F.col("n") <= FEW), nodes, similarity)
+    found = stored(fingerprint_pairs(nodes, similarity).unionByName(few), "simhash-alike")
     roots = components(found, "simhash-near", tidy=True)
     rows = stored(buckets.where(F.col("n") > FEW).join(nodes.select("k", "code"), "k"), "simhash-large")
     discard(buckets, found)
@@ -453,7 +468,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     """(doc_id, digest, component, kept): groups of texts whose ``size``-word shingle sets are at least
     ``similarity`` alike (Jaccard), and one kept row of each.
 
-    Candidates come from a prefix filter, which misses no pair: shingles have one order, rare ones first, and two sets that are alike share
+    Candidates come from fingerprints of 64 bits within a radius of 2, found as in ``links``, and, for pairs whose fingerprints are farther
+    apart, from a prefix filter, which misses no pair: shingles have one order, rare ones first, and two sets that are alike share
     one of the first fifth of their shingles, the first common one early enough to leave room for all that they must share. The members of a
     shingle's bucket are compared in rounds until all pairs have been, or are known to be in one group.
     Each candidate is verified by 1024 SimHash bits over the shingles, whose distance gives the angle between the sets, hence

@@ -185,6 +185,16 @@ def test_members_that_no_head_is_like_are_still_compared(spark, monkeypatch):
     assert len({r.component for r in rows.values()}) == 20
 
 
+def test_fingerprints_alone_find_the_nearest_copies(spark, monkeypatch):
+    """The pigeonhole search over fingerprints is a step of its own: without any shared prefix shingle it still finds copies with a new last word."""
+    monkeypatch.setattr(S, "prefix", lambda s, similarity, common: s[:0])
+    texts = varied(20, 2000, seed=14)
+    texts += [" ".join([*t.split()[:-1], "changed"]) for t in texts]
+    rows = {r.doc_id: r for r in S.near_duplicates(frame(spark, texts)).collect()}
+    assert sum(rows[i].component == rows[i + 20].component for i in range(20)) >= 10
+    assert len({rows[i].component for i in range(20)}) == 20
+
+
 def test_places_lose_no_alike_pair(spark):
     rng, rows = np.random.default_rng(6), []
     for i in range(400):
