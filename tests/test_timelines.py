@@ -107,6 +107,19 @@ def test_point_in_time_join_matches_brute_force(spark, gap, minutes):
     assert sorted(rows(interval_join(fact, dim, **kw).select("id", "version")), key=str) == got
 
 
+def test_point_in_time_join_moves_facts_and_versions_only(spark):
+    """Facts meet versions in one shuffle each, whatever the number of hours they touch; keys differ in their chunks."""
+    rnd = random.Random(6)
+    sold = [(i, f"K{i % 7}", START + timedelta(hours=rnd.randrange(30000))) for i in range(600)]
+    changed = [(i, "K0" if i < 150 else f"K{i % 6}", START + timedelta(hours=rnd.randrange(25000))) for i in range(200)]
+    dim = versions(spark, changed, gap_seconds=0).select(F.col("id").alias("version"), "k", "valid_from", "valid_to").cache()
+    joined = pit_join(spark.createDataFrame(sold, SCHEMA), dim, key="k", ts="t", take={"v": "version"})
+    spans = dim.collect()
+    want = {i: next((s.version for s in spans if s.k == k and s.valid_from <= t < s.valid_to), None) for i, k, t in sold}
+    assert dict(rows(joined.select("id", "v"))) == want
+    assert "Window" not in joined._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+
+
 def test_boundaries_of_a_version(spark):
     dim = versions(spark, [(1, "a", ts("2026-01-01 10:00:00")), (2, "a", ts("2026-01-05 10:00:00"))])
     dim = dim.withColumnRenamed("id", "version")
