@@ -1,11 +1,13 @@
 """Streams give the batch result however the input is cut into micro-batches."""
 
 import json
+from pathlib import Path
 
 import pytest
 from helpers import as_of, rows
 from pyspark.sql import functions as F
 
+from tallyforge.checks import queries
 from tallyforge.contracts import CONTRACTS
 from tallyforge.operators.bronze import ENVELOPE, SOURCES
 from tallyforge.operators.latest import apply_changes
@@ -203,3 +205,23 @@ def test_change_stream_equals_one_batch(spark, tmp_path, files):
     stored = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
     streamed = ingest.current_state(base, stored, ["id"], ["seq"])
     assert rows(streamed, "id") == rows(apply_changes(base, changes, ["id"], ["seq"]), "id")
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path):
+    """Bronze left by a join with many partitions is still one batch of silver as long as it is small."""
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = queries._streamed(queries.Retail(spark, "/root/testdata/sf0.001"), base=str(tmp_path))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list((tmp_path / "bronze").glob("*.parquet"))) > 8
+    assert len(list(Path(path).glob("batch_id=*"))) == 1
+
+
+def test_deliveries_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    queries.stream_dedup(queries.Retail(spark, "/root/testdata/sf0.001"))
+    assert len(list((tmp_path / "stream-dedup" / "in").glob("*.parquet"))) > 3
