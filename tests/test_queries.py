@@ -47,3 +47,8 @@ def test_runs_without_sql(spark, name):
 
 def test_entry(spark):
     assert entry(spark).columns == ["channel_name", "month", "revenue", "gross_margin", "lines"]
+
+
+def test_audit_upsert_parses_each_bronze_table_once(spark):
+    df = QUERIES["audit_upsert"](spark, SF_DIR)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
