@@ -44,10 +44,15 @@ INSULTS = (
     "scum", "stupid", "trash", "vermin", "worthless",
 )
 DISGUISES = str.maketrans("013457@$!", "oieastasi")
+INSULT_SET = frozenset(INSULTS)
+YOU = frozenset(("you", "your", "you're", "u"))
+WATCHED = INSULT_SET | YOU
 WORDS = re.compile(r"\w+")
 STYLE = 4
-#: words whose beginnings a task remembers
-REMEMBERED = 200_000
+#: beginnings that a task counts before it passes them on
+HELD = 100_000
+#: texts that are read together
+TOGETHER = 1024
 
 
 @dataclass
@@ -82,49 +87,40 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def support_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beginnings with the labelled documents that hold them, counted for each few documents and added up later, so a task holds
+    about ``HELD`` beginnings however many rows and words it gets."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     total = [0, 0]
+
+    def flush() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array([*names, ""], pa.string()), *(pa.array([*map(counts[y].__getitem__, names), total[y]], pa.int64()) for y in (1, 0))]
+        for y in (0, 1):
+            counts[y].clear()
+            total[y] = 0
+        return pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
+
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            total[toxic] += 1
-            counts[toxic].update({b for w in set(words_in(text)) for b in beginnings(w)})
-    names = list(counts[0].keys() | counts[1].keys())
-    rows = [(n, counts[1][n], counts[0][n]) for n in names] + [("", total[1], total[0])]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["feature", "toxic", "clean"])
+        for i in range(0, len(batch), 64):
+            part = batch.slice(i, 64)
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                total[toxic] += 1
+                counts[toxic].update({b for w in set(words_in(text)) for b in beginnings(w)})
+                if len(counts[0]) + len(counts[1]) > HELD:
+                    yield flush()
+    yield flush()
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], features: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Of each labelled row the features and their counts, the fixed votes and the style numbers."""
     for batch in batches:
-        ids, counts, rest = [], [], []
-        for text in batch.column("text").to_pylist():
-            c = Counter(features[b] for w in words_in(text) for b in beginnings(w) if b in features)
-            ids.append(list(c))
-            counts.append(list(c.values()))
-            rest.append([float(x) for x in (*fixed_votes(text), *style(text))])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.float64()))],
-            ["toxic", "ids", "counts", "rest"],
-        )
-
-
-def fixed_votes(text: str) -> list[bool]:
-    """Votes of the voters that are not mined."""
-    low = text.lower()
-    words = low.split()
-    plain = any(w in low for w in INSULTS) and any(w in INSULT_SET for w in WORDS.findall(low))
-    hidden = any(w.translate(DISGUISES) in INSULT_SET for w in words if w.isascii() and not w.isalpha())
-    upper = sum(map(str.isupper, text.split()))
-    return [plain, hidden, upper * 2 > len(words), text.count("!!") * 20 > len(words) + 20, sum(w in YOU for w in words) * 25 > len(words) + 25]
-
-
-INSULT_SET = frozenset(INSULTS)
-YOU = frozenset(("you", "your", "you're", "u"))
-
-
-def style(text: str) -> list[float]:
-    n = len(text) + 1
-    return [np.log1p(n), text.count("!") / n, text.count("?") / n, len(text.split()) / n]
+        for part in parts_of(batch):
+            counts, fixed, style = read(part.column("text"), features)
+            row, ids = counts.nonzero()
+            ends = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
+            rest = pa.array(np.append(fixed, style, axis=1).tolist(), pa.list_(pa.float64()))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (ids, counts[row, ids].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), *lists, rest], ["toxic", "ids", "counts", "rest"])
 
 
 def chosen_features(support: list, toxic: int, clean: int) -> list[str]:
@@ -184,49 +180,126 @@ def mined_voters(counts: np.ndarray, toxic: np.ndarray, names: list[str]) -> lis
     return voters
 
 
-# --- votes ---
+# --- reading texts ---
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, TOGETHER) for i in range(0, len(batch), TOGETHER))
+
 
+def disguised() -> tuple[frozenset[str], frozenset[str]]:
+    """The signs that a hidden insult may begin and end with."""
+    letters = {chr(k): chr(v) for k, v in DISGUISES.items()}
+    return tuple(frozenset(ends) | {k for k, v in letters.items() if v in ends} for ends in ({w[0] for w in INSULTS}, {w[-1] for w in INSULTS}))
 
-def votes_from(counts: dict[str, int], text: str, voters: list[list[tuple[str, int]]]) -> int:
-    bits = [any(counts.get(n, 0) >= k for n, k in lexicon) for lexicon in voters] + fixed_votes(text)
-    return sum(1 << i for i, b in enumerate(bits) if b)
 
+DISGUISED_FIRST, DISGUISED_LAST = disguised()
 
-class Counted:
-    """Counts of the known beginnings in texts, word by distinct word."""
 
-    def __init__(self, features: dict[str, int]):
-        self.features, self.known = features, {}
+def hides_insult(word: str) -> bool:
+    """A lower-case word that reads as an insult once its signs are taken as letters."""
+    return word[0] in DISGUISED_FIRST and word[-1] in DISGUISED_LAST and word.isascii() and not word.isalpha() and word.translate(DISGUISES) in INSULT_SET
 
-    def __call__(self, texts: pa.Array) -> Iterator[tuple[str, Counter]]:
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for w in words:
-            if w not in self.known:
-                self.known[w] = tuple(b for x in words_in(w) for b in beginnings(x) if b in self.features)
-        useful = np.fromiter((bool(self.known[w]) for w in words), bool, len(words))
-        at = coded.indices.to_numpy()
-        ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        for i, text in enumerate(texts.to_pylist()):
-            own = at[ends[i - 1] if i else 0 : ends[i]]
-            out: Counter = Counter()
-            for w, n in zip(*np.unique(own[useful[own]], return_counts=True)):
-                for b in self.known[words[w]]:
-                    out[b] += int(n)
-            yield text, out
+
+def finder(features: dict[str, int]):
+    """A function that adds the known ones of a run's ``beginnings`` to a list."""
+    start: dict[str, list[tuple[str, int]]] = {}
+    for name, k in features.items():
+        start.setdefault(name[: LENGTHS[0]], []).append((name, k))
+
+    def add(run: str, out: list[int]) -> None:
+        for name, k in start.get(run[: LENGTHS[0]], ()):
+            if run.startswith(name) if len(name) in LENGTHS else name == run[:LONGEST]:
+                out.append(k)
+
+    return frozenset(start), add
+
+
+def read(texts: pa.Array, features: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the counts of the known beginnings, the votes of the voters that are not mined, and style numbers.
+
+    Each distinct word is looked at once; nothing that is looked for holds white space, so a text's numbers are sums over its words.
+    """
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    at, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    ends = pa.array([0, len(coded.dictionary)], pa.int32())
+    # words hold no line break, so one text of them all is taken apart again without a loop
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, coded.dictionary), "\n")[0].as_py()
+    words = joined.split("\n") if len(coded.dictionary) else []
+    lows = joined.lower().split("\n")[: len(words)]
+    upper = np.array(list(map(str.isupper, words)), np.int32)
+    letters = np.array(list(map(str.isalpha, lows)), bool)
+    pieces, you = np.ones(len(words), np.int32), np.zeros(len(words), np.int32)
+    plain, hidden = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    starts, add = finder(features)
+    holder: list[int] = []
+    held: list[int] = []
+
+    def note(i: int, run: str) -> None:
+        add(run, held)
+        holder.extend([i] * (len(held) - len(holder)))
+
+    for i, low in enumerate(lows):
+        if low[: LENGTHS[0]] in starts and letters[i]:
+            note(i, low)
+        if low in WATCHED:
+            plain[i], you[i] = low in INSULT_SET, low in YOU
+    for i in np.flatnonzero(~letters).tolist():
+        for run in WORDS.findall(lows[i]):
+            note(i, run)
+            if run in INSULT_SET:
+                plain[i] = True
+        parts = lows[i].split()
+        if len(parts) != 1:  # white space beyond ASCII
+            pieces[i], you[i] = len(parts), sum(x in YOU for x in parts)
+            upper[i] = sum(map(str.isupper, words[i].split()))
+        if any(map(hides_insult, parts)):
+            hidden[i] = True
+
+    def total(of: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, of[at], minlength=len(texts)).astype(np.int64)
+
+    n_words, n_chars = total(pieces), pc.utf8_length(texts).to_numpy().astype(np.int64) + 1
+    shouts, asks, doubled = (pc.count_substring(texts, x).to_numpy().astype(np.int64) for x in ("!", "?", "!!"))
+    fixed = np.stack(
+        [total(plain) > 0, total(hidden) > 0, total(upper) * 2 > n_words, doubled * 20 > n_words + 20, total(you) * 25 > n_words + 25], axis=1
+    )
+    style = np.stack([np.log1p(n_chars), shouts / n_chars, asks / n_chars, n_words / n_chars], axis=1)
+
+    # every occurrence of a word counts for all beginnings that it holds
+    order = np.argsort(np.array(holder, np.int64), kind="stable")
+    each = np.bincount(np.array(holder, np.int64), minlength=len(words))
+    first = np.cumsum(each) - each
+    useful = each[at] > 0
+    own, times = at[useful], each[at[useful]]
+    ends = np.cumsum(times)
+    source = np.arange(int(times.sum())) + np.repeat(first[own] - (ends - times), times)
+    cells = np.repeat(owner[useful] * len(features), times) + np.array(held, np.int64)[order][source]
+    counts = np.bincount(cells, minlength=len(texts) * len(features)).reshape(len(texts), len(features)).astype(np.float32)
+    return counts, fixed, style
+
+
+# --- votes ---
+
+
+def mined_votes(counts: np.ndarray, features: dict[str, int], voters: list[list[tuple[str, int]]]) -> np.ndarray:
+    none = np.zeros(len(counts), bool)
+    return np.stack([np.any([counts[:, features[b]] >= k for b, k in lexicon], axis=0) if lexicon else none for lexicon in voters], axis=1)
 
 
 def vote_batches(batches: Iterator[pa.RecordBatch], voters: list[list[tuple[str, int]]]) -> Iterator[pa.RecordBatch]:
-    counted = Counted({n: 0 for lexicon in voters for n, _ in lexicon})
-    seen: Counter = Counter()
+    names = dict.fromkeys(n for lexicon in voters for n, _ in lexicon)
+    features = {n: i for i, n in enumerate(names)}
+    seen = np.zeros(1 << VOTERS, np.int64)
     for batch in batches:
-        for i in range(0, len(batch), 1024):
-            seen.update(votes_from(c, t, voters) for t, c in counted(batch.column("text").slice(i, 1024)))
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
+        for part in parts_of(batch):
+            counts, fixed, _ = read(part.column("text"), features)
+            codes = np.append(mined_votes(counts, features, voters), fixed, axis=1) @ (1 << np.arange(VOTERS))
+            seen += np.bincount(codes, minlength=1 << VOTERS)
+    votes = np.flatnonzero(seen)
+    if len(votes):
+        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int32()), pa.array(seen[votes])], ["votes", "n"])
 
 
 # --- the label model ---
@@ -326,8 +399,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = sample.column("toxic").to_numpy()
     rest = np.array(sample.column("rest").to_pylist(), np.float32).reshape(n, VOTERS - MINED_VOTERS + STYLE)
     voters = mined_voters(counts, toxic, names) if min(totals) else [[] for _ in range(MINED_VOTERS)]
-    mined = np.stack([np.any([counts[:, features[b]] >= k for b, k in lexicon], axis=0) if lexicon else np.zeros(n, bool) for lexicon in voters], axis=1)
-    bits = np.append(mined, rest[:, :-STYLE] > 0, axis=1)
+    bits = np.append(mined_votes(counts, features, voters), rest[:, :-STYLE] > 0, axis=1)
     codes = bits @ (1 << np.arange(VOTERS))
     texts = docs.select(whole_text().alias("text"))
     everywhere = texts.mapInArrow(lambda it: vote_batches(it, voters), "votes int, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
@@ -346,23 +418,17 @@ def classifier_input(counts: np.ndarray, bits: np.ndarray, shape: np.ndarray) ->
     return np.concatenate([np.log1p(counts), bits, shape], axis=1, dtype=np.float32)
 
 
-def scores_of(texts: pa.Array, model: Model, counted: Counted) -> np.ndarray:
-    counts = np.zeros((len(texts), len(model.features)), np.float32)
-    bits = np.zeros((len(texts), VOTERS), np.float32)
-    shape = np.zeros((len(texts), STYLE), np.float32)
-    for i, (text, c) in enumerate(counted(texts)):
-        counts[i, [model.features[b] for b in c]] = list(c.values())
-        bits[i] = votes_from(c, text, model.voters) >> np.arange(VOTERS) & 1
-        shape[i] = style(text)
-    x = (classifier_input(counts, bits, shape) - model.scale[0]) / model.scale[1]
+def scores_of(texts: pa.Array, model: Model) -> np.ndarray:
+    counts, fixed, style = read(texts, model.features)
+    bits = np.append(mined_votes(counts, model.features, model.voters), fixed, axis=1)
+    x = (classifier_input(counts, bits, style.astype(np.float32)) - model.scale[0]) / model.scale[1]
     return sigmoid((x @ model.weights[:-1] + model.weights[-1]).astype(np.float64))
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    counted = Counted(model.features)
     for batch in batches:
-        parts = [scores_of(batch.column("text").slice(i, 1024), model, counted) for i in range(0, len(batch), 1024)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts) if parts else [], pa.float64())], ["doc_id", "score"])
+        for part in parts_of(batch):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores_of(part.column("text"), model))], ["doc_id", "score"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -374,12 +440,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    counted = Counted(model.features)
     for batch in batches:
-        for i in range(0, len(batch), 1024):
-            part = batch.slice(i, 1024)
+        for part in parts_of(batch):
             texts = pc.fill_null(part.column("text").cast(pa.string()), "")
-            yield part.filter(pa.array(scores_of(texts, model, counted) < 0.5))
+            yield part.filter(pa.array(scores_of(texts, model) < 0.5))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyforge.llm import toxicity as T
@@ -77,3 +78,35 @@ def test_odd_tables(spark):
     assert T.without_toxic(docs, model).columns == docs.columns
     assert T.scored(docs.limit(0), model).count() == 0
     assert T.without_toxic(docs.limit(0), T.train(docs.limit(0), none)).count() == 0
+
+
+def test_reading_word_by_word_agrees_with_reading_texts_whole():
+    odd = ["", " ", "You IDIOT!! you're a l0ser, U m0r0n", "\u039f\u0394\u039f\u03a3 \u0130stanbul STRASSE_x", "a\u00a0b YOU\u2003ARE\u00a0YOU scum.", "x\x1cy 1d10t idi0t!"]
+    odd += ["zurk" * 9 + " zurk zu z? ?!", "\u00e9t\u00e9 " * 30 + "tra$h", "!!!! !! !", "you u " * 9]
+    names = ["zurk", "zu", "z", "id", "idi", "idiot", "zurkzurkz", "zurk" * 6, "\u00e9t\u00e9", "str", "\u03bf\u03b4\u03bf", "los"]
+    features = {n: i for i, n in enumerate(names)}
+    counts, fixed, style = T.read(pa.array(odd), features)
+    for text, c, votes, numbers in zip(odd, counts, fixed.tolist(), style.tolist()):
+        low, n = text.lower(), len(text) + 1
+        words = low.split()
+        found = [b for w in T.words_in(text) for b in T.beginnings(w)]
+        assert c.tolist() == [found.count(x) for x in names]
+        hidden = any(w.translate(T.DISGUISES) in T.INSULT_SET for w in words if w.isascii() and not w.isalpha())
+        upper, you = sum(w.isupper() for w in text.split()), sum(w in T.YOU for w in words)
+        doubled = text.count("!!") * 20 > len(words) + 20
+        assert votes == [any(w in T.INSULT_SET for w in T.words_in(text)), hidden, upper * 2 > len(words), doubled, you * 25 > len(words) + 25]
+        assert np.allclose(numbers, [np.log1p(n), text.count("!") / n, text.count("?") / n, len(words) / n])
+    assert T.read(pa.array([], pa.string()), features)[0].shape == (0, len(names))
+    assert T.read(pa.array(odd), {})[0].shape == (len(odd), 0)
+
+
+def test_a_task_holds_a_bounded_number_of_beginnings(monkeypatch):
+    monkeypatch.setattr(T, "HELD", 50)
+    rows = [(f"word{i} other{i % 7} same", i % 2) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["text", "toxic"])
+    made = list(T.support_batches(iter([batch])))
+    assert len(made) > 1 and max(map(len, made)) <= 50 + 3 * 7 + 1
+    sums = pa.Table.from_batches(made).group_by("feature").aggregate([("toxic", "sum"), ("clean", "sum")]).to_pylist()
+    got = {r["feature"]: (r["toxic_sum"], r["clean_sum"]) for r in sums}
+    assert got[""] == got["same"] == got["word"] == (100, 100)
+    assert got["word199"] == (1, 0) and got["other6"] == (14, 14)
