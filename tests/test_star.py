@@ -84,6 +84,45 @@ def test_sales_line(spark):
         assert r.gross_margin == r.net_sales - r.total_cost
 
 
+def test_sales_line_without_dimensions_keeps_lines_and_measures(spark):
+    data = [
+        sale("a", "C1", "2026-01-15 12:00:00", qty=3, price="10.00", discount="2.00"),
+        sale("b", "C1", "2026-02-15 12:00:00", qty=3, price=None, discount="2.00"),
+        sale("c", None, "2026-02-15 12:00:00", store=None, product="P9"),
+        sale("c", None, "2026-02-15 12:00:00", store=None, product=None),
+    ]
+    tx = staging.stg_transactions(spark.createDataFrame(data, TX))
+    whole = facts.fact_sales_line(tx, customers(spark), products(spark), stores(spark))
+    costed = facts.fact_sales_line(tx, None, products(spark), None)
+    assert set(whole.columns) - set(costed.columns) == {"customer_key", "store_key"}
+    order = ["transaction_line_id", "total_cost", "product_key"]
+    assert rows(costed, *order) == rows(whole.select(*costed.columns), *order)
+    plain = facts.fact_sales_line(tx, None, None, None)
+    assert set(costed.columns) - set(plain.columns) == {"product_key", "total_cost", "gross_margin"}
+    order = ["transaction_line_id", "net_sales"]
+    assert rows(plain, *order) == rows(whole.select(*plain.columns), *order)
+
+
+def test_measures_by_day_and_channel_join_no_unused_dimension(spark):
+    from tallyforge.checks.queries import QUERIES
+
+    def versions_read(name):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        return {d for d in ("dim_customer-", "dim_product-", "dim_store-") if d in plan}
+
+    assert versions_read("pit_join_revenue") == versions_read("bi_measures") == {"dim_product-"}
+    assert versions_read("revenue_by_channel") == set()
+
+
+def test_customer_versions_do_not_depend_on_attributes(spark):
+    data = [("C1", n, t) for n, t in [("b", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:00:00"), ("c", "2026-02-01 00:00:00"), ("d", None)]]
+    df = spark.createDataFrame(data, "customer_id string, first_name string, t string")
+    stg = df.select("customer_id", "first_name", F.col("t").cast("timestamp_ntz").alias("updated_at"))
+    read = ["customer_id", F.col("valid_from").cast("string"), F.col("valid_to").cast("string")]
+    whole, narrow = (sorted(map(str, dims.dim_customer(x).select(*read).collect())) for x in (stg, stg.drop("first_name")))
+    assert whole == narrow and len(whole) == 4
+
+
 def test_campaign_versions(spark):
     data = [("c", "n", "EMAIL", "2026-01-01"), ("c", "n", "EMAIL", "2026-01-01"), ("c", "n", "EMAIL", "2026-01-05")]
     stg = spark.createDataFrame(data, "campaign_id string, campaign_name string, channel string, d string")
