@@ -1,5 +1,6 @@
 """Dimensions and facts on literal rows."""
 
+import os
 from datetime import date, timedelta
 
 import pytest
@@ -114,6 +115,24 @@ def test_measures_by_day_and_channel_join_no_unused_dimension(spark):
     assert versions_read("revenue_by_channel") == set()
 
 
+def test_stored_bronze_takes_less_room_than_the_default(spark, tmp_path):
+    from urllib.parse import urlparse
+
+    from tallyforge.checks.adapters import Retail
+    from tallyforge.checks.queries import bronze_transactions
+
+    r = Retail(spark, "/root/testdata/sf0.001")
+    stored = r.stored("bronze", lambda: bronze_transactions(r))
+    plain = str(tmp_path / "plain")
+    bronze_transactions(r).write.parquet(plain)
+
+    def size(df):
+        return sum(os.path.getsize(urlparse(f).path) for f in df.inputFiles())
+
+    assert size(stored) < 0.7 * size(spark.read.parquet(plain))
+    assert stored.exceptAll(bronze_transactions(r)).count() == 0 and stored.count() == r.table("lineitem").count()
+
+
 def test_customer_versions_do_not_depend_on_attributes(spark):
     data = [("C1", n, t) for n, t in [("b", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:00:00"), ("c", "2026-02-01 00:00:00"), ("d", None)]]
     df = spark.createDataFrame(data, "customer_id string, first_name string, t string")
