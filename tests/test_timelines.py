@@ -45,6 +45,17 @@ def test_neighbours_match_a_plain_scan(spark, step, minutes):
     assert all(got[i] is None for i, k, _ in data if k is None)
 
 
+@pytest.mark.parametrize("step", [1, -1])
+@pytest.mark.parametrize("whole", [1, 60, 1000])
+def test_keys_of_few_rows_are_one_chunk(spark, step, whole):
+    """The same neighbours whichever keys are cut into hours; only those that are have a summary."""
+    data = [*feed(1, 400, keys=20, minutes=400000), (900, "K3", None), (901, "K0", None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    how = {"step": step, "ties": ["id"]}
+    want = rows(neighbour_time(df, "k", "t", "n", **how), "id")
+    assert rows(neighbour_time(df, "k", "t", "n", whole=whole, **how), "id") == want
+
+
 def test_missing_times_come_last(spark):
     data = [(1, "a", ts("2026-01-01 00:00:00")), (2, "a", None)]
     got = dict(rows(neighbour_time(spark.createDataFrame(data, SCHEMA), "k", "t", "n").select("id", "n")))
