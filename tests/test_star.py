@@ -252,6 +252,28 @@ def test_returns_fan_out_per_line(spark):
     assert rows(got, "customer_id") == [("R1", "C1"), ("R1", "C1"), ("R1", "C2")]
 
 
+def test_copies_of_a_return_do_not_travel(spark):
+    """One row per return and customer is resolved; the copies are laid out behind the join, also of very many lines."""
+    columns = "transaction_line_id string, transaction_id string, customer_id string, transaction_timestamp timestamp_ntz"
+    lines = [("1", "T1", "C1", ts("2026-01-15")), ("2", "T1", "C1", ts("2026-01-16")), ("3", "T1", None, ts("2026-01-16"))]
+    lines += [(str(i), "T2", "C9", ts("2026-01-17")) for i in range(10, 2511)]
+    tx = spark.createDataFrame(lines, columns)
+    schema = "return_id string, transaction_id string, return_timestamp timestamp_ntz"
+    back = spark.createDataFrame([("R1", "T1", ts("2026-02-15")), ("R2", "T2", ts("2026-02-16")), ("R3", "T3", ts("2026-02-16"))], schema)
+    counted = facts.counted_returns(back, tx).select("return_id", "customer_id", "times")
+    assert rows(counted, "return_id") == [("R1", "C1", 2), ("R2", "C9", 2501)]
+    got = facts.fact_customer_activity(tx, back, None, customers(spark))
+    of = got.groupBy("activity_type", "activity_details", "customer_key").count()
+    unknown, first, second = md5(spark, "CUST-UNKNOWN"), md5(spark, "C1_2026-01-01 00:00:00"), md5(spark, "C1_2026-02-01 00:00:00")
+    assert rows(of, "activity_type", "activity_details") == [
+        ("PURCHASE", "Completed a transaction: T1", first, 2),
+        ("PURCHASE", "Completed a transaction: T2", unknown, 2501),
+        ("RETURN", "Returned product in transaction: T1", second, 2),
+        ("RETURN", "Returned product in transaction: T2", unknown, 2501),
+    ]
+    assert got.columns == ["activity_key", "customer_key", "activity_timestamp", "date_day", "activity_type", "activity_details"]
+
+
 def test_staging_views(spark):
     df = spark.createDataFrame([("S1", "Main", "X", "NY", "US")], "id string, name string, city string, state string, country string")
     staging.register_staging({"stores": df})
