@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,12 @@ class Words:
 
 
 def ending_class(word: str) -> int:
-    return OWN + zlib.crc32(word[-2:].encode()) % ENDINGS
+    return class_of_ending(word[-2:])
+
+
+@lru_cache(1 << 16)
+def class_of_ending(letters: str) -> int:
+    return OWN + zlib.crc32(letters.encode()) % ENDINGS
 
 
 def word_class() -> Column:
@@ -142,25 +148,39 @@ def word_statistics(texts: DataFrame) -> Words:
     return Words(own | share, (-np.log(np.maximum(total, 0) + 1)).tolist(), counts)
 
 
+def placed(at: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words with edges around each text, and where the words are."""
+    places = np.arange(len(at)) + np.repeat((np.arange(len(sizes)) + 1) * WINDOW, sizes)
+    ids = np.full(len(at) + (len(sizes) + 1) * WINDOW, EDGE, np.uint8)
+    ids[places] = classes[at] if len(at) else 0
+    return ids, places
+
+
+def coded_classes(texts: pa.StringArray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """``placed`` for all texts: what training needs."""
+    coded, sizes = split_words(texts)
+    vocabulary = coded.dictionary.to_pylist()
+    classes = np.array([f[0] if f else class_of_ending(w[-2:]) for w, f in zip(vocabulary, map(words.known.get, vocabulary))], np.uint8)
+    return placed(coded.indices.to_numpy(), sizes, classes)
+
+
 def coded_texts(texts: pa.StringArray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
-    """Classes of all words with edges around each text, where the words are, and their log shares of their classes, 0 for words
+    """``placed`` for all texts, and the words' log shares of their classes, 0 for words
     that are not frequent; these are listed for each text with their counts."""
     coded, sizes = split_words(texts)
     vocabulary = coded.dictionary.to_pylist()
-    found = [words.lookup(w) for w in vocabulary]
-    frequent = np.array([w in words.known for w in vocabulary], bool)
-    classes, shares = np.array([f[0] for f in found], np.uint8), np.where(frequent, [f[1] for f in found], 0.0)
+    found = list(map(words.known.get, vocabulary))
+    frequent = np.array([f is not None for f in found], bool)
+    classes = np.array([f[0] if f else class_of_ending(w[-2:]) for w, f in zip(vocabulary, found)], np.uint8)
+    shares = np.array([f[1] if f else 0.0 for f in found], np.float64)
     at = coded.indices.to_numpy()
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    other = ~frequent[at] if len(at) else np.zeros(0, bool)
-    pairs, times = np.unique(owner[other].astype(np.int64) * max(len(vocabulary), 1) + at[other], return_counts=True)
+    other = np.flatnonzero(~frequent[at]) if len(at) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[other]
+    pairs, times = np.unique(owner.astype(np.int64) * max(len(vocabulary), 1) + at[other], return_counts=True)
     text, word = np.divmod(pairs, max(len(vocabulary), 1))
     items = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "times"])
     others = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32()), items)
-    places = np.arange(len(at)) + np.repeat((np.arange(len(sizes)) + 1) * WINDOW, sizes)
-    ids = np.full(len(at) + (len(sizes) + 1) * WINDOW, EDGE, np.uint8)
-    ids[places] = classes[at] if len(at) else 0
-    return ids, places, shares[at] if len(at) else np.zeros(0), others
+    return *placed(at, sizes, classes), shares[at] if len(at) else np.zeros(0), others
 
 
 # --- the network ---
@@ -236,7 +256,7 @@ def trained_batches(batches: Iterator[pa.RecordBatch], words: Words, start: np.n
     flat, own, n, rng = start.copy(), squares.copy(), 0, np.random.default_rng(1)
     for batch in batches:
         for i in range(0, len(batch), TOGETHER):
-            ids, places, *_ = coded_texts(batch.column("text").slice(i, TOGETHER), words)
+            ids, places = coded_classes(batch.column("text").slice(i, TOGETHER), words)
             places = rng.permutation(places)
             for j in range(0, len(places), BATCH):
                 step(flat, own, ids, places[j : j + BATCH])

@@ -107,3 +107,16 @@ def test_words_beyond_the_frequent_ones_keep_their_counts(spark, monkeypatch):
     share = {r.word: r.share for r in words.shares(words.counts.select("word")).collect() if P.ending_class(r.word) == ends and r.word not in words.known}
     known = [s for k, s in words.known.values() if k == ends]
     assert abs(sum(map(np.exp, [*share.values(), *known, words.unseen[ends]])) - 1) < 1e-9
+
+
+def test_training_looks_up_classes_alone():
+    """The same classes and places as scoring has, without the lists of other words and their counts."""
+    texts = pa.array(["the noun1ka Café the x", "", None, "rare 世界 the"]).fill_null("")
+    words = P.Words({"the": (0, 0.0), "noun1ka": (P.ending_class("noun1ka"), -1.5)}, [-2.0] * P.CLASSES)
+    ids, places, shares, others = P.coded_texts(texts, words)
+    alone = P.coded_classes(texts, words)
+    assert len(alone) == 2 and (alone[0] == ids).all() and (alone[1] == places).all()
+    flat = "the noun1ka café the x rare 世界 the".split()
+    assert ids[places].tolist() == [words.lookup(w)[0] for w in flat]
+    assert shares.tolist() == [0, -1.5, 0, 0, 0, 0, 0, 0]
+    assert [sorted(o["word"] for o in t) for t in others.to_pylist()] == [["café", "x"], [], [], ["rare", "世界"]]
