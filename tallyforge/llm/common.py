@@ -42,31 +42,29 @@ def components(edges: DataFrame, purpose: str = "components", tidy: bool = False
     """Connected components of undirected edges (a, b): rows (node, root), root being the smallest node reached.
 
     Alternates large-star and small-star rounds, in which every node points its neighbours to the smallest
-    one, until the edges stop changing. A round is two aggregations and joins; no neighbourhood is collected. Self
+    one, until all edges lead straight to a root. A round is two aggregations and joins; no neighbourhood is collected. Self
     loops are ignored; nodes without another edge do not appear. ``tidy`` deletes a round's edges once the next round's are written.
     """
     edges = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose
     )
-    state = edge_state(edges)
-    while True:
+    while not rooted(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")  # no more rows than edges; repeats go at the round's end
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         before, edges = edges, stored(small, purpose)
         if tidy:
             discard(before)
-        after = edge_state(edges)
-        if after == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def edge_state(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set that does not depend on its order."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31)), F.bit_xor(F.xxhash64("b", "a"))).first()
-    return tuple(row)
+def rooted(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b) lead from each node to one other at most, from which none leads on. Another round would leave them as
+    they are."""
+    ends = F.array(*(F.struct(F.col(c).alias("node"), F.lit(int(c == "a")).alias("out"), F.lit(int(c == "b")).alias("met")) for c in "ab"))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.max("met").alias("met"))
+    return nodes.where("out + met > 1 AND out > 0").agg(F.count("*")).first()[0] == 0

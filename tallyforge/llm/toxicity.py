@@ -150,13 +150,14 @@ def chosen_features(support: list, toxic: int, clean: int) -> list[str]:
 def mined_voters(counts: np.ndarray, toxic: np.ndarray, names: list[str]) -> list[list[tuple[str, int]]]:
     """Lexicons of (beginning, least count): each next entry covers most uncovered toxic rows against clean ones; entries are dealt
     to the voters in turn."""
-    entries, rates = [], []
-    for level in (1, 2, 3, 5):
-        hit = counts >= level
-        entries += [(n, level) for n in range(len(names))]
-        rates.append((hit[toxic == 1], hit[toxic == 0].sum(0)))
-    clean = np.concatenate([r[1] for r in rates])
-    covered = np.concatenate([r[0] for r in rates], axis=1)
+    levels = (1, 2, 3, 5)
+    entries = [(n, level) for level in levels for n in range(len(names))]
+    marked = counts[toxic == 1]
+    covered = np.concatenate([marked >= level for level in levels], axis=1)
+    clean = np.zeros(len(entries), np.int64)
+    for i in range(0, len(counts), TOGETHER):
+        part = counts[i : i + TOGETHER][toxic[i : i + TOGETHER] == 0]
+        clean += np.concatenate([(part >= level).sum(0) for level in levels])
     allowed = clean <= 0.15 * covered.sum(0)
     left = np.ones(len(covered), bool)
     voters: list[list[tuple[str, int]]] = [[] for _ in range(MINED_VOTERS)]
@@ -371,8 +372,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fitted(x: np.ndarray, q: np.ndarray, steps: int = 400, decay: float = 1e-4) -> np.ndarray:
-    """Logistic weights for soft labels q, the last one the constant; Adam on the full sample."""
-    x = np.append(x, np.ones((len(x), 1), np.float32), axis=1)
+    """Logistic weights for soft labels q; Adam on the full sample. The last column of x is the constant's, all ones."""
     w, m, v = np.zeros(x.shape[1], np.float32), 0.0, 0.0
     for t in range(1, steps + 1):
         g = x.T @ (sigmoid(x @ w) - q).astype(np.float32) / len(x) + decay * w
@@ -393,9 +393,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     features = {n: i for i, n in enumerate(names)}
     sample = rows.mapInArrow(lambda it: count_batches(it, features), "toxic int, ids array<int>, counts array<int>, rest array<double>").toArrow()
     n = len(sample)
-    counts = np.zeros((n, len(names)), np.float32)
-    for i, (ids, c) in enumerate(zip(sample.column("ids").to_pylist(), sample.column("counts").to_pylist())):
-        counts[i, ids] = c
+    # the only matrix of its size that the driver holds: first counts, then the classifier's input, changed in place
+    x = np.zeros((n, len(names) + VOTERS + STYLE + 1), np.float32)
+    counts = x[:, : len(names)]
+    fill_counts(counts, sample)
     toxic = sample.column("toxic").to_numpy()
     rest = np.array(sample.column("rest").to_pylist(), np.float32).reshape(n, VOTERS - MINED_VOTERS + STYLE)
     voters = mined_voters(counts, toxic, names) if min(totals) else [[] for _ in range(MINED_VOTERS)]
@@ -407,13 +408,35 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     posterior = dict(zip(patterns.astype(int).tolist(), odds.tolist()))
     shift = np.log(right / (1 - right))
     q = sigmoid(np.array([posterior[c] for c in codes.tolist()]) + np.where(toxic == 1, shift, -shift))
-    x = classifier_input(counts, bits, rest[:, -STYLE:])
-    mean, sd = (x.mean(0), x.std(0) + 1e-3) if n else (np.zeros(x.shape[1], np.float32), np.ones(x.shape[1], np.float32))
+    np.log1p(counts, out=counts)
+    x[:, len(names) : len(names) + VOTERS] = bits
+    x[:, len(names) + VOTERS : -1] = rest[:, -STYLE:]
+    x[:, -1] = 1
+    mean, sd = scale_of(x[:, :-1])
     mean[: len(names) + VOTERS] = 0  # an absent word says nothing
-    weights = fitted((x - mean) / sd, q) if n else np.append(np.where(np.arange(x.shape[1]) == len(names) + MINED_VOTERS, 4, 0), -2).astype(np.float32)
+    x[:, :-1] -= mean
+    x[:, :-1] /= sd
+    weights = fitted(x, q) if n else np.where(np.arange(x.shape[1]) == len(names) + MINED_VOTERS, 4, np.where(np.arange(x.shape[1]) == x.shape[1] - 1, -2, 0)).astype(np.float32)
     return Model(features, voters, weights, (mean, sd))
 
 
+def fill_counts(counts: np.ndarray, sample: pa.Table) -> None:
+    """Writes the rows' counts into a matrix of zeros."""
+    done = 0
+    for batch in sample.select(["ids", "counts"]).to_batches(max_chunksize=TOGETHER):
+        row = np.repeat(done + np.arange(len(batch)), pc.list_value_length(batch.column("ids")).to_numpy())
+        counts[row, batch.column("ids").flatten().to_numpy()] = batch.column("counts").flatten().to_numpy()
+        done += len(batch)
+
+
+def scale_of(x: np.ndarray, columns: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of the columns, a few at a time."""
+    if not len(x):
+        return np.zeros(x.shape[1], np.float32), np.ones(x.shape[1], np.float32)
+    parts = [x[:, i : i + columns] for i in range(0, x.shape[1], columns)]
+    return np.concatenate([p.mean(0) for p in parts]), np.concatenate([p.std(0) for p in parts]) + np.float32(1e-3)
+
+
 def classifier_input(counts: np.ndarray, bits: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(counts), bits, shape], axis=1, dtype=np.float32)
 

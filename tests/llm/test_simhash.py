@@ -1,6 +1,7 @@
 """SimHash links against all pairs, and near-duplicates against exact shingle sets."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -234,3 +235,21 @@ def test_groups_are_those_of_all_pairs(spark):
     want = [root(i) for i in range(len(texts))]
     assert len(set(want)) > 8
     assert len({(w, rows[i]) for i, w in enumerate(want)}) == len(set(want)) == len(set(rows.values()))
+
+
+def test_components_of_odd_graphs_and_no_round_once_all_lead_to_roots(spark, tmp_path):
+    rng = random.Random(9)
+    graphs = {
+        "none": [], "loops": [(1, 1)], "star": [(0, i) for i in range(1, 40)], "path": [(i, i + 1) for i in range(33)], "ring": [(i, (i + 1) % 17) for i in range(17)],
+        "any": [(rng.randrange(90), rng.randrange(90)) for _ in range(70)], "twice": [(5, 3), (3, 5), (5, 3)],
+    }
+    for name, edges in graphs.items():
+        root = {x: x for e in edges for x in e}
+        for _ in range(100):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        df = spark.createDataFrame(edges, "a long, b long")
+        got = {r.node: r.root for r in S.components(df, f"odd-{name}").collect()}
+        assert got == {x: r for x, r in root.items() if x != r}, name
+    written = [p.name.split("-")[1] for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("odd-*")]
+    assert all(written.count(name) == 1 for name in ("none", "loops", "star", "twice"))

@@ -1,6 +1,7 @@
 """Accuracy on a held-out fold, the label model on simulated voters, and odd tables."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -110,3 +111,26 @@ def test_a_task_holds_a_bounded_number_of_beginnings(monkeypatch):
     got = {r["feature"]: (r["toxic_sum"], r["clean_sum"]) for r in sums}
     assert got[""] == got["same"] == got["word"] == (100, 100)
     assert got["word199"] == (1, 0) and got["other6"] == (14, 14)
+
+
+def test_the_driver_holds_one_matrix_of_the_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "LEAST_SUPPORT", 1)  # so that the matrix is wide
+    monkeypatch.setattr(T, "LEAST_RATIO", 0.0)
+    docs, labels = corpus(4000)
+    d = spark.createDataFrame(docs, DOCS).cache()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    features = T.train(d, marks).features
+    tracemalloc.start()
+    T.train(d, marks)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in labels)
+    assert len(features) > 300
+    assert most < 2.5 * 4 * n * (len(features) + 21)
+
+
+def test_scale_by_few_columns_is_that_of_all():
+    x = np.random.default_rng(3).random((700, 150), np.float32) * 9
+    mean, sd = T.scale_of(x[:, :-1], 64)
+    assert (mean == x[:, :-1].mean(0)).all() and (sd == x[:, :-1].std(0) + np.float32(1e-3)).all()
+    assert mean.dtype == sd.dtype == np.float32
