@@ -42,8 +42,10 @@ LEAST_USES = 32
 #: a round replaces the pairs at least this share as frequent as the most frequent one
 ROUND_SHARE = 0.2
 END_ID = 1
-#: encoded words that a worker remembers
+#: after so many encoded words, or runs, a worker starts remembering anew; those before are kept until it does so again
 REMEMBERED = 200_000
+#: texts that are read together, so that a word they share is looked up once, and the bytes of these
+TOGETHER, TOGETHER_BYTES = 2048, 1 << 23
 #: ASCII signs that may end a simple word, and the letter whose lower case depends on its place
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SIGMA = "\u03a3"
@@ -63,7 +65,20 @@ def encoder(path: str):
     """The tokenizer, and what is remembered of it: ids by word, and by run of letters or signs."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}, {}
+    return Tokenizer.from_file(path), Memory(), Memory()
+
+
+class Memory:
+    """Ids by word or run. What is not looked up again while as many others come goes, what is in use stays, so a batch with more words
+    than are remembered does not cost the frequent ones."""
+
+    def __init__(self) -> None:
+        self.recent: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.before = {}, self.recent
 
 
 @cache
@@ -87,10 +102,10 @@ def simple_runs(word: str) -> tuple[str, str] | None:
 def word_ids(path: str, words: list[str]) -> list[bytes]:
     """The ids of each word as bytes. Strings of special tokens, which hold signs before letters, get the ids of the tokens. Runs of letters and of signs, which the tokenizer splits first of all, go straight to its
     model, each once; other words go through the whole tokenizer."""
-    tokenizer, _, runs = encoder(path)
+    tokenizer, _, memory = encoder(path)
     model, table, out, odd = tokenizer.model, byte_letters(), [], []
-    if len(runs) > REMEMBERED:
-        runs.clear()
+    memory.turn()
+    runs, before = memory.recent, memory.before
     for i, word in enumerate(words):
         simple = simple_runs(word)
         if simple is None:
@@ -102,8 +117,11 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
             if run:
                 found = runs.get(run)
                 if found is None:
-                    spelled = run if run.isascii() else run.encode().decode("latin-1").translate(table)
-                    found = runs[run] = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+                    found = before.get(run)
+                    if found is None:
+                        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(table)
+                        found = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+                    runs[run] = found
                 ids += found
         out.append(ids)
     for k in range(0, len(odd), 4096):
@@ -116,22 +134,26 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
 def encoded(path: str, texts: pa.StringArray) -> list[np.ndarray]:
     """The ids of each text. The tokenizer drops white space and never looks across it, so a text's ids are those
     of its words; each distinct word is encoded once and remembered."""
-    _, known, _ = encoder(path)
+    _, memory, _ = encoder(path)
+    memory.turn()
+    known = memory.recent
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     new = [w for w in words if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = words
+    old = [w for w in new if w in memory.before]
+    known.update(zip(old, map(memory.before.__getitem__, old)))
+    new = [w for w in new if w not in known]
     known.update(zip(new, word_ids(path, new)))
     each = list(map(known.__getitem__, words))
     sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-    starts = np.cumsum(sizes) - sizes
     at = coded.indices.to_numpy()
     runs = sizes[at]
     before = np.append(0, np.cumsum(runs))
-    source = np.arange(before[-1]) + np.repeat(starts[at] - before[:-1], runs)
+    kind = np.int32 if max(before[-1], sizes.sum()) < 1 << 31 else np.int64
+    starts = (np.cumsum(sizes) - sizes).astype(kind)
+    source = np.repeat(starts[at] - before[:-1].astype(kind), runs)
+    source += np.arange(before[-1], dtype=kind)
     ids = np.frombuffer(b"".join(each), np.uint32)[source]
     stops = before[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]
     return np.split(ids, stops[1:-1]) if len(texts) else []
@@ -265,6 +287,17 @@ def shard_row(number: int, ids: list[int | None], tokens: list[np.ndarray], leas
     }
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts are read together: ``TOGETHER`` rows, or fewer where these have over ``TOGETHER_BYTES``."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+    i = 0
+    while i < len(batch):
+        most = np.searchsorted(ends, TOGETHER_BYTES + (ends[i - 1] if i else 0), "right")
+        j = max(i + 1, min(i + TOGETHER, int(most)))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def shard_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, least: int, share: float) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     end = np.array([END_ID], np.uint32)
@@ -278,8 +311,7 @@ def shard_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, least
         return pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(NAMES, kinds)], NAMES)
 
     for batch in batches:
-        for i in range(0, len(batch), 1024):
-            part = batch.slice(i, 1024)
+        for part in parts_of(batch):
             for doc_id, found in zip(part.column("doc_id").to_pylist(), encoded(path, part.column("text"))):
                 ids.append(doc_id)
                 tokens.append(np.concatenate([found, end]))

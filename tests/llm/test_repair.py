@@ -89,3 +89,25 @@ def test_odd_tables(spark):
     got = sorted((r.start, r.doc_id) for r in R.written_and_read(twice, PATH).collect())
     assert [g[1] for g in got] == [None, None, 1, 1]
     assert got[0][0] == 0
+
+
+def test_words_in_use_are_encoded_once_however_many_others_come(monkeypatch):
+    monkeypatch.setattr(R, "REMEMBERED", 100)
+    R.encoder.cache_clear()
+    seen, plainly = [], R.word_ids
+    monkeypatch.setattr(R, "word_ids", lambda path, words: seen.extend(words) or plainly(path, words))
+    often = [f"often{i}" for i in range(20)]
+    for k in range(8):
+        texts = [" ".join([*often, *(f"w{k}x{i}" for i in range(150))]), "", "Often0 often1."]
+        assert [ids.tolist() + [1] for ids in R.encoded(PATH, pa.array(texts))] == plain(texts)
+    R.encoder.cache_clear()
+    assert all(seen.count(w) == 1 for w in often)
+
+
+def test_parts_hold_all_rows_in_order_within_both_bounds(monkeypatch):
+    monkeypatch.setattr(R, "TOGETHER", 4)
+    monkeypatch.setattr(R, "TOGETHER_BYTES", 10)
+    texts = ["a" * n for n in (1, 1, 1, 1, 1, 30, 0, 9, 1, 1, 0, 0)]
+    parts = [p.column("text").to_pylist() for p in R.parts_of(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))]
+    assert sum(parts, []) == texts
+    assert all(len(p) == 1 or len(p) <= 4 and len("".join(p)) <= 10 for p in parts) and len(parts) == 5
