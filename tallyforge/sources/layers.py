@@ -79,9 +79,15 @@ class Lakehouse:
         return complete(self.spark, self.path(layer, name), "v", complete_only)
 
     def write(
-        self, df: DataFrame, layer: str, name: str, partition_by: tuple[str, ...] = (), cluster: bool = False
+        self,
+        df: DataFrame,
+        layer: str,
+        name: str,
+        partition_by: tuple[str, ...] = (),
+        cluster: bool = False,
+        **options: str,
     ) -> str:
-        """Replaces a table, optionally in one folder per ``partition_by`` value. Returns the
+        """Replaces a table, optionally in one folder per ``partition_by`` value; ``options`` are the writer's. Returns the
         folder of the new version."""
         taken = self._versions(layer, name, complete_only=False)
         target = f"{self.path(layer, name)}/v={(taken[-1] if taken else 0) + 1:06d}"
@@ -89,7 +95,7 @@ class Lakehouse:
             # one shuffle on the folder columns: few files per folder, and a folder that is much
             # larger than the others is still written by several tasks
             df = df.hint("rebalance", *partition_by)
-        writer = df.write.format(self.fmt).mode("errorifexists")
+        writer = df.write.format(self.fmt).mode("errorifexists").options(**options)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.save(target)

@@ -13,8 +13,12 @@ from tallyforge.contracts import Contract
 from tallyforge.operators.bronze import ENVELOPE, SourceSpec, event_time, to_bronze
 from tallyforge.operators.latest import apply_changes, latest_by
 from tallyforge.plans.silver import RECENCY, tag
+from tallyforge.session import shuffles_dropped
 from tallyforge.sources.layers import Lakehouse, complete, remove
 
+#: payloads and keys in hex take about half the room that Spark's default, snappy, leaves them
+PACKED = {"compression": "zstd"}
+
 
 def file_source(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options: str
@@ -75,6 +79,7 @@ def stream_bronze(
     return (
         envelopes.writeStream.format(fmt)
         .outputMode("append")
+        .options(**(PACKED if fmt == "parquet" else {}))
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -160,7 +165,7 @@ def stream_silver(
     def store(batch: DataFrame, batch_id: int) -> None:
         tagged = tag(batch, contract, patterns)
         tagged = tagged.withColumn("is_valid", F.col("quarantine_reason").isNull())
-        tagged.write.mode("overwrite").partitionBy("is_valid").parquet(f"{path}/batch_id={batch_id}")
+        tagged.write.mode("overwrite").options(**PACKED).partitionBy("is_valid").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         bronze.writeStream.foreachBatch(store)
@@ -194,10 +199,17 @@ def silver_state(
     upto = compacted[-1] if compacted else -1
     valid = stored_batches(spark, contract, path, upto).where("is_valid").drop("batch_id", "is_valid", "quarantine_reason")
     if compacted:
-        valid = spark.read.schema(valid.schema).parquet(f"{path}/_compacted/upto={upto}").unionByName(valid)
+        valid = compacted_state(spark, contract, path, upto).unionByName(valid)
     return latest_by(valid, keys, RECENCY)
 
 
+def compacted_state(spark: SparkSession, contract: Contract, path: str, upto: int) -> DataFrame:
+    """One state that ``compact`` wrote: a row per key."""
+    schema = silver_schema(spark, contract)
+    wanted = T.StructType([f for f in schema.fields if f.name != "quarantine_reason"])
+    return spark.read.schema(wanted).parquet(f"{path}/_compacted/upto={upto}")
+
+
 def streamed_silver(
     spark: SparkSession, contract: Contract, path: str, keys: Sequence[str] = ("event_id",)
 ) -> DataFrame:
@@ -241,9 +253,15 @@ def compact(lake: Lakehouse, contract: Contract, path: str, keys: Sequence[str]
     """
     spark, batches = lake.spark, complete(lake.spark, path, "batch_id")
     done = complete(spark, f"{path}/_compacted", "upto")
-    if batches and (not done or done[-1] < batches[-1]):
-        state = silver_state(spark, contract, path, keys)
-        state.write.mode("overwrite").parquet(f"{path}/_compacted/upto={batches[-1]}")
-        for old in done[: 1 - keep] if keep > 1 else done:
-            remove(spark, f"{path}/_compacted/upto={old}")
-    return lake.write(streamed_silver(spark, contract, path, keys), "silver", contract.table)
+    options = PACKED if lake.fmt == "parquet" else {}
+    with shuffles_dropped(spark):
+        if batches and (not done or done[-1] < batches[-1]):
+            state = silver_state(spark, contract, path, keys)
+            state.write.mode("overwrite").options(**PACKED).parquet(f"{path}/_compacted/upto={batches[-1]}")
+            for old in done[: 1 - keep] if keep > 1 else done:
+                remove(spark, f"{path}/_compacted/upto={old}")
+            # has a row per key already: nothing is left to deduplicate
+            current = compacted_state(spark, contract, path, batches[-1]).where(F.col("operation_type") != "D")
+        else:
+            current = streamed_silver(spark, contract, path, keys)
+        return lake.write(current, "silver", contract.table, **options)

@@ -1,6 +1,7 @@
 """Streams give the batch result however the input is cut into micro-batches."""
 
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tallyforge.checks import queries
 from tallyforge.contracts import CONTRACTS
 from tallyforge.operators.bronze import ENVELOPE, SOURCES
-from tallyforge.operators.latest import apply_changes
+from tallyforge.operators.latest import apply_changes, latest_by
 from tallyforge.plans import silver
+from tallyforge.session import shuffles_dropped
 from tallyforge.sources.layers import Lakehouse
 from tallyforge.streaming import ingest
 
@@ -225,3 +227,37 @@ def test_deliveries_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "scratch_dir", lambda spark, purpose: f"{tmp_path}/{purpose}")
     queries.stream_dedup(queries.Retail(spark, "/root/testdata/sf0.001"))
     assert len(list((tmp_path / "stream-dedup" / "in").glob("*.parquet"))) > 3
+
+
+def test_layers_are_packed_and_compaction_deduplicates_once(spark, tmp_path, monkeypatch):
+    path, lake, ranked = str(tmp_path / "silver"), Lakehouse(spark, str(tmp_path / "lake")), []
+    monkeypatch.setattr(ingest, "latest_by", lambda df, *how: ranked.append(how) or latest_by(df, *how))
+    silver_events(spark, ("1", 1, 1, "C"), ("1", 2, 2, "U"), ("2", 1, 3, "C"), ("2", 2, 3, "D")).write.parquet(str(tmp_path / "in"))
+    ingest.stream_bronze(ingest.file_source(spark, str(tmp_path / "in"), ENVELOPE), str(tmp_path / "bronze"), str(tmp_path / "c1")).awaitTermination()
+    ingest.stream_silver(ingest.file_source(spark, str(tmp_path / "bronze"), ENVELOPE), TX, path, str(tmp_path / "c2")).awaitTermination()
+    ingest.compact(lake, TX, path)
+    assert len(ranked) == 1
+    assert [(r.id, r.quantity) for r in lake.read("silver", "transactions").collect()] == [("1", 2)]
+    assert {r.id for r in spark.read.parquet(f"{path}/_compacted/upto=0").collect()} == {"1", "2"}
+    for layer in ("bronze", "silver/batch_id=0", "silver/_compacted", "lake"):
+        files = [p.name for p in (tmp_path / layer).rglob("*.parquet")]
+        assert files and all(name.endswith(".zstd.parquet") for name in files), layer
+
+
+def test_shuffle_files_go_with_what_is_written(spark, tmp_path):
+    def shuffled():
+        listing = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = []
+        while listing.hasNext():
+            names.append(listing.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with shuffles_dropped(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "out"))
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
