@@ -115,6 +115,32 @@ def test_measures_by_day_and_channel_join_no_unused_dimension(spark):
     assert versions_read("revenue_by_channel") == set()
 
 
+def test_sales_lines_are_stored_between_their_joins(spark, tmp_path):
+    from tallyforge.checks.queries import QUERIES
+
+    # the last plan starts from lines whose customers are resolved; bounds of versions travel once
+    plan = QUERIES["fact_sales_line"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "sales_lines-" in plan and "dim_customer-" not in plan and "_take__pk" not in plan
+
+    data = [
+        sale("a", "C1", "2026-01-15 12:00:00", qty=3, price="10.00", discount="2.00"),
+        sale("a", "C1", "2026-01-15 12:00:00", qty=3, price="10.00", discount="2.00"),
+        sale("b", "C1", "2026-02-15 12:00:00", price=None),
+        sale("c", None, "2026-02-15 12:00:00", store=None, product=None),
+        sale("d", "C1", "2025-12-31 23:00:00"),
+    ]
+    tx = staging.stg_transactions(spark.createDataFrame(data, TX))
+
+    def stored(df):
+        df.write.parquet(str(tmp_path / "lines"))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / "lines"))
+
+    dimensions = customers(spark), products(spark), stores(spark)
+    want, got = facts.fact_sales_line(tx, *dimensions), facts.fact_sales_line(tx, *dimensions, stored=stored)
+    assert (tmp_path / "lines").exists() and got.columns == want.columns
+    assert rows(got, "transaction_line_id") == rows(want, "transaction_line_id")
+
+
 def test_stored_bronze_takes_less_room_than_the_default(spark, tmp_path):
     from urllib.parse import urlparse
 
