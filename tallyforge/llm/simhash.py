@@ -30,8 +30,8 @@ BUCKET = 64
 PROBE_COST = 4.0
 #: 64-bit words of the code that estimates similarity in ``near_duplicates``
 CODE_WORDS = 16
-#: estimates may fall short of the similarity by this much, about half their error
-SLACK = 0.01
+#: pairs whose estimate falls short of the similarity by this much, three times its error, are still counted exactly
+SLACK = 0.06
 FEW_ROWS = 255
 #: shingles that ``COMMON`` of every ``SAMPLED``th document have go last in the order of shingles, ``MOST_COMMON`` of them; any
 #: order finds the same pairs, this one with fewer candidates
@@ -361,6 +361,35 @@ def code_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: float
         )
 
 
+def set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, texts, at, pending, held = batch.column("k"), batch.column("text"), 0, [], 0
+        for i, (_, s) in enumerate(shingle_sets(texts, size)):
+            pending.append(s.view(np.int64))
+            held += len(s)
+            if held > 200_000 or i + 1 == len(texts):
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(pending)), pa.array(pending, pa.list_(pa.int64()))], ["k", "s"])
+                at, pending, held = i + 1, [], 0
+
+
+def counted_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose shingle sets are at least so alike, counted exactly. Sets are made anew, of the texts in these pairs only, and not
+    kept for all nodes: they take about as much room as the texts."""
+    pairs = stored(pairs.select("a", "b").distinct(), "simhash-estimated")
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    wanted = stored(ends.join(nodes.select("k", F.col("least.digest").alias("digest")), "k"), "simhash-wanted")
+    one_each = texts.select("digest", "text").join(wanted, "digest").groupBy("k").agg(F.first("text").alias("text"))
+    sets = stored(one_each.mapInArrow(lambda it: set_batches(it, size), "k string, s array<long>"), "simhash-sets")
+    # the side that may name one node very often is joined first, when rows are narrow
+    met = pairs.join(sets.select(F.col("k").alias("b"), F.col("s").alias("t")), "b").join(sets.withColumnRenamed("k", "a"), "a")
+    both = F.size(F.array_intersect("s", "t"))
+    alike = stored(met.where(both >= similarity * (F.size("s") + F.size("t") - both) - 1e-9).select("a", "b"), "simhash-alike")
+    discard(pairs, wanted, sets)
+    return alike
+
+
 def bucket_rows(nodes: DataFrame) -> DataFrame:
     """(h, k, size, pos, n, rank): the nodes that share a prefix shingle with others, the shingle's place in the node's order, the number of
     nodes that share it, and what part of its prefix a node shares with any."""
@@ -374,7 +403,7 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def most_apart(similarity: float) -> int:
-    """Bits by which the codes of two sets may differ that count as alike."""
+    """Bits by which the codes of two sets may differ that are worth counting."""
     least = similarity - SLACK
     return int(CODE_WORDS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
 
@@ -392,7 +421,7 @@ def may_be_alike(similarity: float) -> Column:
 
 
 def few_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): alike pairs of buckets with few members, all of which are compared: at most ``FEW`` pairs for each row."""
+    """(a, b): pairs, alike by estimate, of buckets with few members, all of which are compared: at most ``FEW`` pairs for each row."""
     other = rows.select("h", F.col("k").alias("hk"), F.col("size").alias("hs"), F.col("pos").alias("hp"))
     pairs = rows.join(other, "h").where((F.col("k") < F.col("hk")) & may_be_alike(similarity)).select("k", "hk").distinct()
     codes = nodes.select("k", "code")
@@ -405,8 +434,8 @@ def few_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 
 
 def fingerprint_pairs(nodes: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
-    """(a, b): alike pairs found through their fingerprints, the first words of their codes: nodes of one fingerprint with the smallest of these, and
-    the smallest of fingerprints that ``links`` finds within ``radius`` bits. Codes verify each pair; a row per node and link."""
+    """(a, b): pairs, alike by estimate, found through their fingerprints, the first words of their codes: nodes of one fingerprint with the smallest of these, and
+    the smallest of fingerprints that ``links`` finds within ``radius`` bits. Codes are compared; a row per node and link."""
     prints = nodes.select(F.col("code")[0].alias("fp"), "k", "code")
     least = stored(prints.groupBy("fp").agg(F.min(F.struct("k", "code")).alias("m")).select("fp", F.col("m.k").alias("hk"), F.col("m.code").alias("hc")), "simhash-least")
     near = links(least.select(F.lit(0).alias("grp"), "fp"), radius).select("a", "b")
@@ -418,8 +447,8 @@ def fingerprint_pairs(nodes: DataFrame, similarity: float, radius: int = 2) -> D
 
 
 def head_pairs(rows: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): alike pairs of a head and another member of its bucket with another root. Codes are compared within the join, which lets only
-    alike pairs out; a bucket is joined in slices of about ``SLICE`` members, each with a copy of the heads."""
+    """(a, b): pairs, alike by estimate, of a head and another member of its bucket with another root. Codes are compared within the join, which lets
+    only these out; a bucket is joined in slices of about ``SLICE`` members, each with a copy of the heads."""
     slices = F.ceil(F.col("n") / SLICE).cast("int")
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("k"), slices).cast("int"))
     heads = heads.select(
@@ -431,17 +460,18 @@ def head_pairs(rows: DataFrame, heads: DataFrame, similarity: float) -> DataFram
     return met.select(F.col("k").alias("a"), F.col("hk").alias("b")).distinct()
 
 
-def similar_roots(nodes: DataFrame, similarity: float) -> DataFrame:
+def similar_roots(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """(node, root): components of nodes that are alike.
 
     Pairs within two bits of a fingerprint come first, by the pigeonhole principle; the prefix filter finds all others. Its
     buckets of few members are compared pair by pair. In larger ones, each round some members, sixteen times as many as before, are the
     heads and meet all others. Members known to be of one component are not compared; a bucket is done when all members that
-    have not been heads are of one component. What a round wrote is deleted after the next.
+    have not been heads are of one component. What a round wrote is deleted after the next. All pairs found are counted in their sets before
+    they link anything.
     """
     buckets, heads_each = bucket_rows(nodes), 1
     few = few_pairs(buckets.where(F.col("n") <= FEW), nodes, similarity)
-    found = stored(fingerprint_pairs(nodes, similarity).unionByName(few), "simhash-alike")
+    found = counted_pairs(fingerprint_pairs(nodes, similarity).unionByName(few), nodes, texts, size, similarity)
     roots = components(found, "simhash-near", tidy=True)
     rows = stored(buckets.where(F.col("n") > FEW).join(nodes.select("k", "code"), "k"), "simhash-large")
     discard(buckets, found)
@@ -455,7 +485,7 @@ def similar_roots(nodes: DataFrame, similarity: float) -> DataFrame:
             return roots
         order = Window.partitionBy("h").orderBy(F.desc("rank"), "k")
         heads = stored(live.withColumn("nth", F.row_number().over(order)).where(f"nth <= {heads_each}").drop("nth"), "simhash-heads")
-        found = stored(head_pairs(live, heads, similarity), "simhash-alike")
+        found = counted_pairs(head_pairs(live, heads, similarity), nodes, texts, size, similarity)
         if not found.isEmpty():
             known, before = roots.select(F.col("node").alias("a"), F.col("root").alias("b")), roots
             roots = components(found.unionByName(known), "simhash-near", tidy=True)
@@ -472,8 +502,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     apart, from a prefix filter, which misses no pair: shingles have one order, rare ones first, and two sets that are alike share
     one of the first fifth of their shingles, the first common one early enough to leave room for all that they must share. The members of a
     shingle's bucket are compared in rounds until all pairs have been, or are known to be in one group.
-    Each candidate is verified by 1024 SimHash bits over the shingles, whose distance gives the angle between the sets, hence
-    the similarity, to about 0.02. Texts with equal words are one node. ``digest`` is the text's MD5.
+    The similarity of each candidate is estimated by 1024 SimHash bits over the shingles, whose distance gives the angle between the sets, to
+    about 0.02; where the estimate allows it, the sets themselves are counted, so the order of shingles does not show in the
+    result. Texts with equal words are one node. ``digest`` is the text's MD5.
 
     Blank and null texts form one group. The row with the smallest (doc_id, digest) is kept, nulls first; repeated rows all carry its mark.
     """
@@ -490,7 +521,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         made.groupBy("k").agg(F.min(F.struct("doc_id", "digest")).alias("least"), *(F.min(c).alias(c) for c in ("size", "prefix", "code"))),
         "simhash-nodes",
     )
-    roots = similar_roots(nodes, similarity)
+    roots = similar_roots(nodes, rows, size, similarity)
     rooted = nodes.join(roots, nodes.k == roots.node, "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     label = rooted.join(best, "root").select("k", F.col("root").alias("component"), "best")

@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -253,3 +254,21 @@ def test_components_of_odd_graphs_and_no_round_once_all_lead_to_roots(spark, tmp
         assert got == {x: r for x, r in root.items() if x != r}, name
     written = [p.name.split("-")[1] for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("odd-*")]
     assert all(written.count(name) == 1 for name in ("none", "loops", "star", "twice"))
+
+
+@pytest.mark.parametrize("order", ["sampled", "none", "common first"])
+def test_order_of_shingles_does_not_show_in_groups(spark, monkeypatch, order):
+    """Pairs just above the similarity are linked and pairs just below are not, whatever documents the order was counted in."""
+    texts, near = varied(40, 200, seed=30), {}
+    shared = varied(1, 12, seed=31)[0]
+    texts = [f"{t} {shared}" for t in texts]
+    for i in range(40):  # 208 shingles, so 52 more make 0.8
+        more = 53 + i % 6 if i % 2 else 52 - i % 6
+        texts.append(f"{texts[i]} {varied(1, more, seed=500 + i)[0]}")
+        near[i] = jaccard(texts[i], texts[-1]) >= 0.8
+    assert sum(near.values()) == 20 and all(0.77 < jaccard(texts[i], texts[40 + i]) < 0.83 for i in near)
+    if order != "sampled":
+        common = np.unique(np.concatenate([s for _, s in S.shingle_sets(pa.array(texts if order == "common first" else [], pa.string()), 5)] or [np.zeros(0, np.uint64)]))
+        monkeypatch.setattr(S, "common_shingles", lambda rows, size: (common, np.arange(len(common))))
+    rows = {r.doc_id: r.component for r in S.near_duplicates(frame(spark, texts)).collect()}
+    assert {i: rows[i] == rows[40 + i] for i in near} == near
